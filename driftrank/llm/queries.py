@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftrank.llm import packing, quality, sharding, spm, url_filter
+from driftrank.llm import fingerprint, jaccard, lm, packing, quality, sharding, spans, spm, url_filter
 from driftrank.tables import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,6 +28,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.dedup(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", F.col("__before").alias("n_chars"), F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed"),
+        F.char_length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTES)
 
@@ -37,8 +58,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+ALL = (op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_ngram_jaccard, op5_lm_scoring, op7_fingerprint, op8_substring_dedup, op9_packing, op10_sharding)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_quality_rules, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -111,6 +111,8 @@ def kd_tree(docs: DataFrame, leaves: int = 24, subs: int | None = None) -> DataF
         if not width:
             break
         open_ = {n: w for n, w in width.items() if w > 1}
+        if not open_:
+            break
         box = {n: (0, TOP, weight[n] * (w // 2) // w) for n, w in open_.items()}
         for _ in range(ROUNDS):
             box = _split_round(rows, dim, box)
