@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftrank.llm import fingerprint, jaccard, lm, packing, quality, sharding, spans, spm, url_filter
+from driftrank.llm import fingerprint, jaccard, lm, packing, quality, repeats, sharding, spans, spm, url_filter
 from driftrank.tables import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +36,11 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-ALL = (op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_ngram_jaccard, op5_lm_scoring, op7_fingerprint, op8_substring_dedup, op9_packing, op10_sharding)
+ALL = (op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_ngram_jaccard, op5_lm_scoring, op6_suffix_dedup, op7_fingerprint, op8_substring_dedup, op9_packing, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from driftrank.llm import components, fingerprint, jaccard, lm, packing, quality, queries, sharding, spans, spm, url_filter
+from driftrank.llm import components, fingerprint, jaccard, lm, packing, quality, queries, repeats, sharding, spans, spm, url_filter
 from driftrank.tables import table
 from tests.llm.conftest import texts
 
@@ -28,6 +28,7 @@ def test_empty_tables(empty, spark):
     assert not spm.digests(empty, queries.PIECES).count()
     assert not quality.verdicts(empty).count() and not quality.keep_good(empty).count()
     assert not jaccard.join(empty, 4, 85).count() and not jaccard.one_of_each(empty).count()
+    assert not repeats.dedup(empty).count()
     assert not lm.score(empty).count() and not fingerprint.fingerprints(empty).count()
     assert not spans.dedup(empty).count() and not packing.pack(empty, queries.BYTES).count()
     assert not sharding.kd_tree(empty).count()
@@ -212,6 +213,45 @@ def test_automaton_is_a_distribution():
         assert abs(p - 1) < 1e-9
 
 
+def _bytes_left(rows):
+    raws = [t.encode() for _, t in rows]
+    count = Counter(b[i : i + 400] for b in raws for i in range(len(b) - 399))
+    out = Counter()
+    for (i, _), b in zip(rows, raws):
+        gone = np.zeros(len(b) + 1, np.int64)
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                gone[p] += 1
+                gone[p + 400] -= 1
+        x = np.cumsum(gone[:-1]) > 0
+        spans_ = int(x[0]) + int((x[1:] & ~x[:-1]).sum()) if len(b) else 0
+        out[i, len(b), int(x.sum()), spans_, sha(bytes(np.frombuffer(b, np.uint8)[~x]))] += 1
+    return out
+
+
+def _got_bytes(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), sha(bytes(r.kept))) for r in df.collect())
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_suffix_dedup(docs, most):
+    docs = docs.where("length(text) < 60000 or text is null")
+    assert _got_bytes(repeats.dedup(docs, most)) == _bytes_left(texts(docs))
+
+
+def test_suffix_dedup_of_edited_copies_and_runs(spark):
+    import random
+
+    r = random.Random(4)
+    base = "".join(r.choice("abcdefg hij") for _ in range(2500))
+    rows = [(i, base[r.randrange(600) : 1200 + r.randrange(1300)] if i % 3 else base[: 900 + i] + "#" * i + base[950 + i :]) for i in range(30)]
+    rows += [(100, "z" * 1500), (101, "ab" * 700), (102, "ab" * 700 + "c" * 399), (103, "c" * 400), (104, "q" * 399), (104, "q" * 399)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _bytes_left(rows)
+    assert _got_bytes(repeats.dedup(docs)) == want
+    assert _got_bytes(repeats.dedup(docs, 1)) == want
+
+
 def _sketch(t, k=5):
     w = WORD.findall(t)
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
