@@ -553,3 +553,21 @@ def q_releases_after(s):
     pins = held.groupBy("package").agg(F.min("key").alias("pin_key"), F.lit(False).alias("pin_pre"))
     return serve.releases_after(pins, held, 4).select("package", "version", *big("place", "hidden"))
 
+
+
+def _learned(s: Standins) -> tuple[DataFrame, list[str], list[str]]:
+    from driftrank.plans import models
+
+    rows = labels.add_features(s.changes, ["upgrade"]).join(s.usage, "symbol", "left").withColumn("user_count", F.coalesce("user_count", F.lit(0)))
+    numeric = ["module_depth", "name_length", "release_size", "package_churn", "quantity"]
+    return models.prepared(labels.split_by_date(rows, "released_at", 0.2), numeric), numeric, ["kind"]
+
+
+@query()
+def q_linear_baseline(s):
+    from driftrank.plans import models
+
+    rows, numeric, categories = _learned(s)
+    train = models.balanced(rows.where("split = 'train'"), "label")
+    model = models.linear(numeric, categories, "label", steps=10).fit(train)
+    return metrics.average_precision(models.scored(model, rows.where("split = 'test'")), "score", "label")

@@ -15,24 +15,24 @@ from pyspark.sql import types as T
 
 from driftrank.operators.store import exists
 
-CHANGES = T.StructType.fromDDL(
+CHANGES = (
     "package string, package_rank int, version_from string, version_to string, symbol string, kind string, sub_target string, is_private boolean, "
     "in_dunder_all boolean, module_depth int, is_top_level boolean, name_length int, released_at string, explanation string, export_paths string, "
     "inherited_by int, was_deprecated_before boolean, prior_breaks_in_module int"
 )
-RELEASES = T.StructType.fromDDL("package string, version string, released_at string, status string, n_changes int")
-FAILURES = T.StructType.fromDDL("package string, stage string, detail string, error_type string, message string")
-PACKAGES = T.StructType.fromDDL("package string, download_rank int, github_repo string")
-USAGE = T.StructType.fromDDL("symbol string, user_count int")
+RELEASES = "package string, version string, released_at string, status string, n_changes int"
+FAILURES = "package string, stage string, detail string, error_type string, message string"
+PACKAGES = "package string, download_rank int, github_repo string"
+USAGE = "symbol string, user_count int"
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Header and declared types: versions stay text, a bad field is null, the literal NaN is null."""
     df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
-    return df.select(*[F.when(F.col(f.name) == "nan", None).otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema])
+    return df.select(*[F.when(F.col(f.name) == "nan", None).otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
 
 
-def optional_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def optional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The file, or no rows where there is none."""
     return csv(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
