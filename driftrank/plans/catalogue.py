@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftrank.functions import names, versions
 from driftrank.operators import audit, graph, labels, metrics, relational, requirements, rules, serve, store
+from driftrank.operators import sweep as sweeps
 from driftrank.plans.standins import CTE, Standins
 from driftrank.streaming import events
 
@@ -22,7 +23,7 @@ def query(sql: str | None = None, cte: bool = True):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Standins(spark, sf_dir))
         if sql:
-            SQL[f.__name__] = f"with {CTE}{', ' if sql.lstrip().startswith('t') and ' as (' in sql[:40] else ' '}{sql}" if cte else sql
+            SQL[f.__name__] = f"with {CTE}{' ' if sql.lstrip().startswith('select') else ', '}{sql}" if cte else sql
         return f
 
     return add
@@ -571,3 +572,56 @@ def q_linear_baseline(s):
     train = models.balanced(rows.where("split = 'train'"), "label")
     model = models.linear(numeric, categories, "label", steps=10).fit(train)
     return metrics.average_precision(models.scored(model, rows.where("split = 'test'")), "score", "label")
+
+
+@query("""d as (select upgrade, max(released_at) as d from ch group by upgrade), q as (select quantile_cont(cast(epoch_us(d) as double), [0.5, 0.7, 0.9]) as q from d)
+select cast(s as double) as share, make_timestamp(cast(floor(q[i]) as bigint)) as cut from q, (values (1, 0.5), (2, 0.7), (3, 0.9)) v(i, s)""")
+def q_cut_points(s):
+    return sweeps.cut_points(s.changes, ["upgrade"], "released_at", [0.5, 0.7, 0.9]).select("share", F.col("cut").cast("timestamp_ntz").alias("cut"))
+
+
+@query("""c(cut) as (values (timestamp '1997-01-01'), (timestamp '1999-01-01'), (timestamp '2030-01-01')), a as (select * from ch join c on released_at > cut),
+g as (select cut, package, sum(label) as p, count(*) as n from a group by 1, 2)
+select cut, cast(sum(n) as bigint) as rows, cast(sum(p) as bigint) as positives, count(case when p > 0 and n > 10 then 1 end) as rankable, sum(p) >= 30 and count(case when p > 0 and n > 10 then 1 end) >= 10 as measured, round(cast(sum(p) as double) / sum(n), 9) as floor from g group by cut""")
+def q_stability_sweep(s):
+    cuts = s.spark.createDataFrame([("1997-01-01",), ("1999-01-01",), ("2030-01-01",)], "cut string").select(F.col("cut").cast("timestamp_ntz").alias("cut"))
+    out = sweeps.sweep(s.changes.withColumn("score", F.coalesce("score", F.lit(-1.0))), cuts, ["package"], "released_at", "score", "label")
+    return out.select("cut", *big("rows", "positives"), "rankable", "measured", F.round("floor", 9).alias("floor"))
+
+
+@query(f"""o as (select *, row_number() over (partition by package order by {TIE}) as r, count(*) over (partition by package) as n from ch)
+select package, count(*) as rows, cast(sum(label) as bigint) as used, cast(sum(case when r <= 10 then label else 0 end) as bigint) as hits, round(least(10, count(*)) * avg(label), 9) as expected, round(max(case when label = 1 then (r - 1.0) / nullif(n - 1, 0) end), 9) as deepest from o group by package""")
+def q_story_picks(s):
+    out = sweeps.stories(s.changes, ["package"], _tie(), "label")
+    return out.select("package", "rows", "used", "hits", F.round("expected", 9).alias("expected"), F.round("deepest", 9).alias("deepest"))
+
+
+@query("""t as (select package, version, upgrade, case when upgrade % 11 = 0 then 'yanked' when upgrade % 4 = 0 then 'prerelease' end as why, cast(split_part(version, '.', 1) as int) * 10000 + cast(split_part(version, '.', 2) as int) * 100 + cast(split_part(version, '.', 3) as int) as v from rel),
+d as (select package, version, v, max(why) as why from t group by 1, 2, 3),
+c as (select *, count(case when why is null then 1 end) over (partition by package) as strict, count(case when why is null or why = 'prerelease' then 1 end) over (partition by package) as loose from d),
+w as (select package, version, v, case when strict < 2 and loose > strict and why = 'prerelease' then null else why end as why from c),
+p as (select *, case when why is null then row_number() over (partition by package, why is null order by v desc, version desc) end as place from w)
+select package, version, case when place > 3 then 'outside_window' else why end as reason, case when place <= 3 then place end as place from p""")
+def q_release_window(s):
+    why = F.when(F.expr("upgrade % 11 = 0"), "yanked").when(F.expr("upgrade % 4 = 0"), "prerelease")
+    rows = s.releases.withColumn("w", why).groupBy("package", "version").agg(F.max("w").alias("w"))
+    out = sweeps.release_window(rows, versions.key(F.col("version")), F.col("w"), 3)
+    return out.select("package", "version", "reason", *big("place"))
+
+
+@query("""b as (select kind as cut, round(avg(quantity), 3) as x from ch where label = 1 group by kind), a as (select kind as cut, round(avg(quantity), 3) as x from ch where label = 0 group by kind)
+select b.cut, b.x as before, a.x as after, abs(a.x - b.x) > 0.25 as moved from b join a using (cut)""")
+def q_compare_sweeps(s):
+    one = lambda y: s.changes.where(f"label = {y}").groupBy(F.col("kind").alias("cut")).agg(F.round(F.avg("quantity"), 3).alias("x"))
+    return sweeps.compare_sweeps(one(1), one(0), "x")
+
+
+@query()
+def q_shape_lift(s):
+    rows = s.changes.withColumns({"score": F.coalesce("score", F.lit(-1.0)), "other": -names.name_length(F.col("symbol")).cast("double")})
+    return sweeps.by_shape(rows, names.is_dunder(F.col("symbol")), "score", "other", "label")
+
+
+@query()
+def q_rate_intervals(s):
+    return sweeps.rate_intervals(s.changes, ["package"], "kind", "label", draws=50)

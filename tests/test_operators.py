@@ -162,3 +162,41 @@ def test_learned_scorers(spark):
     assert models.importances(tree, ["x", "k"])[0][0] == "x"
     assert models.tree_count([3, 50, 40]) == 40 and models.choose([{"n": 2}, {"n": 1}], [1.0, 1.0], lambda s: s["n"]) == {"n": 1}
     assert models.ablations(["a", "b"], {"no a": ["a"]}, ["b"]) == {"no a": ["b"], "control:b": ["a"]}
+
+
+def test_web_source(spark):
+    import http.server
+    import threading
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        seen: dict[str, int] = {}
+
+        def do_GET(self):
+            n = self.seen[self.path] = self.seen.get(self.path, 0) + 1
+            ok = self.path == "/ok" or (self.path == "/late" and n > 1)
+            self.send_response(200 if ok else 404 if self.path == "/gone" else 503)
+            self.end_headers()
+            if ok:
+                self.wfile.write(b'{"a": 1}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    from driftrank.sources import web
+
+    urls = [f"http://127.0.0.1:{server.server_address[1]}/{p}" for p in ("ok", "late", "gone", "down")]
+    got = {r.url.rsplit("/", 1)[1]: (r.body, r.error) for r in web.json_documents(spark, urls, pause_s=0.01).collect()}
+    server.shutdown()
+    assert got["ok"][0] == got["late"][0] == '{"a": 1}' and got["gone"][1] and got["down"][1]
+    assert Answer.seen == {"/ok": 1, "/late": 2, "/gone": 1, "/down": 3}
+
+
+def test_sweeps_over_different_cuts_are_refused(spark):
+    from driftrank.operators import sweep
+
+    a = spark.createDataFrame([(1, 0.5), (2, 0.9)], "cut int, x double")
+    assert [r.moved for r in sweep.compare_sweeps(a, a.withColumn("x", F.col("x") + F.col("cut") * 0.2), "x").orderBy("cut").collect()] == [False, True]
+    with pytest.raises(store.Refused):
+        sweep.compare_sweeps(a, a.where("cut = 1"), "x")
