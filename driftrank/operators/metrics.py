@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftrank.tables import park
+
 
 def rankable(df: DataFrame, group: Sequence[str], label: str, k: int) -> DataFrame:
     """Rows of groups with a positive and more than k rows; null keys are no group."""
@@ -33,18 +35,33 @@ def ndcg_at(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Col
     return each.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias(f"ndcg_at_{k}"), F.count("*").alias("groups"))
 
 
+BANDS = 1024
+
+
 def tie_runs(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """A row for each score: n rows, r positives, above and found before it, and the positives in all.
 
-    Rows are reduced to one for each score before anything is ordered, so the ordered part holds distinct scores only.
+    Rows are reduced to one for each score before anything is ordered. Without `by`, scores are ordered in bands of equal
+    width, of which only the sums meet in one task, so no task orders all scores.
     """
     runs = df.groupBy(*by, F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(label).cast("bigint").alias("r"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumns({
-        "above": F.coalesce(F.sum("n").over(before), F.lit(0)), "found": F.coalesce(F.sum("r").over(before), F.lit(0)),
-        "positives": F.sum("r").over(Window.partitionBy(*by)),
-    })
+    part = list(by)
+    if not by:
+        runs = park(runs, "runs")
+        ends = runs.agg(F.max("score").alias("__hi"), F.min("score").alias("__lo"))
+        place = F.floor((F.col("__hi") - F.col("score")) / (F.col("__hi") - F.col("__lo")) * BANDS)
+        band = F.when(F.col("__hi") > F.col("__lo"), F.least(place, F.lit(BANDS - 1))).otherwise(0).cast("int")
+        runs = runs.join(F.broadcast(ends)).withColumn("__band", band).drop("__hi", "__lo")  # one row
+        part = ["__band"]
+    w = Window.partitionBy(*part).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"above": F.coalesce(F.sum("n").over(w), F.lit(0)), "found": F.coalesce(F.sum("r").over(w), F.lit(0))})
+    if by:
+        return runs.withColumn("positives", F.sum("r").over(Window.partitionBy(*by)))
+    sums = runs.groupBy("__band").agg(F.sum("n").alias("__n"), F.sum("r").alias("__r"))
+    before, every = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # BANDS rows
+    sums = sums.select("__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__above"), F.coalesce(F.sum("__r").over(before), F.lit(0)).alias("__found"), F.sum("__r").over(every).alias("positives"))
+    out = runs.join(F.broadcast(sums), "__band")
+    return out.select("score", "n", "r", (F.col("above") + F.col("__above")).alias("above"), (F.col("found") + F.col("__found")).alias("found"), "positives")
 
 
 def harmonic(k: Column) -> Column:
@@ -113,9 +130,11 @@ def popularity(rank: Column, over: Sequence[str] = ()) -> Column:
     return -F.coalesce(rank, F.max(rank).over(Window.partitionBy(*over))).cast("double")
 
 
-def path_score(depth: Column) -> Column:
+def with_path_score(df: DataFrame, depth: str, name: str = "path") -> DataFrame:
     """Shortest path first; a missing depth counts as the deepest seen."""
-    return -F.coalesce(depth, F.coalesce(F.max(depth).over(Window.partitionBy()), F.lit(0))).cast("double")
+    deepest = df.agg(F.coalesce(F.max(depth), F.lit(0)).alias("__deepest"))
+    joined = df.join(F.broadcast(deepest))  # one row
+    return joined.withColumn(name, -F.coalesce(depth, "__deepest").cast("double")).drop("__deepest")
 
 
 def kind_prior(train: DataFrame, test: DataFrame, kind: str, label: str) -> DataFrame:

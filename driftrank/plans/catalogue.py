@@ -174,7 +174,7 @@ def q_popularity(s):
 select symbol, cast(-coalesce(d, max(d) over ()) as double) as path from t""")
 def q_path_rank(s):
     d = F.when(~F.col("is_private"), names.depth(F.col("symbol")) + F.length("symbol") % 3)
-    return s.changes.select("symbol", d.alias("d")).distinct().select("symbol", metrics.path_score(F.col("d")).alias("path"))
+    return metrics.with_path_score(s.changes.select("symbol", d.alias("d")).distinct(), "d").select("symbol", "path")
 
 
 RANKABLE = "t as (select *, sum(label) over (partition by package) as p, count(*) over (partition by package) as n from ch), k as (select * from t where p > 0 and n > 10)"

@@ -1,7 +1,7 @@
 """Learned scorers over the feature table: a linear baseline and boosted trees, both pointwise.
 
 MLlib has no pairwise ranking objective; the order that is served by default is shortest path first
-(`driftrank.operators.metrics.path_score`), and these are the learned options.
+(`driftrank.operators.metrics.with_path_score`), and these are the learned options.
 """
 
 from __future__ import annotations
