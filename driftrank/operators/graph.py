@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftrank.functions.names import depth, root
-from driftrank.tables import park
+from driftrank.tables import park, release
 
 
 def alias_closure(edges: DataFrame, hops: int = 10) -> DataFrame:
@@ -19,10 +19,14 @@ def alias_closure(edges: DataFrame, hops: int = 10) -> DataFrame:
     """
     edges = edges.where("alias <> target").select("alias", "target")
     now = edges.withColumn("steps", F.lit(1))
+    last = None
     while hops > 1:
         nxt = now.select(F.col("alias").alias("target"), F.col("target").alias("far"), F.col("steps").alias("more"))
         joined = now.join(nxt, "target", "left")
         now = park(joined.select("alias", F.coalesce("far", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "closure")
+        if last:
+            release(last)
+        last = now
         hops = -(-hops // 2)
     ends = now.join(edges.select(F.col("alias").alias("target")), "target", "left_anti")
     return ends.where("steps <= 10").select("alias", "target")

@@ -33,4 +33,14 @@ def park(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftrank/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.parked_at = path
+    return out
+
+
+def release(*parked: DataFrame) -> None:
+    """Delete parked tables that nothing reads any more: what was parked after them no longer depends on them."""
+    for df in parked:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.parked_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
