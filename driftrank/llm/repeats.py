@@ -3,11 +3,11 @@
 Sampled suffixes take the place of a full suffix array (see the README for why). Every LENGTH-byte window picks one of its
 GRAM-byte strings, the one with the least hash, the leftmost of equals; what is picked depends on the window's bytes
 alone, so equal windows pick alike, at the same offset. Picked positions, about two in LENGTH - GRAM, are the sampled
-suffixes. A sampled suffix whose gram occurs once cannot lie in a repeated window and is dropped after one count. Of the
-others, (gram, digest of all bytes that its windows can reach) is counted: where all suffixes of a gram agree, all their
-windows repeat. Only where a gram stands in different contexts are those bytes fetched, one text for each distinct
-context, and the windows around the gram compared by hash and offset; the windows found are induced back to every suffix
-with that context, wherever it is.
+suffixes; each stands for the windows that pick it, so every window is looked at once. A sampled suffix whose gram occurs
+once has no repeated window and is dropped after one count. Of the others, (gram, digest of the bytes of its windows) is
+counted: where all suffixes of a gram agree, all their windows repeat. Only where a gram stands in different contexts are
+those bytes fetched, one text for each distinct context, and the windows compared by hash and offset; the windows found
+are induced back to every suffix with that context, wherever it is.
 
 A gram with more than MOST_CONTEXTS different contexts isn't brought together: its windows are dealt out by hash, so no
 task holds a group that grows with the corpus.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftrank.llm.textkit import slices, splitmix, utf8
-from driftrank.tables import park
+from driftrank.tables import park, release
 
 LENGTH, GRAM = 400, 48
 REACH = LENGTH - GRAM
@@ -69,23 +69,28 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[:-rest], x[rest:]) if rest else x
 
 
-def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in raw, gram hashes) of the picked strings of texts that hold a window."""
+def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Picked strings that some window of a text picks: (position in raw, gram hash, first and last window that picks it).
+
+    The windows that pick one string are neighbours, so each window belongs to one row.
+    """
     n = len(raw)
+    none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return none, np.zeros(0, U), none, none
     g = grams(raw, (16, 32))
     h = _join(g[32][: n - GRAM + 1], g[16][32 : 32 + n - GRAM + 1])
     size = np.diff(off)
-    begin, end = np.repeat(off[:-1], size), np.repeat(off[1:], size)
-    place = np.arange(n)
-    key = (h & ~_PLACE) | ((place - begin)[: len(h)].astype(U) & _PLACE)
-    least = _slide(key, REACH + 1, np.minimum)
-    starts = len(least)
-    least[place[:starts] + LENGTH > end[:starts]] = 0
-    pad = np.zeros(REACH, U)
-    at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == key) & (key > 0))
-    return at, h[at]
+    begin = np.repeat(off[:-1], size)
+    place = (np.arange(n) - begin).astype(U) & _PLACE
+    least = _slide((h & ~_PLACE) | place[: len(h)], REACH + 1, np.minimum)
+    start = np.flatnonzero(np.arange(len(least)) + LENGTH <= np.repeat(off[1:], size)[: len(least)])
+    if not len(start):
+        return none, np.zeros(0, U), none, none
+    owner = start + ((least[start] - place[start]) & _PLACE).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    at = owner[new]
+    return at, h[at], start[new], start[np.append(new[1:], len(start)) - 1]
 
 
 _SUFFIX = "doc_id long, tag int, pos long, gram long, digest long, left int, right int"
@@ -98,9 +103,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 raw, off = utf8(part.column("text"))
-                at, h = sampled(raw, off)
-                doc = np.searchsorted(off, at, side="right") - 1
-                low, high = np.maximum(off[doc], at - REACH), np.minimum(off[doc + 1], at + LENGTH)
+                at, h, low, last = sampled(raw, off)
+                doc, high = np.searchsorted(off, at, side="right") - 1, last + LENGTH
                 view = memoryview(np.ascontiguousarray(raw))
                 digest = [xxhash.xxh3_64_intdigest(view[a:b], seed=i - a) for a, b, i in zip(low.tolist(), high.tolist(), at.tolist())]
                 take = pa.array(doc)
@@ -206,7 +210,9 @@ def _repeats_dealt(contexts: DataFrame) -> DataFrame:
 
     rows = contexts.mapInArrow(explode, "key long, gram long, digest long, rel int, n long")
     twice = rows.groupBy("key").agg(F.sum("n").alias("m")).where("m > 1").select("key")
-    return rows.join(twice, "key").select("gram", "digest", F.col("rel").alias("first"), F.col("rel").alias("last"))
+    found = rows.join(twice, "key").select("gram", "digest", "rel")
+    island = found.selectExpr("*", "rel - row_number() over (partition by gram, digest order by rel) as island")  # of one context
+    return island.groupBy("gram", "digest", "island").agg(F.min("rel").alias("first"), F.max("rel").alias("last")).drop("island")
 
 
 def removed(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
@@ -214,6 +220,7 @@ def removed(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     all_ = park(suffixes(docs), "suffixes")
     often = all_.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     some = park(all_.join(often, "gram"), "suffixes-often")
+    release(all_)
     kind = some.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos", "left", "right")).alias("one"))
     kind = park(kind, "contexts")
     many = kind.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
