@@ -29,10 +29,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 GAMMA, MIN_ROWS, REACH = 1.01, 200, 4.0
 #: metric: (expression over the measured columns, least width of the fence above q3, fence below q1 too)
 RULES = {
-    "mean_length": ("__word_chars / __n_words", 2.0, True),
-    "symbol_share": ("__n_symbols / __word_chars", 0.10, False),
-    "dup_line_share": ("__n_dup_lines / __n_lines", 0.30, False),
-    "repeat_share": ("__n_repeat_words / __n_words", 0.10, False),
+    "mean_length": ("__word_chars / __n_words", 3.5, True),
+    "symbol_share": ("__n_symbols / __word_chars", 0.05, False),
+    "dup_line_share": ("__n_dup_lines / __n_lines", 0.50, False),
+    "repeat_share": ("__n_repeat_words / __n_words", 0.18, False),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
