@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftrank.tables import park
+from driftrank.tables import park, release
 
 BINS = 4096
 ROUNDS = 4
@@ -101,9 +101,14 @@ def _widest(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     return dim, weight
 
 
-def kd_tree(docs: DataFrame, leaves: int = 24, subs: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for each row of docs."""
-    rows = park(meta(docs), "shard-meta").withColumn("node", F.lit(0))
+def kd_tree(docs: DataFrame, leaves: int = 24, subs: int | None = None, target_bytes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for each row of docs, in `leaves` shards or in as many as target_bytes asks for.
+
+    The open nodes of a level are named in the plan, which serves some thousand leaves.
+    """
+    rows = park(meta(docs).withColumn("node", F.lit(0)), "shard-meta")
+    if target_bytes:
+        leaves = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     width = {0: leaves}  # leaves below each open node; a node's number is that of its first leaf
     while any(n > 1 for n in width.values()):
         dim, weight = _widest(rows)
@@ -120,9 +125,9 @@ def kd_tree(docs: DataFrame, leaves: int = 24, subs: int | None = None) -> DataF
         moved = node
         for n, (lo, hi, want) in box.items():
             moved = F.when((node == n) & (key >= F.lit(hi)), F.lit(n + open_[n] // 2)).otherwise(moved)
-        rows = rows.withColumn("node", moved.cast("int"))
+        last, rows = rows, park(rows.withColumn("node", moved.cast("int")), "shard-level")
+        release(last)
         width = {k: v for n, w in width.items() for k, v in ([(n, w // 2), (n + w // 2, w - w // 2)] if w > 1 else [(n, 1)])}
-        rows = park(rows, "shard-level")
     return slots(rows.withColumnRenamed("node", "shard"), subs)
 
 

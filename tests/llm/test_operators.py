@@ -164,9 +164,9 @@ def test_linked_rows_share_a_block_row():
                 worst = int(n * (100 - percent) / (100 + percent))  # swapping s of n leaves (n - s) / (n + s)
                 b = a.copy()
                 b[:worst] = r.integers(0, 1 << 63, worst).astype(np.uint64)
-                assert np.intersect1d(jaccard.block_rows(a, percent), jaccard.block_rows(b, percent)).size
+                assert np.intersect1d(jaccard.block_rows(a, percent)[0], jaccard.block_rows(b, percent)[0]).size
                 c = a[: math.ceil(n * percent / 100)]
-                assert np.intersect1d(jaccard.block_rows(a, percent), jaccard.block_rows(c, percent)).size
+                assert np.intersect1d(jaccard.block_rows(a, percent)[0], jaccard.block_rows(c, percent)[0]).size
 
 
 def test_components(spark):
@@ -374,3 +374,9 @@ def test_sharding(docs):
     if len(got) > 100:
         largest = max(r["size"] for r in got)
         assert max(load.values()) - min(load.values()) <= 2 * largest
+
+
+def test_shards_reach_the_target_bytes(spark, sf):
+    got = sharding.kd_tree(table(spark, sf, "documents"), target_bytes=60_000).groupBy("shard").agg({"size": "sum"}).collect()
+    total = sum(r[1] for r in got)
+    assert len(got) == -(-total // 60_000)
