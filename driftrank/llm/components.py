@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftrank.tables import park
+from driftrank.tables import park, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     edges = park(edges.where("a <> b").select("a", "b").distinct(), "edges")
     seen = None
     for _ in range(most_steps):
-        edges = park(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, park(_small_star(_large_star(edges)), "stars")
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break

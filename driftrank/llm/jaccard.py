@@ -9,9 +9,11 @@ equal hashes meet in one run of a sorted shuffle, and their agreements accumulat
 run). Rows with too few filled blocks also take part under further dealings until one has enough, which keeps this exact.
 
 Pairs that the bounds leave get their exact overlap from the two texts. What is then still undecided is where a run holds
-rows of several components. For those rows alone the full product follows: n-grams that no other row has are dropped, rows
-whose other n-grams fall below t times their size can link with nothing and go too; of what is left, pairs meet in the
-rarest n-grams that the bound requires, and again get their exact overlap.
+rows of several components. There, rows stay whose blocks agree with other components' rows of a size that can link in as
+many places as the size bounds require. For those alone the full product follows: a row is counted, for each step of sizes
+that can link with it, the n-grams that rows of other components and that size hold; where the count is below the overlap that
+the sizes require, nothing of that size can link, and a row without a size left goes, until no more go. Of what is left,
+pairs meet in the rarest n-grams that the bound requires, and again get their exact overlap.
 
 Defined results: null and empty texts have size 0 and link with nothing; with fewer words than n, the whole sequence is
 the one n-gram; copies link; a null id has a null component and passes no link on; rows that share an id are one node;
@@ -26,12 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftrank.llm.components import components
 from driftrank.llm.textkit import distinct, shingles, slices, splitmix, utf8, words
-from driftrank.tables import park
+from driftrank.tables import park, release
 
 U = np.uint64
 MOST_DEALS = 64
@@ -71,14 +73,18 @@ def blocks_of(cls: int, num: int) -> int:
     return low
 
 
-def block_rows(h: np.ndarray, num: int) -> np.ndarray:
-    """Hashes of the filled blocks of a row with the distinct n-gram hashes h, for each class it can link in."""
+def block_rows(h: np.ndarray, num: int) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the filled blocks of a row with the distinct n-gram hashes h, for each class it can link in.
+
+    The lowest bit of a hash is that of its class, the next one tells later dealings from the first. With them: the number
+    of blocks filled in the first dealing, for the even and the odd class (-1 for none).
+    """
     n = len(h)
     cls = int(np.searchsorted(LEAST, n, side="right")) - 1
     families = [cls]
     if cls and n <= (int(LEAST[cls]) - 1) * 100 // num:
         families.append(cls - 1)
-    out = []
+    out, filled = [], [-1, -1]
     for family in families:
         apart = most_apart(family, num)
         for deal in range(MOST_DEALS):
@@ -87,12 +93,15 @@ def block_rows(h: np.ndarray, num: int) -> np.ndarray:
             block = ((v >> U(32)) * U(blocks)) >> U(32)
             cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             rows = np.add.reduceat(splitmix(v), cut)
-            out.append(splitmix(rows ^ splitmix(block[cut] + U((family << 40) + (deal << 32)))))
+            rows = splitmix(rows ^ splitmix(block[cut] + U((family << 40) + (deal << 32))))
+            out.append(rows & ~U(3) | U(family & 1 | (deal > 0) << 1))
+            if not deal:
+                filled[family & 1] = len(cut)
             if len(cut) > apart:
                 break
         else:
             raise RuntimeError("no dealing fills enough blocks")
-    return np.concatenate(out)
+    return np.concatenate(out), filled
 
 
 def ngram_sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +112,7 @@ def ngram_sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def incidence(docs: DataFrame, k: int, num: int) -> DataFrame:
-    """doc_id, n, d1, d2 (128-bit digest of the set), rows (hashes of the filled blocks)."""
+    """doc_id, n, d1, d2 (128-bit digest of the set), rows (hashes of the filled blocks), f0, f1 (blocks filled for the even and the odd class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,13 +121,15 @@ def incidence(docs: DataFrame, k: int, num: int) -> DataFrame:
                 n = np.diff(off)
                 sums = [np.concatenate([np.zeros(1, U), np.cumsum(splitmix(h ^ U(s)), dtype=U)]) for s in (0xA5A5, 0x5C5C)]
                 digest = [(s[off[1:]] - s[off[:-1]]).view(np.int64) for s in sums]
-                rows = [block_rows(h[a:b], num) if b > a else h[:0] for a, b in zip(off[:-1], off[1:])]
+                made = [block_rows(h[a:b], num) if b > a else (h[:0], [-1, -1]) for a, b in zip(off[:-1], off[1:])]
+                rows = [m[0] for m in made]
+                filled = [pa.array([m[1][i] for m in made], pa.int32()) for i in (0, 1)]
                 ends = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) for r in rows], out=ends[1:])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, digest), lists], ["doc_id", "n", "d1", "d2", "rows"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, digest), lists, *filled], ["doc_id", "n", "d1", "d2", "rows", "f0", "f1"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, rows array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, rows array<long>, f0 int, f1 int")
 
 
 def _runs(cells: DataFrame) -> DataFrame:
@@ -193,24 +204,92 @@ def _columns(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, n long, h long")
 
 
-def _rest(cells: DataFrame, texts: DataFrame, label: DataFrame, k: int, num: int) -> DataFrame:
+#: Ratios of neighbouring steps of sizes: rows are ruled out by coarse steps, pairs are made by fine ones.
+COARSE, FINE = 1.03, 1.005
+
+
+def _step(n: Column, ratio: float = COARSE) -> Column:
+    return F.floor(F.log(n) / math.log(ratio) + 1e-9).cast("int")
+
+
+def _hits(entries: DataFrame, key: str, num: int, ratio: float = COARSE) -> DataFrame:
+    """The entries (node, component, n, step, key) that a row of another component, of a size that can link, holds too; partner is the step of that size."""
+    held = entries.groupBy(key, F.col("step").alias("partner")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    low, high = _step(F.ceil(F.col("n") * num / 100), ratio), _step(F.floor(F.col("n") * 100 / num), ratio)
+    return entries.withColumns({"low": low, "high": high}).join(held, key).where("partner between low and high and (lo <> component or hi <> component)").drop("low", "high", "lo", "hi")
+
+
+def _apart(num: int, other: Column) -> Column:
+    """The most n-grams by which a row of size n and a linked one of size `other` differ."""
+    return F.floor((F.col("n") + other) * (100 - num) / (100 + num) + 1e-9)
+
+
+def _open(shared: DataFrame, label: DataFrame, num: int) -> DataFrame:
+    """node, component of rows that rows of other components agree with in as many blocks as a link needs.
+
+    Of the blocks that a row fills, all but those that its differences reach agree with a linked row's.
+    """
+    named = shared.join(label, "node", "left").withColumns({"component": F.coalesce("component", "node"), "step": _step(F.col("n"))})
+    filled = F.when(F.col("cell") % 2 == 0, F.col("f0")).otherwise(F.col("f1"))
+    now = park(named.select("cell", "node", "component", "n", "step", filled.alias("filled")), "agreeing")
+    left = now.count()
+    while left:
+        hits = _hits(now.where("cell & 2 = 0"), "cell", num)
+        largest = F.ceil(F.pow(F.lit(COARSE), F.col("partner") + 1))
+        enough = hits.groupBy("node", "n", "filled", F.expr("cell & 1").alias("class"), "partner").agg(F.count("*").alias("m")).where(F.col("m") >= F.col("filled") - _apart(num, largest))
+        # Rows that may agree with a linked one in none of their first blocks are never ruled out.
+        unsure = now.where((F.expr("cell & 2") > 0) | (F.col("filled") <= _apart(num, F.ceil(F.col("n") * 100 / num))))
+        alive = enough.select("node").union(unsure.select("node")).distinct()
+        last, now = now, park(now.join(alive, "node", "left_semi"), "agreeing")
+        release(last)
+        before, left = left, now.count()
+        if left > 0.9 * before:
+            break
+    return now.select("node", "component").distinct()
+
+
+def _needed(num: int, ratio: float = COARSE) -> Column:
+    """The least overlap of a row of size n with a linked one of the step `partner`."""
+    least = F.ceil(F.pow(F.lit(ratio), F.col("partner")) * (1 - 1e-9))
+    return F.ceil(num * (F.col("n") + least) / (100 + num) - 1e-9)
+
+
+def _rest(shared: DataFrame, texts: DataFrame, label: DataFrame, k: int, num: int) -> DataFrame:
     """Candidate pairs (a, b) of different components among rows whose cells hold several components."""
-    named = cells.join(label, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell")
-    open_ = park(named.join(mixed, "cell").select("node", "component").distinct(), "open")
-    entries = park(_columns(texts.join(open_.select("node"), "node", "left_semi"), k), "columns")
-    for _ in range(2):
-        shared = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-        kept = entries.join(shared.select("h"), "h", "left_semi")
-        alive = kept.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("m")).where(f"100 * m >= {num} * n").select("node")
-        entries = park(kept.join(alive, "node", "left_semi"), "columns")
+    open_ = park(_open(shared, label, num), "open")
+    read = _columns(_among(texts, open_.select("node")), k)
+    entries = park(read.join(open_, "node").select("node", "component", "n", _step(F.col("n")).alias("step"), "h"), "columns")
+    left = entries.count()
+    while left:
+        hits = _hits(entries, "h", num)
+        alive = hits.groupBy("node", "n", "partner").agg(F.count("*").alias("m")).where(F.col("m") >= _needed(num)).select("node").distinct()
+        last, entries = entries, park(entries.join(alive, "node", "left_semi"), "columns")
+        release(last)
+        before, left = left, entries.count()
+        if left > 0.9 * before:
+            break
     df = entries.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = entries.join(df, "h").selectExpr("node", "n", "h", "df", "row_number() over (partition by node order by df, h) as place", "count(*) over (partition by node) as m")
-    # An overlap of ceil(num * n / 100) of the m shared entries must leave a common one among the first m - that + 1.
-    prefix = ranked.where(f"place <= m - ceil({num} * n / 100) + 1 and df > 1").join(open_, "node").select("node", "component", "n", "h")
-    other = prefix.select(F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("size"), "h")
-    pairs = prefix.withColumnRenamed("node", "a").join(other, "h").where(f"component < other and 100 * least(n, size) >= {num} * greatest(n, size)")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("agreements"))
+    fine = entries.withColumn("step", _step(F.col("n"), FINE))
+    ranked = _hits(fine, "h", num, FINE).join(df, "h").selectExpr(
+        "*", "row_number() over (partition by node, partner order by df, h) as place", "count(*) over (partition by node, partner) as m"
+    )
+    # Of two linked rows' m shared entries each, needed ones are common; so one is among the first m - needed + 1 of both.
+    prefix = ranked.where(F.col("place") <= F.col("m") - _needed(num, FINE) + 1)
+    left_, right = (prefix.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "step", "partner")], "h") for x in "ab")
+    pairs = left_.join(right, (left_["h"] == right["h"]) & (left_["step_a"] == right["partner_b"]) & (left_["partner_a"] == right["step_b"]))
+    pairs = pairs.where(f"component_a < component_b and 100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+    return pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("agreements"))
+
+
+#: Up to so many ids (16 bytes each) a selection of texts is made by a broadcast; for more, the texts are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose node is among ids, which are parked and distinct."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return texts.join(ids, "node", "left_semi")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -218,21 +297,31 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if not 67 <= percent <= 100:
         raise ValueError("size classes hold for similarities from 0.67 on")
     table = park(incidence(docs, k, percent), "incidence")
-    classes = table.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    named = park(table.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "class_id"), "classes")
+    # Parked, the classes leave the join's own shuffle free to be split where one set has very many copies.
+    classes = park(table.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "sets")
+    named = park(table.select("doc_id", "n", "d1", "d2", "f0", "f1").join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "f0", "f1", "class_id"), "classes")
     spread = table.where("n > 0 and doc_id is not null").select(F.explode("rows").alias("cell"), F.col("doc_id").alias("node"))
     live = park(_runs(spread.repartition("cell").sortWithinPartitions("cell")), "runs")
-    member = named.where("class_id is not null").select(F.col("doc_id").alias("node"), "class_id").distinct()
-    cells = park(live.join(member, "node").select("cell", F.col("class_id").alias("node")).distinct(), "cells")
-    pivots = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("cell", "a")
-    pairs = park(cells.join(pivots, "cell").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agreements")), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = park(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), "texts")
-    links = park(_overlaps(pairs, texts, k, percent), "links")
+    release(table, classes)
+    member = named.where("class_id is not null").select(F.col("doc_id").alias("node"), "class_id", "n", "f0", "f1").distinct()
+    cells = park(live.join(member, "node").select("cell", F.col("class_id").alias("node"), "n", "f0", "f1").distinct(), "cells")
+    release(live)
+    pivots = cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("z")).where("least.node < z").selectExpr("cell", "least.node as a", "least.n as size")
+    fits = f"node <> a and 100 * least(n, size) >= {percent} * greatest(n, size)"
+    pairs = park(cells.join(pivots, "cell").where(fits).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agreements")), "pairs")
+    shared = park(cells.join(pivots.select("cell"), "cell", "left_semi"), "shared")
+    release(cells)
+    wanted = park(shared.select("node").distinct(), "wanted")
+    texts = park(_among(docs.select(F.col("doc_id").alias("node"), "text"), wanted), "texts")
+    lowest = member.groupBy("node").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("node", "a")
+    same_id = member.join(lowest, "node").where("class_id <> a").select("a", F.col("class_id").alias("b"))
+    links = park(_overlaps(pairs, texts, k, percent).union(same_id), "links")
+    release(pairs)
     label = components(links)
-    more = park(_overlaps(_rest(cells.join(pivots.select("cell"), "cell", "left_semi"), texts, label, k, percent), texts, k, percent), "links")
+    more = park(_overlaps(_rest(shared, texts, label, k, percent), texts, k, percent), "links")
     if not more.isEmpty():
         label = components(links.union(more))
+    release(texts, shared, wanted, links, more)
     out = named.join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
     linked = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
