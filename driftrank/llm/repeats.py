@@ -218,9 +218,10 @@ def _repeats_dealt(contexts: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, tag, spans (array of first and end byte, overlaps possible) of texts with a repeated window. docs: doc_id, tag, text."""
     all_ = park(suffixes(docs), "suffixes")
-    often = all_.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # Parked, the counts leave the join's own shuffle free to be split where one gram has very many suffixes.
+    often = park(all_.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams-often")
     some = park(all_.join(often, "gram"), "suffixes-often")
-    release(all_)
+    release(all_, often)
     kind = some.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos", "left", "right")).alias("one"))
     kind = park(kind, "contexts")
     many = kind.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
