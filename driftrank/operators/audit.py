@@ -72,3 +72,28 @@ def stale_scores(prediction: DataFrame, rows: DataFrame, key: Sequence[str]) ->
     """By model: scores, and scores of rows that are gone."""
     known = rows.select(*key).distinct().withColumn("__known", F.lit(1))
     return prediction.join(known, list(key), "left").groupBy("model_version").agg(F.count("*").alias("scores"), F.count_if(F.col("__known").isNull()).alias("stale"))
+
+
+def window_accounting(held: DataFrame, registry: DataFrame) -> DataFrame:
+    """bucket, releases: where every registry release between each package's oldest and newest held version went.
+
+    held: package, version, key; registry: package, version, key, reason, used, failed.
+    """
+    ends = held.groupBy("package").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    inside = registry.join(ends, "package").where("key between lo and hi")
+    bucket = (
+        F.when(F.col("used"), "used").when(F.col("failed"), "failed").when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.col("key") == F.col("lo"), "no_baseline").otherwise("unaccounted")
+    )
+    return inside.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("releases"), F.count_distinct("package").alias("packages"))
+
+
+def lookup_gap(changes: DataFrame, usage: DataFrame, leaf: Column, root: Column) -> DataFrame:
+    """population, rows: changed symbols found in the usage index exactly, under their root by a name that one changed symbol owns, by one that several own, or not at all."""
+    symbols = changes.select("symbol").distinct().withColumns({"l": leaf, "r": root})
+    owners = Window.partitionBy("r", "l")
+    exact = usage.select("symbol", F.lit(1).alias("exact"))
+    by_name = usage.select(leaf.alias("l"), root.alias("r")).distinct().withColumn("named", F.lit(1))
+    out = symbols.withColumn("n", F.count("*").over(owners)).join(exact, "symbol", "left").join(by_name, ["r", "l"], "left")
+    population = F.when(F.col("exact") == 1, "exact").when((F.col("named") == 1) & (F.col("n") == 1), "unambiguous").when(F.col("named") == 1, "ambiguous").otherwise("absent")
+    return out.groupBy(population.alias("population")).agg(F.count("*").alias("rows"))

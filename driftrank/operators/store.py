@@ -105,3 +105,24 @@ def publish(df: DataFrame, folder: str) -> str:
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(spark.read.schema("path string").json(f"{folder}/current").first().path)
+
+
+def columns_of(spark: SparkSession, name: str) -> list[str]:
+    """The columns that a stored table has, for a writer that adapts to them."""
+    return [c.name for c in spark.catalog.listColumns(name)]
+
+
+def delete_script(ids: DataFrame, table: str, column: str, least: int = 40) -> DataFrame:
+    """statement: deletes as text in batches of 500 ids, where there are more than `least` to look through by hand."""
+    if ids.count() <= least:
+        return ids.sparkSession.createDataFrame([], "statement string")
+    batch = F.floor(F.col(column) / 500)
+    listed = F.array_join(F.array_sort(F.collect_set(F.col(column).cast("bigint"))), ", ")
+    return ids.groupBy(batch.alias("batch")).agg(F.concat(F.lit(f"DELETE FROM {table} WHERE {column} IN ("), listed, F.lit(");")).alias("statement")).select("statement")
+
+
+def dry_run(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """What an upsert would do, without writing: rows inserted, updated and left."""
+    a, b = old.select(*key).withColumn("__a", F.lit(1)), new.select(*key).distinct().withColumn("__b", F.lit(1))
+    both = a.join(b, list(key), "full_outer")
+    return both.agg(F.count_if(F.col("__a").isNull()).alias("inserted"), F.count_if((F.col("__a") == 1) & (F.col("__b") == 1)).alias("updated"), F.count_if(F.col("__b").isNull()).alias("left"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftrank.functions import names, versions
-from driftrank.operators import audit, graph, labels, metrics, relational, requirements, rules, serve, store
+from driftrank.operators import audit, graph, labels, metrics, relational, requirements, rules, sealed, serve, store
 from driftrank.operators import sweep as sweeps
 from driftrank.plans.standins import CTE, Standins
 from driftrank.streaming import events
@@ -625,3 +625,35 @@ def q_shape_lift(s):
 @query()
 def q_rate_intervals(s):
     return sweeps.rate_intervals(s.changes, ["package"], "kind", "label", draws=50)
+
+
+@query("""t as (select package, version, upgrade, cast(split_part(version, '.', 1) as int) * 10000 + cast(split_part(version, '.', 2) as int) * 100 + cast(split_part(version, '.', 3) as int) as v from rel),
+e as (select package, min(v) as lo, max(v) as hi from t where upgrade % 2 = 0 group by package),
+i as (select t.*, lo, hi from t join e on t.package = e.package and v between lo and hi)
+select case when upgrade % 2 = 0 and v > lo then 'used' when upgrade % 7 = 0 then 'failed' when upgrade % 5 = 0 then 'yanked' when v = lo then 'no_baseline' else 'unaccounted' end as bucket, count(*) as releases, count(distinct package) as packages from i group by 1""")
+def q_window_accounting(s):
+    rows = s.releases.withColumn("key", versions.key(F.col("version")))
+    held = rows.where("upgrade % 2 = 0")
+    low = held.groupBy("package").agg(F.min("key").alias("least"))
+    registry = rows.join(low, "package", "left").select("package", "version", "key", F.when(F.expr("upgrade % 5 = 0"), "yanked").alias("reason"), F.expr("upgrade % 2 = 0 and key > least").alias("used"), F.expr("upgrade % 7 = 0").alias("failed"))
+    return audit.window_accounting(held, registry)
+
+
+@query("""s as (select distinct symbol, split_part(symbol, '.', 1) as r, split_part(symbol, '.', -1) as l from ch), x as (select *, count(*) over (partition by r, l) as n from s),
+b as (select distinct split_part(symbol, '.', 1) as r, split_part(symbol, '.', -1) as l from us where length(symbol) % 2 = 0), e as (select symbol from us where length(symbol) % 2 = 0)
+select case when e.symbol is not null then 'exact' when b.l is not null and n = 1 then 'unambiguous' when b.l is not null then 'ambiguous' else 'absent' end as population, count(*) as rows from x left join e using (symbol) left join b on x.r = b.r and x.l = b.l group by 1""")
+def q_lookup_gap(s):
+    return audit.lookup_gap(s.changes, s.usage.where("length(symbol) % 2 = 0"), names.leaf(F.col("symbol")), names.root(F.col("symbol")))
+
+
+@query("""h as (select package, upgrade, released_at >= timestamp '2000-01-01' as held from rel) select count(case when not held then 1 end) as development, count(case when held then 1 end) as holdout, count(*) as rows from h""")
+def q_sealed_parts(s):
+    dev, held = sealed.parts(labels.with_holdout(s.releases, ["upgrade"], "released_at", F.lit("2000-01-01").cast("timestamp_ntz")))
+    sides = dev.select(F.lit(0).alias("held")).unionAll(held.select(F.lit(1).alias("held")))
+    return sides.agg(F.count_if(F.col("held") == 0).alias("development"), F.count_if(F.col("held") == 1).alias("holdout"), F.count("*").alias("rows"))
+
+
+@query("""t as (select upgrade from rel where upgrade % 3 <> 0), n as (select upgrade from rel where upgrade % 2 = 0)
+select count(case when t.upgrade is null then 1 end) as inserted, count(case when t.upgrade is not null and n.upgrade is not null then 1 end) as updated, count(case when n.upgrade is null then 1 end) as "left" from t full join n on t.upgrade = n.upgrade""")
+def q_dry_run(s):
+    return store.dry_run(s.releases.where("upgrade % 3 <> 0"), s.releases.where("upgrade % 2 = 0"), ["upgrade"])

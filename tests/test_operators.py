@@ -200,3 +200,33 @@ def test_sweeps_over_different_cuts_are_refused(spark):
     assert [r.moved for r in sweep.compare_sweeps(a, a.withColumn("x", F.col("x") + F.col("cut") * 0.2), "x").orderBy("cut").collect()] == [False, True]
     with pytest.raises(store.Refused):
         sweep.compare_sweeps(a, a.where("cut = 1"), "x")
+
+
+def test_the_holdout_is_looked_at_once(spark, tmp_path):
+    from driftrank.operators import sealed
+
+    r = random.Random(2)
+    rows = [(g, i, r.random(), int(r.random() < 0.4), g >= 30) for g in range(40) for i in range(25)]
+    df = spark.createDataFrame(rows, "package int, i int, score double, label int, holdout boolean")
+    dev, held = sealed.parts(df)
+    key, ledger = ["package"], str(tmp_path / "ledger")
+    got = sealed.evaluate_once(dev, held, key, [F.desc("score")], "score", "label", ledger, "one")
+    assert got["upgrades"] == 10 and got["rows"] == 250 and 0 < got["pr_auc_ties"] <= 1 and spark.read.parquet(ledger).count() == 1
+    with pytest.raises(store.Refused):
+        sealed.evaluate_once(dev, held, key, [F.desc("score")], "score", "label", ledger, "one")
+    with pytest.raises(store.Refused):
+        sealed.evaluate_once(df, held, key, [F.desc("score")], "score", "label", ledger, "two")
+    path = str(tmp_path / "frozen")
+    assert sealed.freeze(held, key, path) and not sealed.freeze(held, key, path)
+    assert {x.side: x.groups for x in sealed.drift(df.where("package >= 35 or package < 2"), key, path).collect()} == {"kept": 5, "gone": 5, "added": 2}
+    sealed.write_metrics(spark, got, str(tmp_path / "m"))
+    assert sealed.read_metrics(spark, str(tmp_path / "m"))["rows"] == 250
+    with pytest.raises(store.Refused):
+        sealed.assert_none_held_out(df, "package", F.lit(39))
+
+
+def test_scripts_and_catalog(spark):
+    ids = spark.range(1200).withColumnRenamed("id", "k")
+    assert store.delete_script(ids, "t", "k").count() == 3 and store.delete_script(ids.limit(3), "t", "k").count() == 0
+    ids.createOrReplaceTempView("some_ids")
+    assert store.columns_of(spark, "some_ids") == ["k"]
