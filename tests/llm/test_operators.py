@@ -380,3 +380,16 @@ def test_shards_reach_the_target_bytes(spark, sf):
     got = sharding.kd_tree(table(spark, sf, "documents"), target_bytes=60_000).groupBy("shard").agg({"size": "sum"}).collect()
     total = sum(r[1] for r in got)
     assert len(got) == -(-total // 60_000)
+
+
+def test_both_encoders_of_the_byte_vocabulary_agree():
+    import random
+
+    from tokenizers import Tokenizer
+
+    own, model, r = Tokenizer.from_file(queries.BYTES), packing.load(queries.BYTES), random.Random(1)
+    own.encode_special_tokens = True
+    bits = [" ", "  ", "\n", "\t", " ", "\xa0", "é", "漢", "😀", "a", "B", "1", "²", "Ⅷ", "'s", "’s", "'LL", "<|endoftext|>", "...", "\x00", "​", "ß", "é", "٣", "\r\n", "_", "\x85", "\x1c"]
+    cases = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(3000)] + [" " * 3000 + "x", "a b " * 300_000]
+    for text, want in zip(cases, own.encode_batch(cases, add_special_tokens=False)):
+        assert model.encode(text).tolist() == want.ids
