@@ -1,22 +1,24 @@
 """LM scoring with a weighted backoff automaton.
 
 The model is a bigram model with absolute discounts over words and one end token a text. States are contexts: the root
-(no context) and every frequent word that has kept bigrams. An arc leads from a state by a token to the state of that
-token and weighs its log10 probability; where a state has no arc for a token, its failure arc leads to the root and weighs
-the state's backoff. A text is read once, from left to right: the state carried along is that of the token before.
-
-Counts cover every training text and grow with it: a table of all tokens, made by map-side sums and one shuffle. Arcs
-that are needed everywhere are broadcast, and a share of all tokens bounds them whatever the corpus: a token with at least
-1 / FREQUENT of all tokens has its arc in the broadcast part (FREQUENT tokens at most), a pair of such tokens with at least
-1 / PAIRS of all tokens is a kept bigram (PAIRS at most). Every other token's root arc stays in the distributed table and
-is joined by token; a text's rare tokens leave the traversal as (token, times) rows, meet their counts there and come back
-as sums. So scores are those of the whole automaton, none of it is cut off.
-
-With c, N, V as counted, D = n1 / (n1 + 2 n2) from the counts of counts, and E the same over kept bigrams' counts:
+(no context) and every word that starts a kept bigram; a bigram is kept if it occurs twice, whatever the corpus' size. An
+arc leads from a state by a token to the state of that token and weighs its log10 probability; where a state has no arc for
+a token, its failure arc leads to the root and weighs the state's backoff. A text is read once, from left to right: the
+state carried along is that of the token before.
+
+Counts cover every training text and grow with it: tables of all tokens and of all bigrams, made by map-side sums and a
+shuffle each. What is needed everywhere is only held twice, broadcast as well, and a share of all tokens bounds that: a
+token with at least 1 / FREQUENT of all tokens (FREQUENT tokens at most) has its root arc and backoff in the broadcast part,
+a pair of such tokens with at least 1 / PAIRS of all tokens (PAIRS at most) its arc. The rest is joined: a text's other
+tokens leave the traversal as (token, times) rows and meet root arc and backoff in the table of tokens; its other pairs
+leave as (pair, times) rows and meet, in the table of kept bigrams, what the arc weighs more than backoff and root arc
+together; both come back as sums. So scores are those of the whole automaton, and the two bounds do not change them.
+
+With c, N, V as counted, D = n1 / (n1 + 2 n2) from the counts of counts, and E the same over all bigrams' counts:
 root arc: (c - D) / N, an unknown token D V / N; kept bigram: (c(uv) - E) / c(u);
 backoff of u: (1 - sum of kept bigrams) / (1 - sum of their root arcs). For every state the probabilities sum to 1.
 
-Defined results: null and empty texts are the end token alone; words are known by 64-bit hashes; repeated rows are scored
+Defined results: null and empty texts are the end token alone; words and pairs are known by 64-bit hashes; repeated rows are scored
 each time; an empty table gives an empty result; without training text every token is unknown; extra columns are ignored.
 """
 
@@ -26,18 +28,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from driftrank.llm.textkit import slices, utf8, words
-from driftrank.tables import park
+from driftrank.llm.textkit import slices, splitmix, utf8, words
+from driftrank.tables import park, release
 
 U = np.uint64
 FREQUENT, PAIRS = 1 << 17, 1 << 20
 END = U(0x1F3D5B79A2C4E608)
 COUNT_SLICE = 16 << 20
+LEAST = 1e-12
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,6 +60,21 @@ def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return splitmix(splitmix(u) + w)
+
+
+def _inner(off: np.ndarray) -> np.ndarray:
+    """Places of the tokens that have one before them in their text."""
+    inner = np.ones(off[-1], bool)
+    inner[off[:-1]] = False
+    return np.flatnonzero(inner)
+
+
+def _discount(n1: int, n2: int) -> float:
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+
 def _counts(train: DataFrame) -> DataFrame:
     """token, c"""
 
@@ -103,22 +122,23 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.token, t), size - 1)
         return np.where(self.token[at] == t, at, size)
 
-    def learn(self, pair: np.ndarray, count: np.ndarray) -> None:
-        """Bigram arcs: pair = state * (number of tokens + 1) + token."""
+    def learn(self, pair: np.ndarray, count: np.ndarray, less: float = 0.5, backoff: np.ndarray | None = None) -> None:
+        """Bigram arcs: pair = state * (number of tokens + 1) + token. Without `backoff` these are all arcs of their states."""
         size = len(self.token) + 1
         order = np.argsort(pair)
         pair, count = pair[order], count[order]
-        n1, n2 = int((count == 1).sum()), int((count == 2).sum())
-        less = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         state, to = pair // size, pair % size
         p = (count - less) / self.count[state]
         self.pair, self.arc = pair, np.log10(p)
-        top = np.bincount(state, p, size)
-        low = np.bincount(state, 10 ** self.root[to], size)
-        self.backoff = np.log10(np.maximum(1 - top, 1e-12) / np.maximum(1 - low, 1e-12))
+        if backoff is None:
+            top = np.bincount(state, p, size)
+            low = np.bincount(state, 10 ** self.root[to], size)
+            backoff = np.log10(np.maximum(1 - top, LEAST) / np.maximum(1 - low, LEAST))
+        self.backoff = backoff
 
     def walk(self, t: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One traversal: (log10 probability that each token adds, numbers, which tokens still want their root arc)."""
+        """One traversal: (log10 probability that each token adds as far as known here, numbers, which tokens took no arc of
+        this part from the token before)."""
         size = len(self.token)
         here = self.ids(t)
         state = np.empty(len(t), np.int64)
@@ -132,39 +152,43 @@ class Automaton:
             at, direct = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
         root = np.append(self.root, 0.0)[here]
         score = np.where(direct, self.arc[at] if len(self.pair) else 0.0, self.backoff[state] + root)
-        return score, here, here == size
+        return score, here, ~direct
 
 
-def _bigrams(train: DataFrame, model: Automaton) -> DataFrame:
-    """pair, c of adjacent frequent tokens."""
-    sent = train.sparkSession.sparkContext.broadcast(model.token)
+def _bigrams(train: DataFrame) -> DataFrame:
+    """u, w, c of all adjacent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Automaton(sent.value, np.ones(len(sent.value)), 1, 1, 0.5)
-        size = len(known.token) + 1
-        held, many = [], 0
+        held, size = [], 0
 
         def give() -> pa.RecordBatch:
-            p, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(p), pa.array(c)], ["pair", "c"])
+            u, w = (np.concatenate(x) for x in zip(*held))
+            _, at, c = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(c)], ["u", "w", "c"])
 
         for batch in batches:
             for part in slices(batch):
                 t, off = tokens(part)
-                here = known.ids(t)
-                inner = np.ones(len(t), bool)
-                inner[off[:-1]] = False
-                at = np.flatnonzero(inner)
-                key = here[at - 1] * size + here[at]
-                held.append(key[(here[at - 1] < size - 1) & (here[at] < size - 1)])
-                many += len(held[-1])
-                if many >= COUNT_SLICE // 8:
+                at = _inner(off)
+                held.append((t[at - 1], t[at]))
+                size += len(at)
+                if size >= COUNT_SLICE // 8:
                     yield give()
-                    held, many = [], 0
+                    held, size = [], 0
         if held:
             yield give()
 
-    return train.select("text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+
+
+def _keys(u: Column, w: Column) -> Column:
+    """pair_keys of two columns."""
+
+    @F.pandas_udf("long")
+    def key(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(pair_keys(a.to_numpy(np.int64).view(U), b.to_numpy(np.int64).view(U)).view(np.int64))
+
+    return key(u, w)
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT, pairs: int = PAIRS) -> DataFrame:
@@ -172,15 +196,34 @@ def score(docs: DataFrame, frequent: int = FREQUENT, pairs: int = PAIRS) -> Data
     spark = docs.sparkSession
     train = docs.where(~held_out(F.col("doc_id")))
     count = park(_counts(train), "token-counts")
-    n, v, n1, n2 = count.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    ones, twos = F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
+    n, v, n1, n2, ends = count.agg(F.sum("c"), F.count("*"), ones, twos, F.sum(F.when(F.col("token") == int(END), F.col("c")))).first()
     n = n or 0
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    # At most `frequent` rows (16 bytes each) and `pairs` rows pass these shares.
-    top = count.where(F.col("c") * frequent >= n).toPandas() if n else None
-    model = Automaton(np.array(top["token"], np.int64).view(U) if n else np.zeros(0, U), np.array(top["c"], np.float64) if n else np.zeros(0), n, v, discount)
-    if n:
-        kept = _bigrams(train, model).where((F.col("c") * pairs >= n) & (F.col("c") > 1)).toPandas()
-        model.learn(np.array(kept["pair"], np.int64), np.array(kept["c"], np.float64))
+    discount = _discount(n1, n2)
+    root = lambda c: (c - F.lit(discount)) / F.lit(float(max(n, 1)))
+    # Counts of counts are taken of all bigrams before the single ones go; without a bigram there is nothing to see.
+    seen = Observation()
+    twice = park(_bigrams(train).observe(seen, ones, twos).where("c > 1"), "bigrams")
+    less = _discount(seen.get["n1"], seen.get["n2"]) if n > (ends or 0) else 0.5
+    # Each kept bigram with the count of its second token.
+    kept = park(twice.join(count.select(F.col("token").alias("w"), F.col("c").alias("cw")), "w"), "arcs")
+    release(twice)
+    states = kept.groupBy("u").agg(F.sum(F.col("c") - F.lit(less)).alias("top"), F.sum(root(F.col("cw"))).alias("low"))
+    rest = lambda x: F.greatest(1 - x, F.lit(LEAST))
+    backoff = F.coalesce(F.log10(rest(F.col("top") / F.col("c")) / rest(F.col("low"))), F.lit(0.0))
+    known_tokens = park(count.join(states, F.col("token") == F.col("u"), "left").select("token", "c", backoff.alias("backoff")), "states")
+    from_u = known_tokens.select(F.col("token").alias("u"), F.col("c").alias("cu"), "backoff")
+    more = F.log10((F.col("c") - F.lit(less)) / F.col("cu")) - F.col("backoff") - F.log10(root(F.col("cw")))
+    arcs = kept.join(from_u, "u").select(_keys(F.col("u"), F.col("w")).alias("token"), F.lit(0).cast("long").alias("c"), more.alias("more"))
+    weights = known_tokens.select("token", "c", F.col("backoff").alias("more")).unionAll(arcs)
+    # At most `frequent` rows (24 bytes each) and `pairs` rows pass these shares.
+    top = known_tokens.where(F.col("c") * frequent >= n).toPandas().sort_values("token", key=lambda x: x.astype(np.int64).to_numpy().view(U))
+    model = Automaton(np.array(top["token"], np.int64).view(U), np.array(top["c"], np.float64), n, v, discount)
+    hot = kept.where(F.col("c") * pairs >= n).select("u", "w", "c").toPandas()
+    u, w = (model.ids(np.array(hot[x], np.int64).view(U)) for x in ("u", "w"))
+    size = len(model.token)
+    both = (u < size) & (w < size)
+    model.learn((u * (size + 1) + w)[both], np.array(hot["c"], np.float64)[both], less, np.append(np.array(top["backoff"], np.float64), 0.0))
     sent = spark.sparkContext.broadcast(model)
     scale = math.log10(n + v + 1)
 
@@ -190,7 +233,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT, pairs: int = PAIRS) -> Data
         for batch in batches:
             for part in slices(batch):
                 t, off = tokens(part)
-                gain, here, rare = known.walk(t, off)
+                gain, here, open_ = known.walk(t, off)
+                rare = here == len(known.token)
                 first, rows = off[:-1], part.num_rows
                 size = np.diff(off)
                 uid = at + np.arange(rows)
@@ -198,13 +242,18 @@ def score(docs: DataFrame, frequent: int = FREQUENT, pairs: int = PAIRS) -> Data
                 doc = np.repeat(np.arange(rows), size)
                 found = np.add.reduceat(~rare, first) if rows else size
                 base, model_score = np.add.reduceat(log_count[here], first), np.add.reduceat(gain, first)
-                rt, rd = t[rare], doc[rare]
+                # What is joined: rare tokens, and pairs without an arc in this part.
+                at_pair = _inner(off)
+                at_pair = at_pair[open_[at_pair]]
+                rt = np.concatenate([t[rare], pair_keys(t[at_pair - 1], t[at_pair])])
+                rd = np.concatenate([doc[rare], doc[at_pair]])
+                rp = np.concatenate([np.zeros(int(rare.sum()), bool), np.ones(len(at_pair), bool)])
                 if len(rt):
                     order = np.lexsort((rt, rd))
-                    rt, rd = rt[order], rd[order]
+                    rt, rd, rp = rt[order], rd[order], rp[order]
                     new = np.flatnonzero(np.concatenate([[True], (rt[1:] != rt[:-1]) | (rd[1:] != rd[:-1])]))
                     times = np.diff(np.append(new, len(rt)))
-                    rt, rd = rt[new], rd[new]
+                    rt, rd, rp = rt[new], rd[new], rp[new]
                 else:
                     times = np.zeros(0, np.int64)
                 none = len(rt)
@@ -215,20 +264,20 @@ def score(docs: DataFrame, frequent: int = FREQUENT, pairs: int = PAIRS) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         both(rt.view(np.int64), lone.view(np.int64), pa.int64()), both(uid[rd], uid, pa.int64()),
-                        both(times, np.zeros(rows, np.int64), pa.int32()),
+                        both(times, np.zeros(rows, np.int64), pa.int32()), both(rp, np.zeros(rows, bool), pa.bool_()),
                         pa.concat_arrays([pa.nulls(none, pa.int64()), ids.cast(pa.int64())]),
                         pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(size, pa.int64())]),
                         pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(found, pa.int64())]),
                         pa.concat_arrays([pa.nulls(none, pa.float64()), pa.array(base)]),
                         pa.concat_arrays([pa.nulls(none, pa.float64()), pa.array(model_score)]),
                     ],
-                    ["token", "uid", "times", "doc_id", "size", "found", "base", "gain"],
+                    ["token", "uid", "times", "pair", "doc_id", "size", "found", "base", "gain"],
                 )
 
-    walked = docs.select("doc_id", "text").mapInArrow(run, "token long, uid long, times int, doc_id long, size long, found long, base double, gain double")
-    joined = walked.join(count, "token", "left")
+    walked = docs.select("doc_id", "text").mapInArrow(run, "token long, uid long, times int, pair boolean, doc_id long, size long, found long, base double, gain double")
+    joined = walked.join(weights, "token", "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("times")
-    rooted = F.when(c > 0, F.log10((c - F.lit(discount)) / F.lit(float(max(n, 1))))).otherwise(F.lit(model.unknown))
+    rooted = F.when(F.col("pair"), F.lit(0.0)).when(c > 0, F.log10(root(c))).otherwise(F.lit(model.unknown)) + F.coalesce("more", F.lit(0.0))
     sums = joined.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("size").alias("n_tokens"),

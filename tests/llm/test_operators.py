@@ -198,6 +198,43 @@ def test_lm_probabilities_sum_to_one_and_do_not_depend_on_what_is_broadcast(spar
     assert set(two) == set(one)
 
 
+def _lm_scores(rows):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    split = lambda t: [*WORD.findall(t.translate(LOWER)), None]
+    less = lambda x: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(sum(k == 1 for k in x.values()), sum(k == 2 for k in x.values()))
+    c, pair = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = split(t)
+            c.update(w)
+            pair.update(zip(w, w[1:]))
+    n, d, e = sum(c.values()), less(c), less(pair)
+    root = lambda w: (c[w] - d) / n if c[w] else d * len(c) / n
+    top, low = Counter(), Counter()
+    for (u, w), k in pair.items():
+        if k > 1:
+            top[u] += (k - e) / c[u]
+            low[u] += root(w)
+    for i, t in rows:
+        w = split(t)
+        out = math.log10(root(w[0]))
+        for u, x in zip(w, w[1:]):
+            if pair[u, x] > 1:
+                out += math.log10((pair[u, x] - e) / c[u])
+            else:
+                out += math.log10(max(1 - top[u], 1e-12) / max(1 - low[u], 1e-12) * root(x))
+        yield i, out
+
+
+@pytest.mark.parametrize("frequent, pairs", [(lm.FREQUENT, lm.PAIRS), (300, 500), (1, 1)])
+def test_lm_uses_every_repeated_bigram(docs, frequent, pairs):
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(_lm_scores(texts(docs)), key=key)
+    got = sorted(((r.doc_id, r.score) for r in lm.score(docs, frequent, pairs).collect()), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(x - y) < 1e-7 * max(1, abs(y)) for (_, x), (_, y) in zip(got, want))
+
+
 def test_automaton_is_a_distribution():
     token = np.array([5, 9, 11], np.uint64)
     model = lm.Automaton(token, np.array([50.0, 30.0, 10.0]), 100, 13, 0.5)
