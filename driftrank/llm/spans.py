@@ -1,13 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after `.`, `!`, `?` and closing quotes before white space, and at line ends); a sentence of
-over LONG_WORDS words is cut further at words chosen by their content, so equal passages are cut alike wherever they
-stand. From every sentence on, the shortest run of at least MIN_SENTENCES sentences with MIN_WORDS words is hashed, white
-space aside. Runs are counted over all documents; the first one, by document id and place, stays, and every sentence
-that another one covers is removed.
+A text is cut into sentences (after `.`, `!`, `?` and closing quotes before white space, and at line ends), and a sentence
+before every word whose hash is the least of some WINDOW consecutive words of it (the last of equal ones), so equal passages
+are cut alike wherever they stand: in a shared passage all cuts agree from the first whole window, or sentence end, to the
+last one, and no piece has more than WINDOW words. From every piece on, the shortest run of pieces with MIN_WORDS words is
+hashed, white space aside; MIN_WORDS + 3 * WINDOW words in common, 48, always hold a common run, and less than WINDOW
+words stay at the left end of a passage, at most 2 * WINDOW at the right one. Runs are counted over all documents; the first one, by document id and place,
+stays, and every piece that another one covers is removed. In the output, pieces are what counts as sentences.
 
-Only hashes with their places are shuffled by hash, after a map-side minimum and count; a document's removed places are
-joined with its text once. Nothing is gathered per hash, so a run that a third of the documents hold is a sum like any.
+Only hashes are shuffled to find those that repeat, after a map-side count, and hashes with their places once to keep the
+repeated ones; the first place is a minimum over these. A document's removed places are joined with its text once. Nothing is gathered per hash, so a run that a third of the documents hold is a sum like any.
 
 Defined results: null and empty texts have no sentence and stay as they are; rows with equal id and text are one
 document; a null id sorts first; an empty table gives an empty result; extra columns, clashing names too, are kept.
@@ -16,74 +18,87 @@ document; a null id sorts first; an empty table gives an empty result; extra col
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftrank.llm.textkit import slices
-from driftrank.tables import park
+from driftrank.llm.textkit import slices, splitmix
+from driftrank.tables import park, release
 
-MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 24, 32
+MIN_WORDS, WINDOW = 24, 8
 _END = re.compile(r"[.!?]+[\"')\]»”]*\s+|\s*\n\s*")
-_WORD = re.compile(r"\S+\s*")
+_WORD = re.compile(r"\S+")
+U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, U), np.ones(1, U)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers, at least, of an odd number and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 2 * len(_POWERS[i])), x, U)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS
+
+
+def _pieces(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(begin of each word, hash of each word, number of each piece's first word)"""
+    starts = [m.start() for m in _WORD.finditer(text)]
+    n = len(starts)
+    marks = np.fromiter(map(xxhash.xxh3_64_intdigest, text.split()), U, n)
+    head = np.zeros(n, bool)
+    if n:
+        head[0] = True
+        after = np.searchsorted(starts, [m.end() for m in _END.finditer(text)])
+        head[after[after < n]] = True
+    if n >= WINDOW:
+        sentence = np.cumsum(head)
+        at = np.flatnonzero(sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :])
+        head[at + WINDOW - 1 - np.argmin(sliding_window_view(marks[::-1], WINDOW)[::-1][at], axis=1)] = True
+    return starts, marks, np.flatnonzero(head)
+
+
+def _begins(text: str, starts: list[int], first: np.ndarray) -> tuple[list[int], list[int]]:
+    if not text:
+        return [], []
+    if not len(first):
+        return [0], [0]
+    return [0] + [starts[i] for i in first[1:].tolist()], np.diff(first, append=len(starts)).tolist()
+
+
+def _runs(marks: np.ndarray, first: np.ndarray) -> tuple[list[int], list[int]]:
+    n = len(marks)
+    if n < MIN_WORDS:
+        return [], []
+    bounds = np.append(first[1:], n)
+    last = np.searchsorted(bounds, first + MIN_WORDS)
+    start = np.flatnonzero(last < len(bounds))
+    power, inverse = _powers(n)
+    upto = np.zeros(n + 1, U)
+    np.cumsum(marks * power[:n], out=upto[1:])
+    a, b = first[start], bounds[last[start]]
+    hashes = splitmix((upto[b] - upto[a]) * inverse[a] + (b - a).astype(U))
+    return hashes.view(np.int64).tolist(), (last[start] + 1 - start).tolist()
 
 
 def sentences(text: str) -> tuple[list[int], list[int]]:
-    """(begin of each sentence, words of each); a sentence reaches to the next one's begin, the last to the end."""
-    begins, counts = [], []
-    at = 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        if end <= at:
-            continue
-        n = len(text[at:end].split())
-        if n <= LONG_WORDS:
-            begins.append(at)
-            counts.append(n)
-        else:
-            part, held = at, 0
-            for m in _WORD.finditer(text, at, end):
-                held += 1
-                if not crc32(m[0].strip().encode()) & 15:
-                    begins.append(part)
-                    counts.append(held)
-                    part, held = m.end(), 0
-            if part < end:
-                begins.append(part)
-                counts.append(held)
-        at = end
-    return begins, counts
+    """(begin of each piece, words of each); a piece reaches to the next one's begin, the last to the end."""
+    starts, _, first = _pieces(text)
+    return _begins(text, starts, first)
 
 
 def runs(text: str | None) -> tuple[list[int], list[int]]:
-    """(hash, number of sentences) of the shortest run from each sentence on that is long enough."""
-    if not text:
-        return [], []
-    begins, counts = sentences(text)
-    n = len(begins)
-    if n < MIN_SENTENCES or sum(counts) < MIN_WORDS:
-        return [], []
-    bounds = begins[1:] + [len(text)]
-    marks = [xxhash.xxh3_64_digest(" ".join(text[a:b].split())) for a, b in zip(begins, bounds)]
-    whole = b"".join(marks)
-    hashes, sizes = [], []
-    j, held = 0, 0
-    for i in range(n):
-        while j < n and (held < MIN_WORDS or j - i < MIN_SENTENCES):
-            held += counts[j]
-            j += 1
-        if held < MIN_WORDS or j - i < MIN_SENTENCES:
-            break
-        hashes.append(struct.unpack("<q", xxhash.xxh3_64_digest(whole[8 * i : 8 * j]))[0])
-        sizes.append(j - i)
-        held -= counts[i]
-    return hashes, sizes
+    """(hash, number of pieces) of the shortest run from each piece on that is long enough."""
+    _, marks, first = _pieces(text or "")
+    return _runs(marks, first)
 
 
 def _indexed(docs: DataFrame) -> DataFrame:
@@ -102,16 +117,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, tag, places: of each document, the places of its runs that repeat an earlier one. docs: doc_id, tag, text."""
     index = park(_indexed(docs), "spans")
     each = index.select("doc_id", "tag", F.posexplode("spans").alias("place", "span"))
+    again = park(each.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span"), "repeated-spans", clean=True)
+    some = park(each.join(again, "span", "left_semi"), "repeats", clean=True)
+    release(index, again)
     here = F.struct("doc_id", "tag", "place")
-    first = each.groupBy("span").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
-    later = each.join(first, "span").where(~here.eqNullSafe(F.col("first")))
+    first = some.groupBy("span").agg(F.min(here).alias("first"))
+    later = some.join(first, "span").where(~here.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
 
 
 def cut(text: str, places: list[int]) -> tuple[str, int, int]:
-    """(what stays of text, sentences, removed sentences) when the runs at `places` are taken out."""
-    begins, _ = sentences(text)
-    sizes = runs(text)[1]
+    """(what stays of text, pieces, removed pieces) when the runs at `places` are taken out."""
+    starts, marks, first = _pieces(text)
+    begins, sizes = _begins(text, starts, first)[0], _runs(marks, first)[1]
     gone = np.zeros(len(begins) + 1, np.int64)
     for p in places:
         gone[p] += 1
@@ -127,7 +145,7 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with their text cut, and __before, __sentences, __removed: code points before, sentences, removed sentences."""
+    """docs with their text cut, and __before, __sentences, __removed: code points before, pieces, removed pieces."""
     rows = tagged(docs)
     dup = repeated(rows.select("doc_id", F.col("__tag").alias("tag"), "text")).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__t"), F.col("places").alias("__places"))
     joined = rows.join(dup, rows["doc_id"].eqNullSafe(dup["__id"]) & (rows["__tag"] == dup["__t"]), "left").select(*docs.columns, "__places")

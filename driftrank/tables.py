@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path goes to Spark's reader untouched."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,14 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def park(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here.
+def park(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here. With `clean`, the shuffle files of
+    the write are deleted after it.
 
     A lost executor costs at most the running stage, since what is parked is read again from shared storage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftrank/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true" if clean else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.parked_at = path
     return out

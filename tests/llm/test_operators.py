@@ -356,6 +356,22 @@ def test_a_shared_passage_stays_once(odd):
     assert "hundred years" in got[9] and "hundred years" not in got[10] and "Before it." in got[10] and 14 not in got
 
 
+def test_passages_of_51_words_are_found_wherever_they_stand():
+    import random
+
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(4000)}" + r.choice(["", "", "", "", "", "", "", "", "", ",", "."])
+    for few in (False, True):
+        for _ in range(300):
+            passage = [r.choice(["a", "b"]) if few else word() for _ in range(51)]
+            one, two = ([word() for _ in range(r.randrange(60))] + passage + [word() for _ in range(r.randrange(60))] for _ in range(2))
+            a, b = " ".join(one), " ".join(two)
+            known = set(spans.runs(a)[0])
+            left = spans.cut(b, [p for p, h in enumerate(spans.runs(b)[0]) if h in known])[0]
+            assert len(two) - len(left.split()) >= 51 - 3 * spans.WINDOW
+            assert max(spans.sentences(b)[1]) <= spans.WINDOW
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
