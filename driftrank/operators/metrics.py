@@ -17,22 +17,30 @@ def rankable(df: DataFrame, group: Sequence[str], label: str, k: int) -> DataFra
     return known.withColumns({"__p": F.sum(label).over(w), "__n": F.count("*").over(w)}).where(f"__p > 0 and __n > {k}").drop("__p", "__n")
 
 
-def precision_at(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Column], k: int) -> DataFrame:
-    """The mean over rankable groups of positives among the first k, divided by k; 0 without such a group."""
+def _precisions(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Column], k: int) -> DataFrame:
+    """group, v"""
     w = Window.partitionBy(*group).orderBy(*order)
     top = rankable(df, group, label, k).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-    each = top.groupBy(*group).agg((F.sum(label) / F.lit(float(k))).alias("p"))
-    return each.agg(F.coalesce(F.avg("p"), F.lit(0.0)).alias(f"precision_at_{k}"), F.count("*").alias("groups"))
+    return top.groupBy(*group).agg((F.sum(label) / F.lit(float(k))).alias("v"))
 
 
-def ndcg_at(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Column], k: int, gain: Column | None = None) -> DataFrame:
-    """The mean over rankable groups of DCG by `order` over the DCG of the group's own gains in descending order."""
+def precision_at(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Column], k: int) -> DataFrame:
+    """The mean over rankable groups of positives among the first k, divided by k; 0 without such a group."""
+    return _precisions(df, group, label, order, k).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias(f"precision_at_{k}"), F.count("*").alias("groups"))
+
+
+def _ndcgs(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Column], k: int, gain: Column | None = None) -> DataFrame:
+    """group, v"""
     rows = rankable(df, group, label, k).withColumn("__g", F.col(label).cast("double") if gain is None else gain)
     by_score, best = Window.partitionBy(*group).orderBy(*order), Window.partitionBy(*group).orderBy(F.desc("__g"))
     rows = rows.withColumns({"__i": F.row_number().over(by_score), "__j": F.row_number().over(best)})
     dcg = lambda at: F.sum(F.when(F.col(at) <= k, F.col("__g") / F.log2(F.col(at) + 1.0)).otherwise(0.0))
-    each = rows.groupBy(*group).agg((dcg("__i") / dcg("__j")).alias("v"))
-    return each.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias(f"ndcg_at_{k}"), F.count("*").alias("groups"))
+    return rows.groupBy(*group).agg((dcg("__i") / dcg("__j")).alias("v"))
+
+
+def ndcg_at(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Column], k: int, gain: Column | None = None) -> DataFrame:
+    """The mean over rankable groups of DCG by `order` over the DCG of the group's own gains in descending order."""
+    return _ndcgs(df, group, label, order, k, gain).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias(f"ndcg_at_{k}"), F.count("*").alias("groups"))
 
 
 BANDS = 1024
@@ -90,14 +98,11 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
     )
 
 
-def bootstrap(df: DataFrame, group: Sequence[str], score: str, label: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """low, high: 2.5 and 97.5 percentiles of tie-averaged average precision when whole groups are drawn with replacement.
+def drawn(cells: DataFrame, draws: int, seed: int) -> DataFrame:
+    """cells (with a column g) once for each draw that their group g is in, with draw and w, the group's weight in it.
 
-    A draw weighs a group by how many of as many hash draws as there are groups hit it, so copies are weights and rows of
-    group and score, summed once, are all that is multiplied by the draws.
+    Poisson(1) weights from a hash of group and draw: a group's weight needs no other group.
     """
-    cells = df.groupBy(F.concat_ws("\x1f", *group).alias("g"), F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(label).cast("bigint").alias("r"))
-    # Poisson(1) weights from a hash of group and draw: a group's weight needs no other group.
     u = F.pmod(F.xxhash64("g", "draw", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     steps, p, total = [], 0.36787944117144233, 0.0
     for i in range(12):
@@ -105,13 +110,45 @@ def bootstrap(df: DataFrame, group: Sequence[str], score: str, label: str, draws
         steps.append(total)
         p /= i + 1
     weight = sum(((u >= F.lit(s)).cast("int") for s in steps), F.lit(0))
-    drawn = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight).where("w > 0")
-    runs = drawn.groupBy("draw", "score").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("r") * F.col("w")).alias("r"))
+    return cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight).where("w > 0")
+
+
+def _group(group: Sequence[str]) -> Column:
+    return F.concat_ws("\x1f", *group).alias("g")
+
+
+def _draws_of_precision(df: DataFrame, group: Sequence[str], score: str, label: str, draws: int, seed: int) -> DataFrame:
+    """draw, v: tie-averaged average precision of each draw, null without a positive. Rows of group and score, summed
+    once, are all that is multiplied by the draws."""
+    cells = df.groupBy(_group(group), F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(label).cast("bigint").alias("r"))
+    runs = drawn(cells, draws, seed).groupBy("draw", "score").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("r") * F.col("w")).alias("r"))
     w = Window.partitionBy("draw").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumns({"above": F.coalesce(F.sum("n").over(w), F.lit(0)), "found": F.coalesce(F.sum("r").over(w), F.lit(0))})
-    each = runs.groupBy("draw").agg((F.sum(_expected(*(F.col(c) for c in ("n", "r", "above", "found")))) / F.nullif(F.sum("r"), F.lit(0))).alias("v"))
-    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
-    return each.where("v is not null").agg(q[0].alias("low"), q[1].alias("high"), F.count("*").alias("draws"))
+    return runs.groupBy("draw").agg((F.sum(_expected(*(F.col(c) for c in ("n", "r", "above", "found")))) / F.nullif(F.sum("r"), F.lit(0))).alias("v"))
+
+
+def band(value: str) -> list[Column]:
+    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
+    return [q[0].alias("low"), q[1].alias("high")]
+
+
+def bootstrap(df: DataFrame, group: Sequence[str], score: str, label: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """low, high: 2.5 and 97.5 percentiles of tie-averaged average precision when whole groups are drawn with replacement."""
+    each = _draws_of_precision(df, group, score, label, draws, seed)
+    return each.where("v is not null").agg(*band("v"), F.count("*").alias("draws"))
+
+
+def intervals(df: DataFrame, group: Sequence[str], score: str, other: str, label: str, order: Sequence[Column], draws: int = 2000, seed: int = 0) -> DataFrame:
+    """quantity, low, high, draws: bands of pr_auc, baseline_pr_auc (that of `other`), their lift in the same draw,
+    precision_at_10 and ndcg_at_20 by `order`. A draw without a positive, or without a rankable group, is left out."""
+    a, b = (_draws_of_precision(df, group, x, label, draws, seed) for x in (score, other))
+    pair = a.withColumnRenamed("v", "a").join(b.withColumnRenamed("v", "b"), "draw")
+    named = F.array(*[F.struct(F.lit(x).alias("quantity"), v.alias("v")) for x, v in (("pr_auc", F.col("a")), ("baseline_pr_auc", F.col("b")), ("lift", F.try_divide("a", "b")))])
+    out = pair.select(F.explode(named).alias("x")).select("x.*")
+    for name, each in (("precision_at_10", _precisions(df, group, label, order, 10)), ("ndcg_at_20", _ndcgs(df, group, label, order, 20))):
+        mean = drawn(each.select(_group(group), "v"), draws, seed).groupBy("draw").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+        out = out.unionAll(mean.select(F.lit(name).alias("quantity"), "v"))
+    return out.where("v is not null").groupBy("quantity").agg(*band("v"), F.count("*").alias("draws"))
 
 
 # What a version step promises.

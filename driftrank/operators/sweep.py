@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftrank.operators.metrics import average_precision
+from driftrank.operators.metrics import average_precision, band, drawn
 from driftrank.operators.store import Refused
 
 LEAST_POSITIVES, LEAST_RANKABLE, RESOLUTION = 30, 10, 0.25
@@ -81,14 +81,31 @@ def release_window(releases: DataFrame, key: Column, reason: Column, last: int)
     return rows.withColumn("reason", F.when(F.col("place") > last, "outside_window").otherwise(F.col("why"))).withColumn("place", F.when(F.col("place") <= last, F.col("place"))).select("package", "version", "reason", "place")
 
 
-def rate_intervals(df: DataFrame, group: Sequence[str], by: str, label: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """by, rate, low, high: rates with intervals from whole groups drawn with hash-based Poisson weights."""
+def rate_intervals(df: DataFrame, group: Sequence[str], by: str, label: str, draws: int = 200, seed: int = 0, base: str | None = None) -> DataFrame:
+    """by, rate, low, high: rates with intervals from whole groups drawn with hash-based Poisson weights; and, each with
+    its interval from the same draws, minus_rest and over_rest, the rate's difference from and ratio to that of all other
+    categories, and minus_base and over_base, those to the category `base`, if one is given."""
     cells = df.groupBy(by, F.concat_ws("\x1f", *group).alias("g")).agg(F.count("*").alias("n"), F.sum(label).alias("k"))
-    u = F.pmod(F.xxhash64("g", "draw", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    bounds = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    weight = sum(((u >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
-    drawn = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    each = drawn.groupBy(by, "draw").agg((F.sum(F.col("k") * F.col("w")) / F.nullif(F.sum(F.col("n") * F.col("w")), F.lit(0))).alias("v"))
-    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
-    spread = each.where("v is not null").groupBy(by).agg(q[0].alias("low"), q[1].alias("high"))
-    return cells.groupBy(by).agg((F.sum("k") / F.sum("n")).alias("rate")).join(spread, by)
+
+    def compared(sums: DataFrame, over: list[str]) -> DataFrame:
+        """Of k and n by category and `over`: the columns of the result without intervals."""
+        w = Window.partitionBy(*over)
+        rate = F.try_divide("k", "n")
+        rest = F.try_divide(F.sum("k").over(w) - F.col("k"), F.sum("n").over(w) - F.col("n"))
+        cols = {"rate": rate, "minus_rest": rate - rest, "over_rest": F.try_divide(rate, rest)}
+        if base is not None:
+            first = F.max(F.when(F.col(by) == base, rate)).over(w)
+            cols |= {"minus_base": rate - first, "over_base": F.try_divide(rate, first)}
+        return sums.select(by, *over, *[c.alias(x) for x, c in cols.items()])
+
+    value = compared(cells.groupBy(by).agg(F.sum("k").alias("k"), F.sum("n").alias("n")), [])
+    weighed = drawn(cells, draws, seed).groupBy(by, "draw").agg(F.sum(F.col("k") * F.col("w")).alias("k"), F.sum(F.col("n") * F.col("w")).alias("n"))
+    each = compared(weighed, ["draw"])
+    names = [c for c in value.columns if c != by]
+    ends = []
+    for c in names:
+        low, high = band(c)
+        ends += [low.alias("low" if c == "rate" else f"{c}_low"), high.alias("high" if c == "rate" else f"{c}_high")]
+    spread = each.groupBy(F.col(by).alias("__by")).agg(*ends)
+    out = value.join(spread, F.col(by).eqNullSafe(F.col("__by")))
+    return out.select(by, *[x for c in names for x in ((c, "low", "high") if c == "rate" else (c, f"{c}_low", f"{c}_high"))])

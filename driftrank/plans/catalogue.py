@@ -219,7 +219,8 @@ def q_pr_auc_ties(s):
 
 @query()
 def q_bootstrap(s):
-    return metrics.bootstrap(s.changes.withColumn("score", F.coalesce("score", F.lit(-1.0))), ["package"], "score", "label", draws=50)
+    rows = s.changes.withColumns({"score": F.coalesce("score", F.lit(-1.0)), "other": -names.name_length(F.col("symbol")).cast("double")})
+    return metrics.intervals(rows, ["package"], "score", "other", "label", _tie(), draws=2000)
 
 
 @query("select symbol, user_count, cast(least(greatest(ceil(ln(1 + user_count)), 1), 4) as int) as grade, power(2.0, least(greatest(ceil(ln(1 + user_count)), 1), 4)) - 1 as gain from us")
@@ -624,7 +625,7 @@ def q_shape_lift(s):
 
 @query()
 def q_rate_intervals(s):
-    return sweeps.rate_intervals(s.changes, ["package"], "kind", "label", draws=50)
+    return sweeps.rate_intervals(s.changes, ["package"], "kind", "label", draws=2000, base="OBJECT_REMOVED")
 
 
 @query("""t as (select package, version, upgrade, cast(split_part(version, '.', 1) as int) * 10000 + cast(split_part(version, '.', 2) as int) * 100 + cast(split_part(version, '.', 3) as int) as v from rel),

@@ -8,7 +8,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from driftrank.operators import graph, labels, metrics, relational, store
+from driftrank.operators import graph, labels, metrics, relational, store, sweep
 from driftrank.plans import models
 from driftrank.sources import files
 from driftrank.streaming import events
@@ -230,3 +230,26 @@ def test_scripts_and_catalog(spark):
     assert store.delete_script(ids, "t", "k").count() == 3 and store.delete_script(ids.limit(3), "t", "k").count() == 0
     ids.createOrReplaceTempView("some_ids")
     assert store.columns_of(spark, "some_ids") == ["k"]
+
+
+def test_intervals_of_five_quantities_and_of_rates_against_plain_sums(spark):
+    import numpy as np
+
+    rows = [(f"g{i % 12}", float((i * 7) % 23), float((i * 5) % 11), int(i * i % 7 < 2), "ab"[i % 5 > 1]) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, score double, other double, label int, kind string")
+    got = {r.quantity: r for r in metrics.intervals(df, ["g"], "score", "other", "label", [F.desc("score"), F.desc("other")], draws=300).collect()}
+    assert set(got) == {"pr_auc", "baseline_pr_auc", "lift", "precision_at_10", "ndcg_at_20"} and all(r.draws == 300 and r.low < r.high for r in got.values())
+    w = {(r.g, r.draw): r.w for r in metrics.drawn(df.select("g").distinct(), 300, 0).collect()}
+    top = {g: sum(x[3] for x in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], -x[2]))[:10]) / 10 for g in {x[0] for x in rows}}
+    means = [sum(w.get((g, d), 0) * v for g, v in top.items()) / sum(w.get((g, d), 0) for g in top) for d in range(300)]
+    assert np.allclose([got["precision_at_10"].low, got["precision_at_10"].high], np.percentile(means, [2.5, 97.5]))
+    rate = {r.kind: r for r in sweep.rate_intervals(df, ["g"], "kind", "label", draws=300, base="a").collect()}
+
+    def of(kind, d):
+        k = [(w.get((x[0], d), 0), x[3]) for x in rows if x[4] == kind]
+        return sum(a * b for a, b in k) / sum(a for a, _ in k)
+
+    pair = np.array([[of("a", d), of("b", d)] for d in range(300)])
+    b = rate["b"]
+    assert np.allclose([b.minus_base_low, b.minus_base_high], np.percentile(pair[:, 1] - pair[:, 0], [2.5, 97.5]))
+    assert np.allclose([b.over_rest_low, b.over_rest_high], np.percentile(pair[:, 1] / pair[:, 0], [2.5, 97.5])) and b.minus_base == b.minus_rest
