@@ -107,6 +107,17 @@ def test_quality_keeps_prose_and_rejects_symbols(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, *_ in prose}
 
 
+def test_quality_fences_follow_the_cell(spark):
+    """Words of one more letter, some symbols or repeated lines reject in a cell where others have none, not where all have."""
+    plain = lambda i, more="": " ".join(f"{more}w{(i * 31 + j * 7) % 613:03}" for j in range(60))
+    lines = lambda i: "\n".join([plain(i)] + [f"line {i} x"] * 4)
+    marks = lambda i: plain(i) + " " + "#" * 8
+    rows = [(i, plain(i), "en", "a") for i in range(300)] + [(1000 + i, f(i), "en", "a") for i, f in enumerate((lambda i: plain(i, "ab"), lines, marks))]
+    rows += [(2000 + i, marks(i), "en", "b") for i in range(300)] + [(3000 + i, plain(i, "ab"), "en", "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in quality.keep_good(docs).collect()} == {1000, 1001, 1002}
+
+
 def test_sketch_quartiles_merge_and_come_near(spark):
     docs = spark.createDataFrame([(i, " ".join("abcdefghij"[: 2 + (i * j) % 7] + str(j) for j in range(1, 60)), "en", f"s{i % 3}") for i in range(300)], "doc_id long, text string, lang string, source string")
     rows = quality.measured(docs, ["lang", "source"]).withColumn("x", quality._value("mean_length"))
