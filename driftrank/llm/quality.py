@@ -28,7 +28,7 @@ from driftrank.llm.textkit import shingles, slices, splitmix, utf8, words
 from driftrank.tables import park
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-GAMMA, MIN_ROWS, REACH, SLACK = 1.01, 200, 6.0, 0.01
+GAMMA, MIN_ROWS, REACH, SLACK = 1.01, 200, 6.0, 0.03
 #: metric: (expression over the measured columns, fence below too)
 RULES = {
     "mean_length": ("__word_chars / __n_words", True),
