@@ -1,47 +1,46 @@
 """LM scoring with a weighted backoff automaton.
 
-The model is a bigram model with absolute discounts over words and one end token a text. States are contexts: the root
-(no context) and every word that starts a kept bigram; a bigram is kept if it occurs twice, whatever the corpus' size. An
-arc leads from a state by a token to the state of that token and weighs its log10 probability; where a state has no arc for
-a token, its failure arc leads to the root and weighs the state's backoff. A text is read once, from left to right: the
-state carried along is that of the token before.
-
-Counts cover every training text and grow with it: tables of all tokens and of all bigrams, made by map-side sums and a
-shuffle each. What is needed everywhere is only held twice, broadcast as well, and a share of all tokens bounds that: a
-token with at least 1 / FREQUENT of all tokens (FREQUENT tokens at most) has its root arc and backoff in the broadcast part,
-a pair of such tokens with at least 1 / PAIRS of all tokens (PAIRS at most) its arc. The rest is joined: a text's other
-tokens leave the traversal as (token, times) rows and meet root arc and backoff in the table of tokens; its other pairs
-leave as (pair, times) rows and meet, in the table of kept bigrams, what the arc weighs more than backoff and root arc
-together; both come back as sums. So scores are those of the whole automaton, and the two bounds do not change them.
-
-With c, N, V as counted, D = n1 / (n1 + 2 n2) from the counts of counts, and E the same over all bigrams' counts:
-root arc: (c - D) / N, an unknown token D V / N; kept bigram: (c(uv) - E) / c(u);
-backoff of u: (1 - sum of kept bigrams) / (1 - sum of their root arcs). For every state the probabilities sum to 1.
-
-Defined results: null and empty texts are the end token alone; words and pairs are known by 64-bit hashes; repeated rows are scored
-each time; an empty table gives an empty result; without training text every token is unknown; extra columns are ignored.
+The model is an n-gram model (ORDER words) over words and one end token a text, of every n-gram that training texts hold,
+those that occur once included. States are the n-grams of up to ORDER - 1 tokens. An arc leads from state h by token w where
+hw occurs; where it does not, the failure arc leads to the next shorter state. With c counts, q the probability in the
+shorter state and m its weight MASS, an arc weighs log10((c(hw) + m q) / (c(h) + m)) and a failure arc log10(m / (c(h) + m)):
+Dirichlet smoothing, which needs no other sum over a state's arcs, so for every state the probabilities sum to 1. In the
+root a token weighs log10((c - D) / N), an unknown one log10(D V / N), with D = n1 / (n1 + 2 n2) from the counts of counts.
+A text is read once, from left to right; the state carried along is the longest one that the last tokens name.
+
+Texts are read once and kept as blocks of BLOCK tokens (or one longer text): the block's distinct tokens and the place of
+each of its tokens among them. A block asks for the counts of its own n-grams (tally.py), counts of training texts are
+added up over all blocks, and the answers are the part of the automaton that the block's texts can reach. So what is
+gathered grows with the corpus, nothing is broadcast, no n-gram is left out and a task holds one block at a time.
+
+Defined results: null and empty texts are the end token alone; words and n-grams are known by 64-bit hashes; repeated rows
+are scored each time; an empty table gives an empty result; without training text every token is unknown and scores 0 in the
+model; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftrank.llm import tally
 from driftrank.llm.textkit import slices, splitmix, utf8, words
-from driftrank.tables import park, release
+from driftrank.tables import park
 
 U = np.uint64
-FREQUENT, PAIRS = 1 << 17, 1 << 20
+ORDER = 3
+#: Weight of the shorter state's probability, by the length of the longer state.
+MASS = (0.0, 1000.0, 4.0, 2.0)
+BLOCK = 1 << 19
 END = U(0x1F3D5B79A2C4E608)
-COUNT_SLICE = 16 << 20
-LEAST = 1e-12
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,232 +59,158 @@ def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return splitmix(splitmix(u) + w)
+_BLOCK = "block long, ids array<long>, held array<boolean>, sizes binary, distinct int, length int, vocabulary binary, sequence binary, trained long"
 
 
-def _inner(off: np.ndarray) -> np.ndarray:
-    """Places of the tokens that have one before them in their text."""
-    inner = np.ones(off[-1], bool)
-    inner[off[:-1]] = False
-    return np.flatnonzero(inner)
-
-
-def _discount(n1: int, n2: int) -> float:
-    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-
-
-def _counts(train: DataFrame) -> DataFrame:
-    """token, c"""
+def blocks(docs: DataFrame, limit: int = BLOCK) -> DataFrame:
+    """Texts as blocks: ids, which are held out, sizes in tokens (uint32), the distinct tokens and each token's place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def give() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], ["token", "c"])
+            t = np.concatenate([x[0] for x in held])
+            sizes = np.concatenate([np.diff(x[1]) for x in held])
+            out = [y for x in held for y in x[3]]
+            vocabulary, place, times = np.unique(t, return_inverse=True, return_counts=True)
+            rank = np.empty(len(times), np.uint32)
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(times), dtype=np.uint32)  # frequent tokens get small numbers, which compress well
+            named = np.empty_like(vocabulary)
+            named[rank] = vocabulary
+            row = (number, [y for x in held for y in x[2]], out, tally.squeeze(sizes.astype(np.uint32)), len(vocabulary), len(t), named.tobytes(), tally.squeeze(rank[place]), int(sizes[~np.array(out, bool)].sum()))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()])], [x.split()[0] for x in _BLOCK.split(", ")])
 
         for batch in batches:
             for part in slices(batch):
-                held.append(tokens(part)[0])
-                size += len(held[-1])
-                if size >= COUNT_SLICE // 8:
+                t, off = tokens(part)
+                held.append((t, off, part.column("doc_id").to_pylist(), part.column("held").to_pylist()))
+                size += len(t)
+                if size >= limit:
                     yield give()
-                    held, size = [], 0
+                    number, held, size = number + 1, [], 0
         if held:
             yield give()
 
-    return train.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
+    return rows.mapInArrow(run, _BLOCK)
 
 
-class Automaton:
-    """The part of the automaton that every task holds: frequent tokens, kept bigrams, backoffs."""
+@dataclass
+class Block:
+    """A block's tokens; of n-grams of each length the places they end at and their hashes."""
 
-    def __init__(self, token: np.ndarray, count: np.ndarray, n: int, v: int, discount: float) -> None:
-        order = np.argsort(token)
-        self.token, self.count = token[order], count[order]
-        self.n, self.v, self.discount = n, v, discount
-        self.root = np.log10(np.maximum((self.count - discount) / max(n, 1), 1e-300))
-        size = len(token)
-        self.pair, self.arc = np.zeros(0, np.int64), np.zeros(0)
-        self.backoff = np.zeros(size + 1)  # the last state is the root itself
+    token: np.ndarray
+    sizes: np.ndarray
+    train: np.ndarray  # by token
 
-    @property
-    def unknown(self) -> float:
-        return math.log10(self.discount * self.v / self.n) if self.n else 0.0
-
-    def ids(self, t: np.ndarray) -> np.ndarray:
-        """Numbers of frequent tokens; others are len(token), the root."""
-        size = len(self.token)
-        if not size:
-            return np.zeros(len(t), np.int64)
-        at = np.minimum(np.searchsorted(self.token, t), size - 1)
-        return np.where(self.token[at] == t, at, size)
-
-    def learn(self, pair: np.ndarray, count: np.ndarray, less: float = 0.5, backoff: np.ndarray | None = None) -> None:
-        """Bigram arcs: pair = state * (number of tokens + 1) + token. Without `backoff` these are all arcs of their states."""
-        size = len(self.token) + 1
-        order = np.argsort(pair)
-        pair, count = pair[order], count[order]
-        state, to = pair // size, pair % size
-        p = (count - less) / self.count[state]
-        self.pair, self.arc = pair, np.log10(p)
-        if backoff is None:
-            top = np.bincount(state, p, size)
-            low = np.bincount(state, 10 ** self.root[to], size)
-            backoff = np.log10(np.maximum(1 - top, LEAST) / np.maximum(1 - low, LEAST))
-        self.backoff = backoff
-
-    def walk(self, t: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One traversal: (log10 probability that each token adds as far as known here, numbers, which tokens took no arc of
-        this part from the token before)."""
-        size = len(self.token)
-        here = self.ids(t)
-        state = np.empty(len(t), np.int64)
-        state[1:] = here[:-1]
-        state[off[:-1]] = size  # a text starts at the root
-        key = state * (size + 1) + here
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            direct = (self.pair[at] == key) & (here < size) & (state < size)
-        else:
-            at, direct = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
-        root = np.append(self.root, 0.0)[here]
-        score = np.where(direct, self.arc[at] if len(self.pair) else 0.0, self.backoff[state] + root)
-        return score, here, ~direct
-
-
-def _bigrams(train: DataFrame) -> DataFrame:
-    """u, w, c of all adjacent tokens."""
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        sizes = tally.unsqueeze(row["sizes"], len(row["ids"]), np.uint32).astype(np.int64)
+        token = np.frombuffer(row["vocabulary"], U)[tally.unsqueeze(row["sequence"], row["length"], np.uint32)]
+        return cls(token, sizes, np.repeat(~np.array(row["held"], bool), sizes))
+
+    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places of last tokens, hashes) of the n-grams of 1 to `order` tokens of one text."""
+        n = len(self.token)
+        before = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)  # tokens before each in its text
+        out = [(np.arange(n), self.token)]
+        hashed = self.token
+        for k in range(1, order):
+            at = np.flatnonzero(before >= k)
+            longer = np.zeros(n, U)
+            longer[at] = splitmix(splitmix(hashed[at - 1] + U(k)) + self.token[at])
+            hashed = longer
+            out.append((at, hashed[at]))
+        return out
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def requests(parked: DataFrame, k: int, buckets: int) -> DataFrame:
+    """Requests for the n-grams of k tokens; k is their kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        for row in _each(batches):
+            block = Block.of(row)
+            at, keys = block.grams(k)[-1]
+            yield tally.requests(row["block"], k, *tally.counted(keys, block.train[at]), buckets)
 
-        def give() -> pa.RecordBatch:
-            u, w = (np.concatenate(x) for x in zip(*held))
-            _, at, c = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(c)], ["u", "w", "c"])
+    return parked.mapInArrow(run, tally.REQUEST)
 
-        for batch in batches:
-            for part in slices(batch):
-                t, off = tokens(part)
-                at = _inner(off)
-                held.append((t[at - 1], t[at]))
-                size += len(at)
-                if size >= COUNT_SLICE // 8:
-                    yield give()
-                    held, size = [], 0
-        if held:
-            yield give()
 
-    return train.select("text").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+@dataclass
+class Automaton:
+    """The root's arcs, and how a state's arcs follow from counts."""
+
+    n: int
+    v: int
+    n1: int
+    n2: int
+    mass: tuple[float, ...] = MASS
+
+    @property
+    def discount(self) -> float:
+        return self.n1 / (self.n1 + 2 * self.n2) if self.n1 and self.n2 else 0.5
+
+    def root(self, c: np.ndarray) -> np.ndarray:
+        if not self.n:
+            return np.ones(len(c))
+        return np.where(c > 0, c - self.discount, self.discount * self.v) / self.n
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10(c + 1.0) - math.log10(self.n + self.v + 1)
 
-def _keys(u: Column, w: Column) -> Column:
-    """pair_keys of two columns."""
+    def step(self, shorter: np.ndarray, state: np.ndarray, arc: np.ndarray, length: int) -> np.ndarray:
+        """Probability in a state of `length` tokens and count `state`: of its arc of count `arc`, or along its failure arc (arc 0)."""
+        m = self.mass[min(length, len(self.mass) - 1)]
+        return (arc + m * shorter) / (state + m)
 
-    @F.pandas_udf("long")
-    def key(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(pair_keys(a.to_numpy(np.int64).view(U), b.to_numpy(np.int64).view(U)).view(np.int64))
+    def walk(self, block: Block, totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of each token, its count) from the totals of the block's distinct n-grams, by their length."""
+        p = last = count = np.zeros(0)
+        for k, ((at, keys), total) in enumerate(zip(block.grams(len(totals)), totals)):
+            here = np.zeros(len(block.token))
+            here[at] = total[np.unique(keys, return_inverse=True)[1]]
+            if k:
+                p[at] = self.step(p[at], last[at - 1], here[at], k)
+            else:
+                p, count = self.root(here), here
+            last = here
+        return np.log10(p), count
 
-    return key(u, w)
 
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
-def score(docs: DataFrame, frequent: int = FREQUENT, pairs: int = PAIRS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+
+def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token of each row."""
     spark = docs.sparkSession
-    train = docs.where(~held_out(F.col("doc_id")))
-    count = park(_counts(train), "token-counts")
-    ones, twos = F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    n, v, n1, n2, ends = count.agg(F.sum("c"), F.count("*"), ones, twos, F.sum(F.when(F.col("token") == int(END), F.col("c")))).first()
-    n = n or 0
-    discount = _discount(n1, n2)
-    root = lambda c: (c - F.lit(discount)) / F.lit(float(max(n, 1)))
-    # Counts of counts are taken of all bigrams before the single ones go; without a bigram there is nothing to see.
-    seen = Observation()
-    twice = park(_bigrams(train).observe(seen, ones, twos).where("c > 1"), "bigrams")
-    less = _discount(seen.get["n1"], seen.get["n2"]) if n > (ends or 0) else 0.5
-    # Each kept bigram with the count of its second token.
-    kept = park(twice.join(count.select(F.col("token").alias("w"), F.col("c").alias("cw")), "w"), "arcs")
-    release(twice)
-    states = kept.groupBy("u").agg(F.sum(F.col("c") - F.lit(less)).alias("top"), F.sum(root(F.col("cw"))).alias("low"))
-    rest = lambda x: F.greatest(1 - x, F.lit(LEAST))
-    backoff = F.coalesce(F.log10(rest(F.col("top") / F.col("c")) / rest(F.col("low"))), F.lit(0.0))
-    known_tokens = park(count.join(states, F.col("token") == F.col("u"), "left").select("token", "c", backoff.alias("backoff")), "states")
-    from_u = known_tokens.select(F.col("token").alias("u"), F.col("c").alias("cu"), "backoff")
-    more = F.log10((F.col("c") - F.lit(less)) / F.col("cu")) - F.col("backoff") - F.log10(root(F.col("cw")))
-    arcs = kept.join(from_u, "u").select(_keys(F.col("u"), F.col("w")).alias("token"), F.lit(0).cast("long").alias("c"), more.alias("more"))
-    weights = known_tokens.select("token", "c", F.col("backoff").alias("more")).unionAll(arcs)
-    # At most `frequent` rows (24 bytes each) and `pairs` rows pass these shares.
-    top = known_tokens.where(F.col("c") * frequent >= n).toPandas().sort_values("token", key=lambda x: x.astype(np.int64).to_numpy().view(U))
-    model = Automaton(np.array(top["token"], np.int64).view(U), np.array(top["c"], np.float64), n, v, discount)
-    hot = kept.where(F.col("c") * pairs >= n).select("u", "w", "c").toPandas()
-    u, w = (model.ids(np.array(hot[x], np.int64).view(U)) for x in ("u", "w"))
-    size = len(model.token)
-    both = (u < size) & (w < size)
-    model.learn((u * (size + 1) + w)[both], np.array(hot["c"], np.float64)[both], less, np.append(np.array(top["backoff"], np.float64), 0.0))
-    sent = spark.sparkContext.broadcast(model)
-    scale = math.log10(n + v + 1)
+    parked = park(blocks(docs, block), "lm-blocks")
+    n, length = parked.agg(F.sum("trained"), F.sum("length")).first()
+    parts, buckets = tally.shape(length or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # One length after the other, so that the requests of one are on disk at a time.
+    answered = [tally.answers(requests(parked, k, buckets), parts, f"lm-counts-{k}") for k in range(1, order + 1)]
+    seen = answered[0].agg(*[F.sum(c) for c in ("seen", "once", "twice")]).first()
+    model = Automaton(n or 0, *[x or 0 for x in seen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at = sent.value, TaskContext.get().partitionId() << 40
-        log_count = np.append(np.log10(known.count + 1), 0.0)
-        for batch in batches:
-            for part in slices(batch):
-                t, off = tokens(part)
-                gain, here, open_ = known.walk(t, off)
-                rare = here == len(known.token)
-                first, rows = off[:-1], part.num_rows
-                size = np.diff(off)
-                uid = at + np.arange(rows)
-                at += rows
-                doc = np.repeat(np.arange(rows), size)
-                found = np.add.reduceat(~rare, first) if rows else size
-                base, model_score = np.add.reduceat(log_count[here], first), np.add.reduceat(gain, first)
-                # What is joined: rare tokens, and pairs without an arc in this part.
-                at_pair = _inner(off)
-                at_pair = at_pair[open_[at_pair]]
-                rt = np.concatenate([t[rare], pair_keys(t[at_pair - 1], t[at_pair])])
-                rd = np.concatenate([doc[rare], doc[at_pair]])
-                rp = np.concatenate([np.zeros(int(rare.sum()), bool), np.ones(len(at_pair), bool)])
-                if len(rt):
-                    order = np.lexsort((rt, rd))
-                    rt, rd, rp = rt[order], rd[order], rp[order]
-                    new = np.flatnonzero(np.concatenate([[True], (rt[1:] != rt[:-1]) | (rd[1:] != rd[:-1])]))
-                    times = np.diff(np.append(new, len(rt)))
-                    rt, rd, rp = rt[new], rd[new], rp[new]
-                else:
-                    times = np.zeros(0, np.int64)
-                none = len(rt)
-                # A text's own row carries a key that no token has, so that such rows are spread like tokens.
-                lone = (uid.astype(U) * U(0x9E3779B97F4A7C15)) ^ U(1 << 63)
-                both = lambda a, b, kind: pa.array(np.concatenate([a, b]), kind)
-                ids = part.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        both(rt.view(np.int64), lone.view(np.int64), pa.int64()), both(uid[rd], uid, pa.int64()),
-                        both(times, np.zeros(rows, np.int64), pa.int32()), both(rp, np.zeros(rows, bool), pa.bool_()),
-                        pa.concat_arrays([pa.nulls(none, pa.int64()), ids.cast(pa.int64())]),
-                        pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(size, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(found, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(none, pa.float64()), pa.array(base)]),
-                        pa.concat_arrays([pa.nulls(none, pa.float64()), pa.array(model_score)]),
-                    ],
-                    ["token", "uid", "times", "pair", "doc_id", "size", "found", "base", "gain"],
-                )
-
-    walked = docs.select("doc_id", "text").mapInArrow(run, "token long, uid long, times int, pair boolean, doc_id long, size long, found long, base double, gain double")
-    joined = walked.join(weights, "token", "left")
-    c, times = F.coalesce("c", F.lit(0)), F.col("times")
-    rooted = F.when(F.col("pair"), F.lit(0.0)).when(c > 0, F.log10(root(c))).otherwise(F.lit(model.unknown)) + F.coalesce("more", F.lit(0.0))
-    sums = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("size").alias("n_tokens"),
-        F.sum(F.coalesce("found", F.lit(0)) + F.when(c > 0, times).otherwise(0)).cast("long").alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + times * F.log10(c + 1.0)).alias("base"),
-        F.sum(F.coalesce("gain", F.lit(0.0)) + times * rooted).alias("score"),
-    )
-    return sums.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score",
+        for row in _each(batches):
+            own = Block.of(row)
+            p, count = model.walk(own, [tally.totals(row["got"], k) for k in range(1, order + 1)])
+            first = np.cumsum(own.sizes) - own.sizes
+            add = lambda x: pa.array(np.add.reduceat(x, first))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(own.sizes), add((count > 0).astype(np.int64)), add(model.base(count)), add(p)],
+                [x.split()[0] for x in _SCORED.split(", ")],
+            )
+
+    scored = parked.join(tally.by_block(reduce(DataFrame.unionAll, answered)), "block").mapInArrow(run, _SCORED)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
+        (F.col("score") / F.col("n_tokens")).alias("score_per_token"),
     )

@@ -198,67 +198,70 @@ def test_lm_scoring(docs):
     assert all(r.score < 0 for r in got)
 
 
-def test_lm_probabilities_sum_to_one_and_do_not_depend_on_what_is_broadcast(spark, sf):
-    docs = table(spark, sf, "documents")
-    one, two = ({r.doc_id: r for r in lm.score(docs, frequent=f, pairs=1 << 16).collect()} for f in (1 << 17, 300))
-    held = [i for i in one if one[i].held_out]
-    assert sum(one[i].score for i in held) > sum(one[i].base_score for i in held)
-    unigram = {r.doc_id: r for r in lm.score(docs, frequent=1, pairs=1).collect()}
-    few = {r.doc_id: r for r in lm.score(docs, frequent=1 << 17, pairs=1).collect()}
-    assert all(abs(unigram[i].score - few[i].score) < 1e-6 * abs(few[i].score) for i in few)
-    assert set(two) == set(one)
-
-
-def _lm_scores(rows):
+def _lm_scores(rows, order, mass):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     split = lambda t: [*WORD.findall(t.translate(LOWER)), None]
-    less = lambda x: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(sum(k == 1 for k in x.values()), sum(k == 2 for k in x.values()))
-    c, pair = Counter(), Counter()
+    c = Counter()
     for i, t in rows:
         if not held(i):
             w = split(t)
-            c.update(w)
-            pair.update(zip(w, w[1:]))
-    n, d, e = sum(c.values()), less(c), less(pair)
-    root = lambda w: (c[w] - d) / n if c[w] else d * len(c) / n
-    top, low = Counter(), Counter()
-    for (u, w), k in pair.items():
-        if k > 1:
-            top[u] += (k - e) / c[u]
-            low[u] += root(w)
+            c.update(tuple(w[a:b]) for a in range(len(w)) for b in range(a + 1, min(a + order, len(w)) + 1))
+    single = [k for g, k in c.items() if len(g) == 1]
+    n, v, n1, n2 = sum(single), len(single), single.count(1), single.count(2)
+    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(h, w):
+        if not h:
+            return ((c[(w,)] - d) / n if c[(w,)] else d * v / n) if n else 1.0
+        m = mass[len(h)]
+        return (c[(*h, w)] + m * p(h[1:], w)) / (c[h] + m)
+
     for i, t in rows:
         w = split(t)
-        out = math.log10(root(w[0]))
-        for u, x in zip(w, w[1:]):
-            if pair[u, x] > 1:
-                out += math.log10((pair[u, x] - e) / c[u])
-            else:
-                out += math.log10(max(1 - top[u], 1e-12) / max(1 - low[u], 1e-12) * root(x))
-        yield i, out
+        yield i, sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(len(w)))
 
 
-@pytest.mark.parametrize("frequent, pairs", [(lm.FREQUENT, lm.PAIRS), (300, 500), (1, 1)])
-def test_lm_uses_every_repeated_bigram(docs, frequent, pairs):
+@pytest.mark.parametrize("order, block", [(lm.ORDER, lm.BLOCK), (lm.ORDER, 700), (2, 1), (1, lm.BLOCK)])
+def test_lm_score_is_that_of_a_plain_backoff_model(docs, order, block):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
-    want = sorted(_lm_scores(texts(docs)), key=key)
-    got = sorted(((r.doc_id, r.score) for r in lm.score(docs, frequent, pairs).collect()), key=key)
+    want = sorted(_lm_scores(texts(docs), order, lm.MASS), key=key)
+    got = sorted(((r.doc_id, r.score) for r in lm.score(docs, order, block).collect()), key=key)
     assert [i for i, _ in got] == [i for i, _ in want]
     assert all(abs(x - y) < 1e-7 * max(1, abs(y)) for (_, x), (_, y) in zip(got, want))
 
 
+def test_lm_beats_single_words_on_held_out_texts(spark, sf):
+    held = [r for r in lm.score(table(spark, sf, "documents")).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_without_training_text(spark):
+    rows = [(i, "some words") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all((r.train_tokens, r.n_known, r.score) == (0, 0, 0.0) for r in got)
+
+
 def test_automaton_is_a_distribution():
-    token = np.array([5, 9, 11], np.uint64)
-    model = lm.Automaton(token, np.array([50.0, 30.0, 10.0]), 100, 13, 0.5)
-    model.learn(np.array([0 * 4 + 1, 0 * 4 + 2, 1 * 4 + 0]), np.array([20.0, 5.0, 7.0]))
-    for state in range(2):
-        p = 0.0
-        for to in range(3):
-            t = np.array([token[state], token[to]])
-            p += 10 ** model.walk(t, np.array([0, 2]))[0][1]
-        # what no frequent token takes: rare root arcs and the unknown token
-        rest = 1 - sum(10**model.root)
-        p += 10 ** model.backoff[state] * rest
-        assert abs(p - 1) < 1e-9
+    model = lm.Automaton(100, 13, 5, 2)
+    c = np.array([40, 30, 12, 2, 2, 1, 1, 1, 1, 1, 5, 3, 1])
+    root = model.root(np.append(c, 0))
+    # 13 known tokens, what the unknown ones share, and a state of 9 with arcs to three of the known ones
+    assert abs(root.sum() - 1) < 1e-9
+    assert abs(model.step(root, np.full(14, 9.0), np.array([4.0, 0, 3, 0, 0, 2] + [0] * 8), 1).sum() - 1) < 1e-9
+
+
+def test_tally_adds_up_over_blocks(spark):
+    from driftrank.llm import tally
+
+    r = np.random.default_rng(3)
+    keys = [np.unique(r.integers(0, 1 << 63, 50, np.uint64) % np.uint64(1 << 50) << np.uint64(14) if i % 2 else r.integers(0, 40, 30, np.uint64)) for i in range(6)]
+    rows = [x for i, k in enumerate(keys) for x in tally.requests(i, i % 2, k, np.full(len(k), i), 7).to_pylist()]
+    found = tally.by_block(tally.answers(spark.createDataFrame(rows, tally.REQUEST), 5, "test")).collect()
+    want = Counter((i % 2, int(x)) for i, k in enumerate(keys) for x in k.tolist() for _ in range(i))
+    for row in found:
+        k = row.block % 2
+        assert tally.totals([g.asDict() for g in row.got], k).tolist() == [want[k, int(x)] for x in keys[row.block].tolist()]
+    assert len(found) == 6
 
 
 def _bytes_left(rows):
