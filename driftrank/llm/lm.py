@@ -124,18 +124,11 @@ class Block:
         return out
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows one at a time."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
 def requests(parked: DataFrame, k: int, buckets: int) -> DataFrame:
     """Requests for the n-grams of k tokens; k is their kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
+        for row in tally.each(batches):
             block = Block.of(row)
             at, keys = block.grams(k)[-1]
             yield tally.requests(row["block"], k, *tally.counted(keys, block.train[at]), buckets)
@@ -199,7 +192,7 @@ def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
     model = Automaton(n or 0, *[x or 0 for x in seen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
+        for row in tally.each(batches):
             own = Block.of(row)
             p, count = model.walk(own, [tally.totals(row["got"], k) for k in range(1, order + 1)])
             first = np.cumsum(own.sizes) - own.sizes

@@ -9,6 +9,9 @@ counted: where all suffixes of a gram agree, all their windows repeat. Only wher
 those bytes fetched, one text for each distinct context, and the windows compared by hash and offset; the windows found
 are induced back to every suffix with that context, wherever it is.
 
+Beside the exact removal, `longest_shared` tells of each text the longest passage that occurs elsewhere, LENGTH or not, in
+whole content-defined pieces: passages of over 50 words are often shorter than LENGTH bytes.
+
 A gram with more than MOST_CONTEXTS different contexts isn't brought together: its windows are dealt out by hash, so no
 task holds a group that grows with the corpus.
 
@@ -24,10 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftrank.llm.textkit import slices, splitmix, utf8
+from driftrank.llm import tally
+from driftrank.llm.textkit import powers, slices, splitmix, utf8
 from driftrank.tables import park, release
 
 LENGTH, GRAM = 400, 48
@@ -69,6 +74,23 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[:-rest], x[rest:]) if rest else x
 
 
+def _ahead(h: np.ndarray, off: np.ndarray, reach: int) -> np.ndarray:
+    """For each place, how far ahead of it the least of the next reach + 1 hashes is, the leftmost of equals within a text."""
+    n = off[-1]
+    place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
+
+    def near(shift: int) -> np.ndarray:
+        at = (place + shift).astype(U) & _PLACE
+        least = _slide((h & ~_PLACE) | at[: len(h)], reach + 1, np.minimum)
+        return ((least - at[: len(least)]) & _PLACE).astype(np.int64)
+
+    out = near(0)
+    if int(np.diff(off).max()) > int(_PLACE):  # places of a very long text start over; where they do, half a turn on is the truth
+        wrapped = (place[: len(out)].astype(U) & _PLACE) > _PLACE - U(reach)
+        out[wrapped] = near(int(_PLACE + U(1)) // 2)[wrapped]
+    return out
+
+
 def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Picked strings that some window of a text picks: (position in raw, gram hash, first and last window that picks it).
 
@@ -80,14 +102,11 @@ def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return none, np.zeros(0, U), none, none
     g = grams(raw, (16, 32))
     h = _join(g[32][: n - GRAM + 1], g[16][32 : 32 + n - GRAM + 1])
-    size = np.diff(off)
-    begin = np.repeat(off[:-1], size)
-    place = (np.arange(n) - begin).astype(U) & _PLACE
-    least = _slide((h & ~_PLACE) | place[: len(h)], REACH + 1, np.minimum)
-    start = np.flatnonzero(np.arange(len(least)) + LENGTH <= np.repeat(off[1:], size)[: len(least)])
+    ahead = _ahead(h, off, REACH)
+    start = np.flatnonzero(np.arange(len(ahead)) + LENGTH <= np.repeat(off[1:], np.diff(off))[: len(ahead)])
     if not len(start):
         return none, np.zeros(0, U), none, none
-    owner = start + ((least[start] - place[start]) & _PLACE).astype(np.int64)
+    owner = start + ahead[start]
     new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     at = owner[new]
     return at, h[at], start[new], start[np.append(new[1:], len(start)) - 1]
@@ -224,18 +243,101 @@ def removed(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     release(all_, often)
     kind = some.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos", "left", "right")).alias("one"))
     kind = park(kind, "contexts")
-    many = kind.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    # Parked for the same reason, as are the ranges found: both meet all suffixes of a gram.
+    many = park(kind.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "grams-mixed")
     wanted = kind.join(many, "gram").select("gram", "digest", "n", "one.*", (F.col("contexts") > most_contexts).alias("hot"))
     contexts = park(_contexts(docs, wanted), "context-bytes")
     cool, hot = contexts.where("not hot"), contexts.where("hot")
     found = _repeats(cool.repartition("gram").sortWithinPartitions("gram"))
     if not hot.isEmpty():
         found = found.union(_repeats_dealt(hot))
+    found = park(found, "ranges")
+    release(contexts)
     uniform = some.join(many, "gram", "left_anti").select("doc_id", "tag", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")).where(f"b - a >= {LENGTH}")
     mixed = some.join(found, ["gram", "digest"]).select("doc_id", "tag", (F.col("pos") + F.col("first")).alias("a"), (F.col("pos") + F.col("last") + LENGTH).alias("b"))
     return uniform.union(mixed).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
 
 
+_PIECES = "block long, ids array<long>, tags array<int>, pieces binary, starts binary, ends binary, hashes binary, size int"
+#: A piece's border is the least of PIECE_REACH + 1 neighbouring hashes of PIECE_GRAM bytes; runs under LEAST_SHARED bytes don't count.
+PIECE_GRAM, PIECE_REACH, LEAST_SHARED = 32, 96, 224
+PIECES_BLOCK = 1 << 18
+
+
+def _cut(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first byte, end, hash) of the pieces between borders that follow one another in a text. Borders depend on the
+    bytes around them alone; a piece holds both of its borders' grams."""
+    none = np.zeros(0, np.int64)
+    if len(raw) < PIECE_GRAM + PIECE_REACH:
+        return none, none, none, np.zeros(0, U)
+    h = grams(raw, (PIECE_GRAM,))[PIECE_GRAM]
+    ahead = _ahead(h, off, PIECE_REACH)
+    start = np.flatnonzero(np.arange(len(ahead)) + PIECE_GRAM + PIECE_REACH <= np.repeat(off[1:], np.diff(off))[: len(ahead)])
+    border = np.unique(start + ahead[start])
+    doc = np.searchsorted(off, border, side="right") - 1
+    at = np.flatnonzero(doc[1:] == doc[:-1])
+    a, b, doc = border[at], border[at + 1] + PIECE_GRAM, doc[at]
+    power, inverse = powers(len(raw))
+    upto = np.zeros(len(raw) + 1, U)
+    np.cumsum(_BYTE[raw] * power[: len(raw)], out=upto[1:])
+    return doc, a - off[doc], b - off[doc], splitmix((upto[b] - upto[a]) * inverse[a] + (b - a).astype(U))
+
+
+def longest_shared(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, longest: bytes of the longest run of pieces of a text that all occur elsewhere too, in any text or in this
+    one, if LEAST_SHARED at least. A passage held in common is longer by up to PIECE_GRAM + PIECE_REACH bytes at either end.
+
+    Blocks of texts ask for the counts of their pieces (tally.py), so a piece that many texts hold is one row a block.
+    """
+    spark = docs.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def give() -> pa.RecordBatch:
+            a, b, h, per = (np.concatenate(x) for x in zip(*[y[2:] for y in held]))
+            row = (number, [i for y in held for i in y[0]], [i for y in held for i in y[1]], *[tally.squeeze(x.astype(np.uint32)) for x in (per, a, b - a)], h.tobytes(), len(h))
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in _PIECES.split(", ")])
+
+        for batch in batches:
+            for part in slices(batch):
+                doc, a, b, h = _cut(*utf8(part.column("text")))
+                held.append((part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), a, b, h, np.bincount(doc, minlength=part.num_rows)))
+                size += len(h) + part.num_rows
+                if size >= PIECES_BLOCK:
+                    yield give()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield give()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in tally.each(batches):
+            h = np.frombuffer(row["hashes"], U)
+            yield tally.requests(row["block"], 0, *tally.counted(h, np.ones(len(h), bool)), buckets)
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in tally.each(batches):
+            per, (a, width) = tally.unsqueeze(row["pieces"], len(row["ids"]), np.uint32), (tally.unsqueeze(row[c], row["size"], np.uint32).astype(np.int64) for c in ("starts", "ends"))
+            total = tally.totals(row["got"], 0)
+            at = np.flatnonzero(total[np.unique(np.frombuffer(row["hashes"], U), return_inverse=True)[1]] > 1)
+            doc = np.repeat(np.arange(len(per)), per)[at]
+            best = np.zeros(len(per), np.int64)
+            if len(at):
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+                last = np.append(new[1:], len(at)) - 1
+                np.maximum.at(best, doc[new], a[at[last]] + width[at[last]] - a[at[new]])
+            keep = np.flatnonzero(best >= LEAST_SHARED)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()).take(pa.array(keep)), pa.array(row["tags"], pa.int32()).take(pa.array(keep)), pa.array(best[keep])], ["doc_id", "tag", "longest"])
+
+    pieces = park(docs.mapInArrow(cut, _PIECES), "pieces")
+    parts, buckets = tally.shape(pieces.agg(F.sum("size")).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    answered = tally.answers(pieces.mapInArrow(ask, tally.REQUEST), parts, "piece-counts")
+    out = park(pieces.join(tally.by_block(answered), "block").mapInArrow(longest, "doc_id long, tag int, longest long"), "longest", clean=True)
+    release(pieces, answered)
+    return out
+
+
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching spans."""
     out: list[tuple[int, int]] = []
@@ -248,10 +350,14 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """doc_id, kept (binary), spans (array of removed byte ranges), n_bytes, n_removed of each row."""
+    """doc_id, kept (binary), spans (array of removed byte ranges), n_bytes, n_removed, longest_shared of each row."""
     rows = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    gone = removed(rows.where(f"octet_length(text) >= {LENGTH}"), most_contexts).select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "spans")
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["i"]) & (rows["tag"] == gone["t"]), "left").select("doc_id", "text", "spans")
+    shared = longest_shared(rows.where(f"octet_length(text) >= {LEAST_SHARED}"))
+    # Both sides have a row for each of a text's repeated rows at most.
+    found = removed(rows.where(f"octet_length(text) >= {LENGTH}"), most_contexts).withColumn("longest", F.lit(0).cast("long"))
+    both = found.unionByName(shared.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
+    gone = both.groupBy(F.col("doc_id").alias("i"), F.col("tag").alias("t")).agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("longest").alias("longest"))
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["i"]) & (rows["tag"] == gone["t"]), "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).alias("longest_shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +371,8 @@ def dedup(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
                     size.append(len(raw))
                 kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(size, pa.int64()), pa.array([n - len(k) for n, k in zip(size, kept)], pa.int64())],
-                    ["doc_id", "kept", "spans", "n_bytes", "n_removed"],
+                    [part.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(size, pa.int64()), pa.array([n - len(k) for n, k in zip(size, kept)], pa.int64()), part.column("longest_shared")],
+                    ["doc_id", "kept", "spans", "n_bytes", "n_removed", "longest_shared"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, kept binary, spans array<struct<a: long, b: long>>, n_bytes long, n_removed long")
+    return joined.mapInArrow(run, "doc_id long, kept binary, spans array<struct<a: long, b: long>>, n_bytes long, n_removed long, longest_shared long")

@@ -60,6 +60,13 @@ def requests(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bucket
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _REQUEST)], [x.split()[0] for x in REQUEST.split(", ")])
 
 
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def shape(keys: int, shuffle_partitions: int) -> tuple[int, int]:
     """(partitions, buckets) for so many requested keys."""
     parts = max(shuffle_partitions, -(-keys // (2 * BUCKET_KEYS)))

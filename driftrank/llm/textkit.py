@@ -139,3 +139,17 @@ def distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[keep], owner[keep]
     return values, np.searchsorted(owner, np.arange(n + 1), side="left")
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, U), np.ones(1, U)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers, at least, of an odd number and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 2 * len(_POWERS[i])), x, U)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS
