@@ -7,9 +7,9 @@ As a string a sketch is `v1:<k>:<scale>:<number of shingles>:<base64 of the asce
 out of a merged one. Likeness is the estimated resemblance |A and B| / |A or B|; where neither text keeps a hash it is 1
 for equal numbers of shingles and equal digests of them, else 0.
 
-Neighbours in descending id order are found without a global sort in one task: rows are dealt to ranges of ids; a range
-reads its rows in order, and the largest row below its lower bound is sent to it as well. Only the bounds of the ranges,
-one row a range, reach the driver.
+Neighbours in descending id order are found without a global sort in one task: rows are dealt to ranges of ids that hold
+about equally many rows, however the ids are spread; a range reads its rows in order, and the largest row below its lower
+bound is sent to it as well. Only the ends of the ranges, one row a range, reach the driver.
 
 Defined results: null and empty texts have no shingle; with fewer words than k the whole sequence is the one shingle;
 equal ids are ordered by text; a null id comes last in descending order; an empty table gives an empty result; a single
@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from driftrank.llm.textkit import distinct, shingles, utf8, words
 K, SCALE = 5, 8
 U = np.uint64
 _SLICE = 1 << 20
+#: Ranges are larger than asked for only beyond so many (1.6 TB at 8 MB each).
+MOST_RANGES = 200_000
 
 
 def sketch_all(texts: list[str], k: int = K, scale: int = SCALE) -> list[tuple[int, int, np.ndarray]]:
@@ -76,40 +79,47 @@ def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) ->
     return common / (len(x) + len(y) - common)
 
 
-def _ranges(docs: DataFrame, bytes_each: int) -> tuple[list[int], int]:
-    """Lower bounds of ranges of ids of about equal bytes, from a histogram of ids, and the number of rows."""
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.count("*")).first()
-    low, high, size, n = ends
-    if not n or low is None:
-        return [], n
-    parts = max(1, min(4096, -(-size // bytes_each)))
-    step = max(1, (high - low + 1) // (16 * parts))
-    bins = docs.where("doc_id is not null").groupBy(F.expr(f"(doc_id - {low}) div {step}").alias("bin")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("b"))
-    # At most 16 bins and some for each range: a row each, summed before they are shuffled.
-    run = bins.selectExpr("bin", "sum(b) over (order by bin) as upto").selectExpr("bin", f"cast(ceil(upto / {max(1, size // parts)}) as int) as part")
-    return sorted(low + r.m * step for r in run.groupBy("part").agg(F.min("bin").alias("m")).collect())[1:], n
+def _ranges(rows: DataFrame, bytes_each: int) -> list[tuple[int, int, int, int]]:
+    """(least id, its text's hash, largest id, its text's hash) of ranges of about equal numbers of rows, ascending.
+
+    Spark's range partitioner deals the ids and hashes alone; what is used of it are the ranges' own least and largest rows.
+    """
+    size = rows.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0]
+    if not size:
+        return []
+    parts = max(1, min(MOST_RANGES, -(-size // bytes_each)))
+    edge = F.struct("i", "c")
+    dealt = rows.select("i", "c").repartitionByRange(parts, "i", "c").groupBy(F.spark_partition_id().alias("p")).agg(F.min(edge).alias("a"), F.max(edge).alias("b"))
+    return sorted((r.a.i, r.a.c, r.b.i, r.b.c) for r in dealt.collect())  # one row a range
+
+
+def _destinations(ranges: list[tuple[int, int, int, int]], i: np.ndarray, c: np.ndarray) -> list[list[int]]:
+    """Of each row its range; a range's largest row goes, as -1 - range, to the next range too, whose least row it follows."""
+    low, low_c, top, top_c = (np.array(x, np.int64) for x in zip(*ranges))
+    part = np.searchsorted(low, i, side="right") - 1
+    first = np.searchsorted(low, i, side="left")
+    for j in np.flatnonzero(first <= part).tolist():  # ids at which ranges begin
+        part[j] = first[j] - 1 + np.searchsorted(low_c[first[j] : part[j] + 1], c[j], side="right")
+    is_top = (top[part] == i) & (top_c[part] == c)
+    return [[p, -1 - (p + 1) % len(low)] if t else [p] for p, t in zip(part.tolist(), is_top.tolist())]
 
 
 def fingerprints(docs: DataFrame, bytes_each: int = 8 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds, n = _ranges(rows, bytes_each)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     spark = docs.sparkSession
-    rows = rows.withColumn("part", _place(key, bounds))
-    edge = F.struct(key.alias("i"), F.xxhash64("text").alias("c"))
-    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max(edge).alias("top")).collect()}  # one row a range
-    order = sorted(tops)
-    if not order:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "c": F.xxhash64("text")})
+    ranges = _ranges(rows, bytes_each)
+    if not ranges:
         return spark.createDataFrame([], _SCHEMA)
-    # A range's least row needs the largest row of the range below; the least row of all needs the largest of all.
-    at = F.create_map(*[F.lit(x) for a in order for x in (a, tops[a].i)])
-    hx = F.create_map(*[F.lit(x) for a in order for x in (a, tops[a].c)])
-    up = F.create_map(*[F.lit(x) for a, b in zip(order, order[1:] + order[:1]) for x in (a, b)])
-    is_top = (key == at[F.col("part")]) & (F.xxhash64("text") == hx[F.col("part")])
-    sent = F.when(is_top, F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("g")), F.struct(up[F.col("part")].alias("p"), F.lit(True).alias("g")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("g"))))
-    dealt = rows.select("doc_id", "text", F.explode(sent).alias("s")).select("doc_id", "text", F.col("s.p").alias("part"), F.col("s.g").alias("ghost"))
-    ordered = dealt.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
+    told = spark.sparkContext.broadcast(ranges)  # MOST_RANGES rows at most
+
+    @F.pandas_udf("array<int>")
+    def to(i: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(_destinations(told.value, i.to_numpy(np.int64), c.to_numpy(np.int64)))
+
+    dealt = rows.withColumn("s", F.explode(to("i", "c"))).select("doc_id", "text", "c", F.when(F.col("s") < 0, -1 - F.col("s")).otherwise(F.col("s")).alias("part"), (F.col("s") < 0).alias("ghost"))
+    ordered = dealt.repartition(len(ranges), "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), F.desc("c")).drop("c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []  # rows of one range in order, not yet given out
@@ -153,14 +163,3 @@ def fingerprints(docs: DataFrame, bytes_each: int = 8 << 20) -> DataFrame:
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-
-
-def _place(key, bounds: list[int]):
-    """The range of a key: the number of bounds that are not above it, by halving."""
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds)).cast("int")
