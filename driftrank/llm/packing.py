@@ -49,8 +49,8 @@ def _byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Encodes whole texts with a byte-level BPE vocabulary file of the `tokenizers` format.
 
-    Ids are merge ranks in such files, so the faster of the two installed encoders serves; where it gives up on a text,
-    the file's own library encodes it.
+    Ids are merge ranks in such files, so the faster of the two installed encoders serves; where it gives up on a text, or the
+    text holds one of the file's added tokens, the file's own library encodes it.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,7 +58,8 @@ class ByteBpe:
 
         self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, self.added = whole["model"], [t["content"] for t in whole.get("added_tokens") or ()]
         alphabet = _byte_alphabet()
         first = 256 + len(model["merges"])
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in model["vocab"].items() if i < first and all(c in alphabet for c in piece)}
@@ -73,13 +74,12 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             self.own = Tokenizer.from_file(self.path)
-            self.own.encode_special_tokens = True
         return self.own.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if "  " * 500 in text or len(text) > 1_000_000:
+        if any(a in text for a in self.added) or "  " * 500 in text or len(text) > 1_000_000:
             return np.array(self._slow(text), np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
