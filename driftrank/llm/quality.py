@@ -1,10 +1,11 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches, one for each language and source.
 
 Each row is measured once; fixed base rules reject what is too short or repeats itself; the other thresholds are fences
-from quantiles of the rows that pass the base rules: q80 * GAMMA + REACH * (q80 - q50) + SLACK, and for the mean word length also
-q20 / GAMMA - REACH * (q50 - q20) - SLACK. Up to a fifth of a cell's rows can be bad on a side without moving its fences, while
-q99 would be one of the bad rows itself. One repeated line and one pair of repeated windows are no repetition yet: the
-shares leave them out. Quantiles come from log-bucket sketches (counts of buckets whose bounds are powers of GAMMA, so a
+from two quantiles of the rows that pass the base rules, `inner` and `outer`: outer * GAMMA + REACH * (outer - inner) + SLACK,
+and for the mean word length the same below, from the mirrored quantiles. Word lengths and symbols take the median and q80, so
+up to a fifth of a cell's rows can be bad on a side without moving its fences; repeated lines and windows, of which the base
+rules have left a thin tail, take q95 and q99. One repeated line and one pair of repeated windows are no repetition yet: the
+shares leave them out. Where both quantiles are 0 (symbols in prose) the fence is the slack alone. Quantiles come from log-bucket sketches (counts of buckets whose bounds are powers of GAMMA, so a
 quantile is off by half a percent at most). Sketches merge by adding counts, in any order, so thresholds do not depend on
 how rows are dealt out; a cell of language and source with under MIN_ROWS rows takes its language's sketch, and a
 language with too few takes that of all rows. Filtering joins each row with its cell's fences.
@@ -28,15 +29,15 @@ from driftrank.llm.textkit import shingles, slices, splitmix, utf8, words
 from driftrank.tables import park
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-GAMMA, MIN_ROWS, REACH, SLACK = 1.01, 200, 6.0, 0.03
-#: metric: (expression over the measured columns, fence below too)
+GAMMA, MIN_ROWS = 1.01, 200
+#: metric: (expression over the measured columns, inner and outer quantile, reach, slack, fence below too)
 RULES = {
-    "mean_length": ("__word_chars / __n_words", True),
-    "symbol_share": ("__n_symbols / __word_chars", False),
-    "dup_line_share": ("greatest(__n_dup_lines - 1, 0) / __n_lines", False),
-    "repeat_share": (f"greatest(__n_repeat_words - {2 * WINDOW}, 0) / __n_words", False),
+    "mean_length": ("__word_chars / __n_words", "q50", "q80", 6.0, 0.03, True),
+    "symbol_share": ("__n_symbols / __word_chars", "q50", "q80", 6.0, 0.03, False),
+    "dup_line_share": ("greatest(__n_dup_lines - 1, 0) / __n_lines", "q95", "q99", 1.0, 0.01, False),
+    "repeat_share": (f"greatest(__n_repeat_words - {2 * WINDOW}, 0) / __n_words", "q95", "q99", 1.0, 0.01, False),
 }
-QUANTILES = {"q1": 0.25, "q3": 0.75, "q20": 0.2, "q50": 0.5, "q80": 0.8}
+QUANTILES = {"q1": 0.25, "q3": 0.75, "q20": 0.2, "q50": 0.5, "q80": 0.8, "q95": 0.95, "q99": 0.99}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -122,7 +123,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """by, metric, rows, q1, q3, q20, q50, q80 of sketches merged over the columns that `by` leaves out."""
+    """by, metric, rows and the QUANTILES of sketches merged over the columns that `by` leaves out."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     over = "partition by " + ", ".join([*by, "metric"])
     run = merged.selectExpr(*by, "metric", "bucket", f"sum(n) over ({over} order by bucket) as upto", f"sum(n) over ({over}) as rows")
@@ -140,11 +141,11 @@ def fences(sketch: DataFrame) -> DataFrame:
     # The right sides have a row for each language and metric, or for each metric.
     both = a.join(b, a.a_lang.eqNullSafe(b.b_lang) & (a.a_metric == b.b_metric), "left").join(c, a.a_metric == c.c_metric, "left")
     choose = lambda q: F.when(F.col("a_rows") >= MIN_ROWS, F.col(f"a_{q}")).when(F.col("b_rows") >= MIN_ROWS, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
-    got = both.select(F.col("a_lang").alias("cell_lang"), F.col("a_source").alias("cell_source"), F.col("a_metric").alias("metric"), *[choose(q).alias(q) for q in ("q20", "q50", "q80")])
+    got = both.select(F.col("a_lang").alias("cell_lang"), F.col("a_source").alias("cell_source"), F.col("a_metric").alias("metric"), *[choose(q).alias(q) for q in QUANTILES])
     cols = []
-    for m, (_, two) in RULES.items():
-        low, mid, high = (F.max(F.when(F.col("metric") == m, F.col(q))) for q in ("q20", "q50", "q80"))
-        cols += [(high * GAMMA + REACH * (high - mid) + SLACK).alias(f"hi_{m}")] + ([(low / GAMMA - REACH * (mid - low) - SLACK).alias(f"lo_{m}")] if two else [])
+    for m, (_, inner, outer, reach, slack, two) in RULES.items():
+        low, mid, high = (F.max(F.when(F.col("metric") == m, F.col(q))) for q in ("q20", inner, outer))
+        cols += [(high * GAMMA + reach * (high - mid) + slack).alias(f"hi_{m}")] + ([(low / GAMMA - reach * (mid - low) - slack).alias(f"lo_{m}")] if two else [])
     return got.groupBy("cell_lang", "cell_source").agg(*cols)
 
 
@@ -152,7 +153,7 @@ def judged(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """rows with __base_failed and __kept. A cell without fences has no row that passed the base rules."""
     if cells.count() <= BROADCAST_CELLS:  # cells is parked: the count reads file footers
         cells = F.broadcast(cells)
-    fine = reduce(lambda a, b: a & b, [F.coalesce(_value(m) <= F.col(f"hi_{m}"), F.lit(True)) for m in RULES] + [F.coalesce(_value(m) >= F.col(f"lo_{m}"), F.lit(True)) for m in RULES if RULES[m][1]])
+    fine = reduce(lambda a, b: a & b, [F.coalesce(_value(m) <= F.col(f"hi_{m}"), F.lit(True)) for m in RULES] + [F.coalesce(_value(m) >= F.col(f"lo_{m}"), F.lit(True)) for m in RULES if RULES[m][-1]])
     joined = rows.join(cells, rows["lang"].eqNullSafe(cells["cell_lang"]) & rows["source"].eqNullSafe(cells["cell_source"]), "left")
     return joined.select(*[rows[c] for c in rows.columns], base_failed().alias("__base_failed"), (~base_failed() & fine).alias("__kept"))
 
