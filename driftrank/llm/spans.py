@@ -9,7 +9,8 @@ words stay at the left end of a passage, at most 2 * WINDOW at the right one. Ru
 stays, and every piece that another one covers is removed. In the output, pieces are what counts as sentences.
 
 Only hashes are shuffled to find those that repeat, after a map-side count, and hashes with their places once to keep the
-repeated ones; the first place is a minimum over these. A document's removed places are joined with its text once. Nothing is gathered per hash, so a run that a third of the documents hold is a sum like any.
+repeated ones; the first place is a minimum over these. A document's removed places are joined with its text once. Nothing is gathered per hash: a run that a third of the
+documents hold is a sum and a minimum, and the joins with these are ones that adaptive execution splits.
 
 Defined results: null and empty texts have no sentence and stay as they are; rows with equal id and text are one
 document; a null id sorts first; an empty table gives an empty result; extra columns, clashing names too, are kept.
@@ -28,25 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftrank.llm.textkit import slices, splitmix
+from driftrank.llm.textkit import powers, slices, splitmix
 from driftrank.tables import park, release
 
 MIN_WORDS, WINDOW = 24, 8
 _END = re.compile(r"[.!?]+[\"')\]»”]*\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, U), np.ones(1, U)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers, at least, of an odd number and of its inverse modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, 2 * len(_POWERS[i])), x, U)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS
 
 
 def _pieces(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -81,7 +70,7 @@ def _runs(marks: np.ndarray, first: np.ndarray) -> tuple[list[int], list[int]]:
     bounds = np.append(first[1:], n)
     last = np.searchsorted(bounds, first + MIN_WORDS)
     start = np.flatnonzero(last < len(bounds))
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     upto = np.zeros(n + 1, U)
     np.cumsum(marks * power[:n], out=upto[1:])
     a, b = first[start], bounds[last[start]]
@@ -121,7 +110,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     some = park(each.join(again, "span", "left_semi"), "repeats", clean=True)
     release(index, again)
     here = F.struct("doc_id", "tag", "place")
-    first = some.groupBy("span").agg(F.min(here).alias("first"))
+    # Parked, the first places leave the join's own shuffle free to be split where very many documents hold one run.
+    first = park(some.groupBy("span").agg(F.min(here).alias("first")), "first-places", clean=True)
     later = some.join(first, "span").where(~here.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
 
