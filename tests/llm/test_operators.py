@@ -1,5 +1,6 @@
 """Each operator against a plain restatement of its contract, on the smallest tables and on odd rows."""
 
+import base64
 import hashlib
 import math
 import re
@@ -10,6 +11,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from driftrank.llm import components, fingerprint, jaccard, lm, packing, quality, queries, repeats, sharding, spans, spm, url_filter
 from driftrank.tables import table
 from tests.llm.conftest import texts
@@ -100,6 +103,52 @@ def test_quality(docs):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def _kept(rows):
+    """Plain restatement: (id, kept) of rows (id, text, lang, source)."""
+    g = 1.01
+    share = lambda a, b: a / b if b else 0.0
+    measured = []
+    for i, t, *cell in rows:
+        n, chars, symbols, dup, rep = _measures(t or "")
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        x = {"mean": share(chars, n), "symbol": share(symbols, chars), "line": share(max(dup - 1, 0), lines), "repeat": share(max(rep - 10, 0), n)}
+        measured.append((i, tuple(cell), n >= 10 and 100 * rep <= 20 * n, x))
+    near = lambda x: 0.0 if x <= 1e-9 else 2 * g ** math.ceil(math.log(x) / math.log(g)) / (g + 1)
+
+    def quantiles(metric, cell):
+        for same in (lambda c: c == cell, lambda c: c[0] == cell[0], lambda c: True):
+            x = sorted(near(m[metric]) for _, c, ok, m in measured if ok and same(c))
+            if len(x) >= 200:
+                break
+        return lambda p: x[math.ceil(p * len(x)) - 1]
+
+    bounds = {}
+    for cell in {c for _, c, ok, _ in measured if ok}:
+        hi = {}
+        for m, a, b, reach, slack in (("mean", 0.5, 0.8, 6, 0.03), ("symbol", 0.5, 0.8, 6, 0.03), ("line", 0.95, 0.99, 1, 0.01), ("repeat", 0.95, 0.99, 1, 0.01)):
+            q = quantiles(m, cell)
+            hi[m] = q(b) * g + reach * (q(b) - q(a)) + slack
+        q = quantiles("mean", cell)
+        bounds[cell] = hi, q(0.2) / g - 6 * (q(0.5) - q(0.2)) - 0.03
+    for i, cell, ok, x in measured:
+        yield i, ok and all(x[m] <= v for m, v in bounds[cell][0].items()) and x["mean"] >= bounds[cell][1]
+
+
+def test_quality_verdicts_are_those_of_a_plain_restatement(docs, spark):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    assert Counter((r.doc_id, r.kept) for r in quality.verdicts(docs).collect()) == Counter(_kept(rows))
+    many = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit("s").alias("source"))
+    got = Counter((r.doc_id, r.kept) for r in quality.verdicts(many).collect())
+    assert got == Counter(_kept([tuple(r) for r in many.collect()]))
+    assert 0.02 < sum(not k for _, k in got) / len(got) < 0.3
+
+
+def test_quality_fences_differ_between_cells(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    cells = quality.fences(quality.sketches(quality.measured(docs, ["lang", "source"]))).collect()
+    assert len({round(c.hi_mean_length, 3) for c in cells}) > 3 and len({round(c.hi_repeat_share, 3) for c in cells}) > 3
+
+
 def test_quality_keeps_prose_and_rejects_symbols(spark):
     prose = [(i, " ".join(f"word{(i * 31 + j * 7) % 613}" for j in range(40)), "en", "s") for i in range(400)]
     junk = [(1000 + i, " ".join(f"|##{i}{j}|$$" for j in range(40)), "en", "s") for i in range(5)]
@@ -290,6 +339,38 @@ def test_suffix_dedup(docs, most):
     assert _got_bytes(repeats.dedup(docs, most)) == _bytes_left(texts(docs))
 
 
+def test_suffix_dedup_where_places_start_over(spark, monkeypatch):
+    """Places are kept in a few bits; with fewer, texts are long enough to use them up."""
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << 10) - 1))
+    raw = np.frombuffer(("ab" * 700 + "".join(chr(97 + (i * i) % 23) for i in range(3000)) + "xyz" * 900).encode(), np.uint8)
+    off = np.array([0, 350, 350, len(raw)])
+    h = repeats.grams(raw, (32,))[32]
+    ahead = repeats._ahead(h, off, repeats.REACH)
+    key = h & ~np.uint64((1 << 10) - 1)
+    for p in range(350, len(ahead)):
+        assert ahead[p] == int(np.argmin(key[p : p + repeats.REACH + 1]))
+
+
+def test_longest_shared_passage(spark):
+    import random
+
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
+    passage = {n: prose(n) for n in (20, 52, 60, 90)}
+    rows = [(i, prose(r.randint(60, 200))) for i in range(60)]
+    for k, (n, p) in enumerate(passage.items()):
+        rows += [(100 + 10 * k + j, prose(r.randint(5, 90)) + " " + p + " " + prose(r.randint(5, 90))) for j in range(2 + k)]
+    rows += [(200, None), (201, ""), (202, "short"), (None, prose(80)), (203, "z" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.longest_shared for x in repeats.dedup(docs).collect()}
+    assert all(got[i] == 0 for i, t in rows if i is None or i < 110 or 200 <= i < 203)
+    for i, t in rows:
+        if i and 110 <= i < 200:
+            n = len(list(passage.values())[(i - 100) // 10])
+            assert n - 2 * (repeats.PIECE_GRAM + repeats.PIECE_REACH) <= got[i] <= n + 2, (i, n, got[i])
+    assert got[203] > 2500
+
+
 def test_suffix_dedup_of_edited_copies_and_runs(spark):
     import random
 
@@ -331,6 +412,35 @@ def test_fingerprints(docs, spark):
     assert not errors or np.mean(errors) < 0.08
 
 
+def _from_string(fp):
+    head, body = fp.rsplit(":", 1)
+    return head, {body_[i : i + 8] for body_ in [base64.b64decode(body)] for i in range(0, len(body_), 8)}
+
+
+def test_fingerprints_of_neighbours_at_the_ends_of_the_id_range(spark):
+    """An outlier, both ends of the long range, a null id and equal ids; near_next is what the two fingerprints say."""
+    ids = [*range(300), 1 << 60, (1 << 63) - 1, -(1 << 63), None, 77, 77]
+    rows = [(i, " ".join(f"w{(n * 7 + j) % (40 + n % 9)}" for j in range(200 + n % 50))) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.c, r.text) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) c").collect()), reverse=True)
+    want = Counter()
+    for (_, _, t), (_, _, nxt) in zip(order, order[1:] + order[:1]):
+        want[sha(t[: len(t) - len(t) // 3] + nxt[: len(t) // 3])] += 1
+    got = fingerprint.fingerprints(docs, bytes_each=8_000).collect()
+    assert Counter(r.edited_sha256 for r in got) == want
+    by = {}
+    for (i, c, t), r in zip(order, sorted(got, key=lambda r: (r.doc_id if r.doc_id is not None else -(1 << 63)), reverse=True)):
+        by[i] = r
+    for (i, _, _), (j, _, _) in zip(order, order[1:]):
+        if 77 in (i, j) or -(1 << 63) in (i, j):
+            continue
+        (_, a), (_, b) = _from_string(by[i].fingerprint), _from_string(by[j].fingerprint)
+        assert abs(by[i].near_next - len(a & b) / len(a | b)) < 1e-12
+    rows = docs.selectExpr("coalesce(doc_id, -9223372036854775808L) i", "text", "xxhash64(text) c")
+    spread = Counter(p[0] for p in fingerprint._destinations(fingerprint._ranges(rows, 8_000), *(np.array(x, np.int64) for x in zip(*[(r.i, r.c) for r in rows.collect()]))))
+    assert len(spread) > 5 and max(spread.values()) < 4 * len(ids) / len(spread)
+
+
 def test_fingerprints_merge_and_contain():
     a, b = " ".join(f"a{i}" for i in range(4000)), " ".join(f"b{i}" for i in range(4000))
     x, y, z = (fingerprint.to_text(*s) for s in fingerprint.sketch_all([a, b, a + " " + b]))
@@ -390,7 +500,7 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(queries.BYTES)
-    own.encode_special_tokens = True
+    docs = docs.select("doc_id", "text").unionAll(docs.limit(1).selectExpr("-5L", "'a <|endoftext|> b'"))
     rows = Counter()
     ids_of = defaultdict(list)
     for i, t in texts(docs):
@@ -443,6 +553,15 @@ def test_sharding(docs):
         assert max(load.values()) - min(load.values()) <= 2 * largest
 
 
+def test_equal_rows_spread_over_all_shards(spark):
+    docs = spark.range(10_000).selectExpr("5L as doc_id", "'one text' as text", "'en' as lang", "'a' as source")
+    load = Counter(r.shard for r in sharding.kd_tree(docs).collect())
+    assert len(load) == 24 and max(load.values()) - min(load.values()) <= 2
+    one = spark.range(3000).selectExpr("if(id % 3 = 0, 1L, id) as doc_id", "repeat('x', int(id % 50)) as text", "cast(null as string) as lang", "'a' as source")
+    size = sharding.kd_tree(one, leaves=100).groupBy("shard").agg({"size": "sum"}).collect()
+    assert len(size) == 100 and max(r[1] for r in size) - min(r[1] for r in size) <= 4 * 58
+
+
 def test_shards_reach_the_target_bytes(spark, sf):
     got = sharding.kd_tree(table(spark, sf, "documents"), target_bytes=60_000).groupBy("shard").agg({"size": "sum"}).collect()
     total = sum(r[1] for r in got)
@@ -455,7 +574,7 @@ def test_both_encoders_of_the_byte_vocabulary_agree():
     from tokenizers import Tokenizer
 
     own, model, r = Tokenizer.from_file(queries.BYTES), packing.load(queries.BYTES), random.Random(1)
-    own.encode_special_tokens = True
+    assert model.encode("a <|endoftext|> b").tolist() == own.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     bits = [" ", "  ", "\n", "\t", " ", "\xa0", "é", "漢", "😀", "a", "B", "1", "²", "Ⅷ", "'s", "’s", "'LL", "<|endoftext|>", "...", "\x00", "​", "ß", "é", "٣", "\r\n", "_", "\x85", "\x1c"]
     cases = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(3000)] + [" " * 3000 + "x", "a b " * 300_000]
     for text, want in zip(cases, own.encode_batch(cases, add_special_tokens=False)):
