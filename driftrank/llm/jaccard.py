@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftrank.llm.components import components
-from driftrank.llm.textkit import distinct, shingles, slices, splitmix, utf8, words
+from driftrank.llm.textkit import distinct, plain_names, shingles, slices, splitmix, utf8, words
 from driftrank.tables import park, release
 
 U = np.uint64
@@ -327,6 +327,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+@plain_names
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the document with the least id stays; rows without an id stay."""
     found = join(docs.select("doc_id", "text"), k, percent)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftrank.llm.textkit import shingles, slices, splitmix, utf8, words
+from driftrank.llm.textkit import plain_names, shingles, slices, splitmix, utf8, words
 from driftrank.tables import park
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -165,6 +165,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{m}").alias(m) for m in MEASURES], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+@plain_names
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, columns as they are. Fences first, from narrow measured rows; then one more
     pass measures and filters each row in place, so that no text is shuffled."""

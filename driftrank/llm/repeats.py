@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,10 +257,8 @@ def removed(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     return uniform.union(mixed).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
 
 
-_PIECES = "block long, ids array<long>, tags array<int>, pieces binary, starts binary, ends binary, hashes binary, size int"
 #: A piece's border is the least of PIECE_REACH + 1 neighbouring hashes of PIECE_GRAM bytes; runs under LEAST_SHARED bytes don't count.
 PIECE_GRAM, PIECE_REACH, LEAST_SHARED = 32, 96, 224
-PIECES_BLOCK = 1 << 18
 
 
 def _cut(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -289,53 +286,24 @@ def longest_shared(docs: DataFrame) -> DataFrame:
 
     Blocks of texts ask for the counts of their pieces (tally.py), so a piece that many texts hold is one row a block.
     """
-    spark = docs.sparkSession
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def give() -> pa.RecordBatch:
-            a, b, h, per = (np.concatenate(x) for x in zip(*[y[2:] for y in held]))
-            row = (number, [i for y in held for i in y[0]], [i for y in held for i in y[1]], *[tally.squeeze(x.astype(np.uint32)) for x in (per, a, b - a)], h.tobytes(), len(h))
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in _PIECES.split(", ")])
-
-        for batch in batches:
-            for part in slices(batch):
-                doc, a, b, h = _cut(*utf8(part.column("text")))
-                held.append((part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), a, b, h, np.bincount(doc, minlength=part.num_rows)))
-                size += len(h) + part.num_rows
-                if size >= PIECES_BLOCK:
-                    yield give()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield give()
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in tally.each(batches):
-            h = np.frombuffer(row["hashes"], U)
-            yield tally.requests(row["block"], 0, *tally.counted(h, np.ones(len(h), bool)), buckets)
-
-    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in tally.each(batches):
-            per, (a, width) = tally.unsqueeze(row["pieces"], len(row["ids"]), np.uint32), (tally.unsqueeze(row[c], row["size"], np.uint32).astype(np.int64) for c in ("starts", "ends"))
-            total = tally.totals(row["got"], 0)
-            at = np.flatnonzero(total[np.unique(np.frombuffer(row["hashes"], U), return_inverse=True)[1]] > 1)
-            doc = np.repeat(np.arange(len(per)), per)[at]
-            best = np.zeros(len(per), np.int64)
-            if len(at):
-                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
-                last = np.append(new[1:], len(at)) - 1
-                np.maximum.at(best, doc[new], a[at[last]] + width[at[last]] - a[at[new]])
-            keep = np.flatnonzero(best >= LEAST_SHARED)
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()).take(pa.array(keep)), pa.array(row["tags"], pa.int32()).take(pa.array(keep)), pa.array(best[keep])], ["doc_id", "tag", "longest"])
-
-    pieces = park(docs.mapInArrow(cut, _PIECES), "pieces")
-    parts, buckets = tally.shape(pieces.agg(F.sum("size")).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answered = tally.answers(pieces.mapInArrow(ask, tally.REQUEST), parts, "piece-counts")
-    out = park(pieces.join(tally.by_block(answered), "block").mapInArrow(longest, "doc_id long, tag int, longest long"), "longest", clean=True)
-    release(pieces, answered)
-    return out
+    def make(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        doc, a, b, h = _cut(*utf8(part.column("text")))
+        return np.bincount(doc, minlength=part.num_rows), h, [a, b - a]
+
+    def use(ids: list, tags: list, per: np.ndarray, keys: np.ndarray, total: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
+        a, width = more
+        at = np.flatnonzero(total > 1)
+        doc = np.repeat(np.arange(len(per)), per)[at]
+        best = np.zeros(len(per), np.int64)
+        if len(at):
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+            last = np.append(new[1:], len(at)) - 1
+            np.maximum.at(best, doc[new], a[at[last]] + width[at[last]] - a[at[new]])
+        keep = np.flatnonzero(best >= LEAST_SHARED)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(keep)), pa.array(tags, pa.int32()).take(pa.array(keep)), pa.array(best[keep])], ["doc_id", "tag", "longest"])
+
+    return tally.looked_up(docs, make, use, "doc_id long, tag int, longest long", "longest-shared")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

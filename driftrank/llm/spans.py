@@ -8,8 +8,8 @@ hashed, white space aside; MIN_WORDS + 3 * WINDOW words in common, 48, always ho
 words stay at the left end of a passage, at most 2 * WINDOW at the right one. Runs are counted over all documents; the first one, by document id and place,
 stays, and every piece that another one covers is removed. In the output, pieces are what counts as sentences.
 
-Only hashes are shuffled to find those that repeat, after a map-side count, and hashes with their places once to keep the
-repeated ones; the first place is a minimum over these. A document's removed places are joined with its text once. Nothing is gathered per hash: a run that a third of the
+Only hashes are shuffled to find those that repeat: blocks of documents ask how often their runs occur (tally.py), and runs
+that repeat go on as rows with their places; the first place is a minimum over these. A document's removed places are joined with its text once. Nothing is gathered per hash: a run that a third of the
 documents hold is a sum and a minimum, and the joins with these are ones that adaptive execution splits.
 
 Defined results: null and empty texts have no sentence and stay as they are; rows with equal id and text are one
@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftrank.llm.textkit import powers, slices, splitmix
-from driftrank.tables import park, release
+from driftrank.llm import tally
+from driftrank.llm.textkit import plain_names, powers, slices, splitmix
+from driftrank.tables import park
 
 MIN_WORDS, WINDOW = 24, 8
 _END = re.compile(r"[.!?]+[\"')\]»”]*\s+|\s*\n\s*")
@@ -90,30 +91,34 @@ def runs(text: str | None) -> tuple[list[int], list[int]]:
     return _runs(marks, first)
 
 
-def _indexed(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, spans: one row a document with a run, spans in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                found = [runs(t)[0] for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tag", "spans"])
-
-    return docs.mapInArrow(run, "doc_id long, tag int, spans array<long>").where(F.size("spans") > 0)
-
-
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, places: of each document, the places of its runs that repeat an earlier one. docs: doc_id, tag, text."""
-    index = park(_indexed(docs), "spans")
-    each = index.select("doc_id", "tag", F.posexplode("spans").alias("place", "span"))
-    again = park(each.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span"), "repeated-spans", clean=True)
-    some = park(each.join(again, "span", "left_semi"), "repeats", clean=True)
-    release(index, again)
+    """doc_id, tag, n, places: of each document, the number of its pieces and the places of its runs that repeat an earlier one. docs: doc_id, tag, text."""
+
+    def make(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        cut_, found = [_pieces(t or "") for t in part.column("text").to_pylist()], []
+        for _, marks, first in cut_:
+            found.append(_runs(marks, first)[0])
+        pieces = [len(first) or int(bool(t)) for (_, _, first), t in zip(cut_, part.column("text").to_pylist())]
+        return np.array([len(f) for f in found]), np.array([h for f in found for h in f], np.int64).view(U), [np.array(pieces)]
+
+    def use(ids: list, tags: list, per: np.ndarray, keys: np.ndarray, total: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
+        """A row without place for each document, and one for each of its runs that occurs twice or more."""
+        at = np.flatnonzero(total > 1)
+        doc = np.repeat(np.arange(len(per)), per)
+        rows = pa.array(np.concatenate([np.arange(len(per)), doc[at]]))
+        none = pa.nulls(len(per), pa.int64())
+        place = (np.arange(len(keys)) - np.repeat(np.cumsum(per) - per, per))[at]
+        cols = [pa.array(ids, pa.int64()).take(rows), pa.array(tags, pa.int32()).take(rows), pa.array(np.concatenate([more[0], np.zeros(len(at), np.int64)])), pa.concat_arrays([none, pa.array(keys[at].view(np.int64))]), pa.concat_arrays([none, pa.array(place, pa.int64())])]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", "n", "span", "place"])
+
+    found = tally.looked_up(docs, make, use, "doc_id long, tag int, n long, span long, place long", "spans")
+    some = found.where("place is not null")
     here = F.struct("doc_id", "tag", "place")
     # Parked, the first places leave the join's own shuffle free to be split where very many documents hold one run.
     first = park(some.groupBy("span").agg(F.min(here).alias("first")), "first-places", clean=True)
     later = some.join(first, "span").where(~here.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    both = found.where("place is null").select("doc_id", "tag", "n", "place").unionAll(later.select("doc_id", "tag", "n", "place"))
+    return both.groupBy("doc_id", "tag").agg(F.max("n").alias("n"), F.collect_set("place").alias("places"))  # of one text
 
 
 def cut(text: str, places: list[int]) -> tuple[str, int, int]:
@@ -137,8 +142,8 @@ def tagged(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with their text cut, and __before, __sentences, __removed: code points before, pieces, removed pieces."""
     rows = tagged(docs)
-    dup = repeated(rows.select("doc_id", F.col("__tag").alias("tag"), "text")).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__t"), F.col("places").alias("__places"))
-    joined = rows.join(dup, rows["doc_id"].eqNullSafe(dup["__id"]) & (rows["__tag"] == dup["__t"]), "left").select(*docs.columns, "__places")
+    dup = repeated(rows.select("doc_id", F.col("__tag").alias("tag"), "text")).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__t"), F.col("places").alias("__places"), F.col("n").alias("__n"))
+    joined = rows.join(dup, rows["doc_id"].eqNullSafe(dup["__id"]) & (rows["__tag"] == dup["__t"]), "left").select(*docs.columns, "__places", "__n")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ("__before", "__sentences", "__removed")]])
     names, kept, at = schema.fieldNames(), docs.columns, docs.columns.index("text")
 
@@ -146,11 +151,10 @@ def dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts, more = [], []
-                for text, places in zip(part.column("text").to_pylist(), part.column("__places").to_pylist()):
+                for text, places, n in zip(*[part.column(c).to_pylist() for c in ("text", "__places", "__n")]):
+                    left, gone = text, 0
                     if places:
                         left, n, gone = cut(text, places)
-                    else:
-                        left, n, gone = text, len(sentences(text)[0]) if text else 0, 0
                     texts.append(left)
                     more.append((len(text or ""), n, gone))
                 cols = [part.column(c) for c in kept]
@@ -160,6 +164,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+@plain_names
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of text, n_chars following it where that column exists; rows of which nothing but white space stays are dropped."""
     out = dedup(docs)

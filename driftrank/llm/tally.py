@@ -10,14 +10,16 @@ Buckets are as many as keep one near BUCKET_KEYS keys, so a task's memory does n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftrank.tables import park
+from driftrank.llm.textkit import slices
+from driftrank.tables import park, release
 
 BUCKET_KEYS = 1 << 20
 U = np.uint64
@@ -118,3 +120,56 @@ def totals(got: list[dict], kind: int) -> np.ndarray:
     """The totals of a block's keys of one kind, in the order of its keys."""
     parts = sorted((g["bucket"], g["totals"], g["size"]) for g in got if g["kind"] == kind)
     return np.concatenate([unsqueeze(t, n, U) for _, t, n in parts]) if parts else np.zeros(0, U)
+
+
+_KEYED = "block long, ids array<long>, tags array<int>, per binary, keys binary, size int, more array<binary>, lengths array<int>"
+KEYED_BLOCK = 1 << 18
+
+Make = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, list[np.ndarray]]]
+Use = Callable[[list, list, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], pa.RecordBatch]
+
+
+def looked_up(docs: DataFrame, make: Make, use: Use, out: str, label: str) -> DataFrame:
+    """What use(ids, tags, keys of each row, keys, how often each occurs in all rows, more) makes of each block of docs (doc_id, tag,
+    text), of which make(rows) has given (keys of each row, keys in order, more uint32 arrays). Parked.
+    """
+    spark = docs.sparkSession
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def give() -> pa.RecordBatch:
+            per, keys = (np.concatenate(x) for x in zip(*[y[2][:2] for y in held]))
+            more = [np.concatenate(x).astype(np.uint32) for x in zip(*[y[2][2] for y in held])]
+            row = (number, [i for y in held for i in y[0]], [i for y in held for i in y[1]], squeeze(per.astype(np.uint32)), keys.tobytes(), len(keys), [squeeze(x) for x in more], [len(x) for x in more])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in _KEYED.split(", ")])
+
+        for batch in batches:
+            for part in slices(batch):
+                held.append((part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), make(part)))
+                size += part.num_rows + len(held[-1][2][1])
+                if size >= KEYED_BLOCK:
+                    yield give()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield give()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            keys = np.frombuffer(row["keys"], U)
+            yield requests(row["block"], 0, *counted(keys, np.ones(len(keys), bool)), buckets)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            keys = np.frombuffer(row["keys"], U)
+            total = totals(row["got"] or [], 0)[np.unique(keys, return_inverse=True)[1]]
+            per = unsqueeze(row["per"], len(row["ids"]), np.uint32).astype(np.int64)
+            yield use(row["ids"], row["tags"], per, keys, total, [unsqueeze(m, n, np.uint32).astype(np.int64) for m, n in zip(row["more"], row["lengths"])])
+
+    made = park(docs.select("doc_id", "tag", "text").mapInArrow(blocks, _KEYED), f"{label}-blocks")
+    parts, buckets = shape(made.agg(F.sum("size")).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    answered = answers(made.mapInArrow(ask, REQUEST), parts, f"{label}-counts")
+    done = park(made.join(by_block(answered), "block", "left").mapInArrow(answer, out), label, clean=True)  # a block without a key has no answer
+    release(made, answered)
+    return done

@@ -6,8 +6,9 @@ within a few tens of MB whatever the batch; a single row larger than a slice for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,16 @@ def powers(n: int) -> list[np.ndarray]:
             steps[0] = 1
             _POWERS[i] = np.cumprod(steps)
     return _POWERS
+
+
+def plain_names(stage: Callable) -> Callable:
+    """A stage over documents whose own working columns start with __: columns of docs that do so too have other names meanwhile."""
+
+    @wraps(stage)
+    def run(docs, *args, **more):
+        other = {c: f"own_{i}_{c.strip('_')}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not other:
+            return stage(docs, *args, **more)
+        return stage(docs.withColumnsRenamed(other), *args, **more).withColumnsRenamed({v: k for k, v in other.items()})
+
+    return run

@@ -64,3 +64,13 @@ def test_stages_take_odd_rows(odd, empty, spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             docs = park(stage(spark, docs, sf), "odd")
         docs.count()
+
+
+def test_stages_take_clashing_names(odd, spark, sf):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"'own' as {c}" for c in ("__n", "__n_words", "__gone", "__places", "__tag", "__kept", "__removed")])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        docs = park(out, "clash")
+        assert {tuple(r)[5:] for r in docs.collect()} <= {("own",) * 7}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
