@@ -15,11 +15,11 @@ def alias_closure(edges: DataFrame, hops: int = 10) -> DataFrame:
     """alias, target: where each alias ends within `hops` steps. edges: alias, target, one target an alias.
 
     Aliases that run into a cycle or need more steps give nothing; an alias of itself is dropped. Each round squares the
-    distance covered, so ten hops take four joins.
+    distance covered, so ten hops take four joins; what went further than `hops` by then is left out.
     """
     edges = edges.where("alias <> target").select("alias", "target")
     now = edges.withColumn("steps", F.lit(1))
-    last = None
+    last, most = None, hops
     while hops > 1:
         nxt = now.select(F.col("alias").alias("target"), F.col("target").alias("far"), F.col("steps").alias("more"))
         joined = now.join(nxt, "target", "left")
@@ -29,7 +29,7 @@ def alias_closure(edges: DataFrame, hops: int = 10) -> DataFrame:
         last = now
         hops = -(-hops // 2)
     ends = now.join(edges.select(F.col("alias").alias("target")), "target", "left_anti")
-    return ends.where("steps <= 10").select("alias", "target")
+    return ends.where(F.col("steps") <= most).select("alias", "target")
 
 
 def reversed_aliases(closure: DataFrame, roots: Sequence[str]) -> DataFrame:

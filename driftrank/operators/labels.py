@@ -62,6 +62,25 @@ def add_features(changes: DataFrame, group: Sequence[str], exports: Column | Non
     return count_before(out, ["package"], "released_at", "package_churn")
 
 
+def feature_table(changes: DataFrame, bumps: DataFrame, ranks: DataFrame, group: Sequence[str] = ("upgrade",)) -> DataFrame:
+    """changes with all 17 FEATURES. changes: package, upgrade, released_at, symbol, kind, sub_target, export_paths, inherited_by,
+    in_dunder_all, was_deprecated_before; bumps: upgrade, bump; ranks: package, package_rank (missing ones stay null).
+
+    prior_breaks_in_module counts the module's rows of strictly earlier dates; undated rows have 0. public_depth is the least depth
+    over the symbol and its other paths; what is listed in `__all__` is not private.
+    """
+    out = add_features(changes.drop("is_private"), group, F.when(F.col("in_dunder_all"), F.array(leaf(F.col("symbol")))))
+    other = F.filter(F.split(F.coalesce(F.col("export_paths"), F.lit("")), ";"), lambda p: p != "")
+    deep = F.array_min(F.transform(F.concat(F.array("symbol"), other), lambda p: depth(p)))
+    out = out.withColumns({
+        "has_export_path": F.size(other) > 0, "public_depth": deep, "module": F.regexp_replace("symbol", r"\.[^.]*$", ""),
+        "inherited_by": F.coalesce("inherited_by", F.lit(0)), "in_dunder_all": F.coalesce("in_dunder_all", F.lit(False)), "was_deprecated_before": F.coalesce("was_deprecated_before", F.lit(False)),
+    })
+    out = count_before(out, ["module"], "released_at", "prior_breaks_in_module").drop("module")
+    out = out.join(bumps.select("upgrade", "bump"), "upgrade", "left").withColumn("bump", F.coalesce("bump", F.lit("other")))
+    return out.join(ranks.select("package", "package_rank"), "package", "left")
+
+
 def audit_features(columns: Sequence[str]) -> None:
     missing, leaking = set(FEATURES) - set(columns), set(FEATURES) & set(NEVER_FEATURES)
     if missing or leaking:

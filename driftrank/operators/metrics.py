@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftrank.tables import park
+from driftrank.operators.relational import in_ranges
 
 
 def rankable(df: DataFrame, group: Sequence[str], label: str, k: int) -> DataFrame:
@@ -43,33 +43,25 @@ def ndcg_at(df: DataFrame, group: Sequence[str], label: str, order: Sequence[Col
     return _ndcgs(df, group, label, order, k, gain).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias(f"ndcg_at_{k}"), F.count("*").alias("groups"))
 
 
-BANDS = 1024
-
-
 def tie_runs(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """A row for each score: n rows, r positives, above and found before it, and the positives in all.
 
-    Rows are reduced to one for each score before anything is ordered. Without `by`, scores are ordered in bands of equal
-    width, of which only the sums meet in one task, so no task orders all scores.
+    Rows are reduced to one for each score before anything is ordered. Scores are ordered in ranges that hold equally many of
+    them, of which only the sums meet in one task, so no task orders all scores, of one value of `by` neither.
     """
     runs = df.groupBy(*by, F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(label).cast("bigint").alias("r"))
-    part = list(by)
-    if not by:
-        runs = park(runs, "runs")
-        ends = runs.agg(F.max("score").alias("__hi"), F.min("score").alias("__lo"))
-        place = F.floor((F.col("__hi") - F.col("score")) / (F.col("__hi") - F.col("__lo")) * BANDS)
-        band = F.when(F.col("__hi") > F.col("__lo"), F.least(place, F.lit(BANDS - 1))).otherwise(0).cast("int")
-        runs = runs.join(F.broadcast(ends)).withColumn("__band", band).drop("__hi", "__lo")  # one row
-        part = ["__band"]
-    w = Window.partitionBy(*part).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = in_ranges(runs, [*[F.col(c) for c in by], F.desc("score")], "__band")
+    w = Window.partitionBy("__band", *by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumns({"above": F.coalesce(F.sum("n").over(w), F.lit(0)), "found": F.coalesce(F.sum("r").over(w), F.lit(0))})
-    if by:
-        return runs.withColumn("positives", F.sum("r").over(Window.partitionBy(*by)))
-    sums = runs.groupBy("__band").agg(F.sum("n").alias("__n"), F.sum("r").alias("__r"))
-    before, every = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # BANDS rows
-    sums = sums.select("__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__above"), F.coalesce(F.sum("__r").over(before), F.lit(0)).alias("__found"), F.sum("__r").over(every).alias("positives"))
-    out = runs.join(F.broadcast(sums), "__band")
-    return out.select("score", "n", "r", (F.col("above") + F.col("__above")).alias("above"), (F.col("found") + F.col("__found")).alias("found"), "positives")
+    sums = runs.groupBy("__band", *by).agg(F.sum("n").alias("__n"), F.sum("r").alias("__r"))
+    every = Window.partitionBy(*by)  # a row a range, of each value of `by`
+    before = every.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__band", *[F.col(c).alias(f"__by_{c}") for c in by], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__above"), F.coalesce(F.sum("__r").over(before), F.lit(0)).alias("__found"), F.sum("__r").over(every).alias("positives"))
+    on = runs["__band"] == sums["__band"]
+    for c in by:
+        on = on & runs[c].eqNullSafe(sums[f"__by_{c}"])
+    out = runs.join(sums, on)
+    return out.select(*[runs[c] for c in by], "score", "n", "r", (F.col("above") + F.col("__above")).alias("above"), (F.col("found") + F.col("__found")).alias("found"), "positives")
 
 
 def harmonic(k: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftrank.tables import park
+
 
 def keep_one(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in `order` (null keys are a key)."""
@@ -90,6 +92,31 @@ def fingerprint(df: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> Da
     return df.groupBy(*by).agg(F.left(F.sha2(joined, 256), F.lit(12)).alias("fingerprint"))
 
 
+def set_digest(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """fingerprint of the set of keys, whatever its size or order: a SHA-256 over the number of distinct keys and sums of two hashes of each."""
+    each = df.select(*key).distinct().select(F.xxhash64(*key).alias("a"), F.xxhash64(F.lit(1), *key).alias("b"))
+    sums = each.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "ab"])
+    return sums.select(F.left(F.sha2(F.concat_ws("|", "n", "a", "b"), 256), F.lit(12)).alias("fingerprint"))
+
+
+def in_ranges(df: DataFrame, order: Sequence[Column], name: str = "__range") -> DataFrame:
+    """df dealt to ranges of `order` with equally many rows, numbered in that order: what is to be ordered as a whole is ordered
+    range by range, and only sums of ranges meet in one task. Equal values share a range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return park(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
+    """rank() over the whole table by value, largest first (nulls last), without one task that holds it."""
+    order = F.col("__v").desc_nulls_last()
+    counts = in_ranges(df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c")), [order])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("__range").agg(F.sum("__c").alias("__s")).select("__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__lead"))  # a row a range
+    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    place = counts.withColumn("__in", F.coalesce(F.sum("__c").over(inside), F.lit(0))).join(F.broadcast(sums), "__range").select("__v", (F.col("__lead") + F.col("__in") + 1).alias(name))
+    return df.join(place, F.col(value).eqNullSafe(F.col("__v")), "left").drop("__v")
+
+
 def default_column(df: DataFrame, name: str, value: object) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(value))
 

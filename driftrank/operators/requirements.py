@@ -14,6 +14,16 @@ _CLAUSE = r"(?:===|==|~=|!=|<=|>=|<|>)\s*[^\s,;()]+"
 REQUIREMENT = rf"^{_NAME}{_EXTRAS}\s*(?:@\s*(\S+)|\(?\s*((?:{_CLAUSE}(?:\s*,\s*{_CLAUSE})*)?)\s*,?\s*\)?)\s*(?:;.*)?$"
 
 
+# What is said of a line that is no pin.
+OPTION = "pip option, not a package"
+UNREADABLE = "could not read this line as a requirement"
+ELSEWHERE = "installed from a URL or a path, not from PyPI"
+UNVERSIONED = "no version given (pin it with == to compare)"
+INEXACT = "not pinned to one exact version (use ==)"
+INVALID = "the pinned version is not a valid version number"
+AGAIN = "%s is already pinned on line %d"
+
+
 def logical_lines(files: DataFrame) -> DataFrame:
     """file, line_number, line: lines that end in a backslash joined with what follows, numbered by their first. files: file, text."""
     lines = files.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("i", "raw")).withColumn("raw", F.rtrim("raw"))
@@ -28,28 +38,29 @@ def logical_lines(files: DataFrame) -> DataFrame:
 
 def parse(files: DataFrame, most_shown: int = 200) -> DataFrame:
     """file, line_number, name, version, reason, shown: one row a line that is not blank; reason is null for a pin that counts."""
-    line = F.trim(F.regexp_replace("line", r"(^|\s)#.*$", ""))
+    line = F.trim(F.split("line", r"(?<!\S)#", 2)[0])
     rows = logical_lines(files).select("file", "line_number", F.left(F.trim("line"), F.lit(most_shown)).alias("shown"), line.alias("line")).where("line <> ''")
-    bare = F.regexp_replace("line", r"\s+--\w.*$", "")
+    bare = F.rtrim(F.split("line", r"\s--(?=\w)", 2)[0])
     group = lambda i: F.regexp_extract(bare, REQUIREMENT, i)
     spec, pin = group(3), F.regexp_extract(group(3), r"^={2,3}\s*([^\s,*]+)$", 1)
     rows = rows.withColumns({"option": F.col("line").startswith("-"), "reads": bare.rlike(REQUIREMENT), "url": group(2), "spec": spec, "version": pin, "name": canonical(group(1))})
     reason = (
-        F.when(F.col("option"), "pip option, not a package")
-        .when(~F.col("reads"), "could not read this line as a requirement")
-        .when(F.col("url") != "", "installed from a URL or a path, not from PyPI")
-        .when(F.col("spec") == "", "no version given (pin it with == to compare)")
-        .when(F.col("version") == "", "not pinned to one exact version (use ==)")
-        .when(~is_valid(F.col("version")), "the pinned version is not a valid version number")
+        F.when(F.col("option"), OPTION)
+        .when(~F.col("reads"), UNREADABLE)
+        .when(F.col("url") != "", ELSEWHERE)
+        .when(F.col("spec") == "", UNVERSIONED)
+        .when(F.col("version") == "", INEXACT)
+        .when(~is_valid(F.col("version")), INVALID)
     )
     rows = rows.withColumn("reason", reason)
     w = Window.partitionBy("file", "name", F.col("reason").isNull()).orderBy("line_number")
     first = F.first("line_number").over(w)
     again = F.col("reason").isNull() & (F.col("line_number") > first)
     rows = rows.withColumn("first", first)
+    pinned = F.col("reason").isNull() & ~again
     return rows.select(
-        "file", "line_number", F.when(F.col("reason").isNull(), F.col("name")).alias("name"), F.when(F.col("reason").isNull(), F.col("version")).alias("version"),
-        F.when(again, F.format_string("%s is already pinned on line %d", "name", "first")).otherwise(F.col("reason")).alias("reason"), "shown",
+        "file", "line_number", F.when(pinned, F.col("name")).alias("name"), F.when(pinned, F.col("version")).alias("version"),
+        F.when(again, F.format_string(AGAIN, "name", "first")).otherwise(F.col("reason")).alias("reason"), "shown",
     )
 
 

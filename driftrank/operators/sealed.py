@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftrank.operators.metrics import average_precision, ndcg_at, precision_at
-from driftrank.operators.relational import fingerprint, symmetric_difference
+from driftrank.operators.relational import set_digest, symmetric_difference
 from driftrank.operators.store import Refused, append_rows, exists
 
 LEDGER = ("run_id", "at", "fingerprint", "rows", "note")
@@ -33,7 +33,7 @@ def assert_none_held_out(df: DataFrame, when: str, start: Column) -> None:
 def membership(holdout: DataFrame, key: Sequence[str]) -> DataFrame:
     """rows, groups and fingerprint of the holdout."""
     counts = holdout.agg(F.count("*").alias("rows"), F.count_distinct(*key).alias("groups"))
-    return counts.join(F.broadcast(fingerprint(holdout, key)))  # one row each
+    return counts.join(F.broadcast(set_digest(holdout, key)))  # one row each
 
 
 def freeze(holdout: DataFrame, key: Sequence[str], path: str) -> bool:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftrank.functions import versions
+from driftrank.functions.names import canonical
+from driftrank.operators import requirements
 from driftrank.operators.relational import keep_one
 
 # The wording of each kind of change; %1$s is the symbol, %2$s the parameter or base.
@@ -49,11 +52,76 @@ def hot_order(score: str = "score", users: str = "user_count", ties: Sequence[st
 
 def with_signals(changes: DataFrame, usage: DataFrame, prediction: DataFrame, key: Sequence[str], model: str) -> DataFrame:
     """changes with user_count and the score of one model; both sides are left joins, the model is part of the join."""
-    chosen = prediction.where(F.col("model_version") == model).select(*key, "score")
+    chosen = prediction.where(F.col("model_version") == model).select(*key, "score")  # so a row that only another model scored stays, unscored
     out = changes.join(chosen, list(key), "left").join(usage.select("symbol", "user_count"), "symbol", "left")
     return out.withColumn("user_count", F.coalesce("user_count", F.lit(0)))
 
 
+def release_pages(wanted: DataFrame, packages: DataFrame, releases: DataFrame, changes: DataFrame, usage: DataFrame, prediction: DataFrame, model: str, limit: int = 20, include_private: bool = False) -> DataFrame:
+    """name, version, status, ranking, total, n_imported and the first `limit` changes (rn, symbol, kind, sub_target, score, user_count) of each wanted release.
+
+    wanted: name, version; packages: package, name; releases: package, version, upgrade, status; changes: upgrade, line, symbol,
+    kind, sub_target, is_private; prediction: upgrade, line, model_version, score. What is not known has one row, `not_tracked`; a
+    known release without changes has one row with its status and totals of 0.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit is from 1 to 100")
+    held = packages.select("package", "name").join(releases.select("package", "version", "upgrade", "status"), "package").drop("package")
+    found = wanted.select("name", "version").distinct().join(held, ["name", "version"], "left")
+    rows = changes.select("upgrade", "line", "symbol", "kind", "sub_target", "is_private").join(found.select("upgrade").distinct(), "upgrade", "left_semi")
+    ranked = rank_releases(with_signals(rows, usage, prediction, ["upgrade", "line"], model), "upgrade", limit, include_private)
+    ranked = ranked.select("upgrade", "ranking", "total", "n_imported", "rn", "symbol", "kind", "sub_target", "score", "user_count")
+    out = found.join(ranked, "upgrade", "left")
+    known = F.col("upgrade").isNotNull()
+    return out.select(
+        "name", "version", F.when(known, F.col("status")).otherwise("not_tracked").alias("status"), F.when(known, F.when(F.col("ranking") == "model", "model").otherwise("usage_fallback")).alias("ranking"),
+        *[F.when(known, F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in ("total", "n_imported")], F.col("rn").cast("bigint").alias("rn"), "symbol", "kind", "sub_target", "score", "user_count",
+    )
+
+
+MOST_PINS = 200
+
+
+def analyzed(files: DataFrame, packages: DataFrame, releases: DataFrame, changes: DataFrame, usage: DataFrame, prediction: DataFrame, model: str, per_release: int = 5, most: int = 10) -> DataFrame:
+    """Requirements files, text to result: a row for each shown change of each release above a pin, and one for each release, pin or line without.
+
+    files: file, text; the rest as for release_pages, releases with version texts. status: `too_many_packages` (a file with more than
+    MOST_PINS pins), `skipped` (a line, with its reason), `not_tracked`, `up_to_date`, `behind`. A change that several of a pin's
+    releases hold stays in the newest one; of the releases the newest `most` are shown (place 1 newest), `hidden` counts the others.
+    """
+    parsed = requirements.parse(files)
+    read = parsed.where("reason is null")
+    full = read.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > MOST_PINS).select("file")
+    fine = parsed.join(full, "file", "left_anti")
+    pins = fine.where("reason is null").select("file", F.col("name").alias("canon"), F.col("version").alias("current"))
+    pins = pins.withColumns({"pin_key": versions.key(F.col("current")), "pin_pre": versions.is_pre(F.col("current"))})
+    held = releases.select("package", "version", "upgrade", F.col("status").alias("analysis")).withColumns({"key": versions.key(F.col("version")), "pre": versions.is_pre(F.col("version"))}).where("key is not null")
+    tracked = packages.select("package", "name", canonical(F.col("name")).alias("canon"))
+    each = pins.join(tracked, "canon", "left").join(held, "package", "left")
+    counts = (F.col("key").isNotNull()) & (~F.col("pre") | F.col("pin_pre"))
+    each = each.where(counts | F.col("key").isNull()).withColumn("above", F.coalesce(F.col("key") > F.col("pin_key"), F.lit(False)))
+    of_pin = Window.partitionBy("file", "canon")  # the releases of one package
+    each = each.withColumns({
+        "known": F.count("key").over(of_pin), "n_above": F.count_if("above").over(of_pin),
+        "latest": F.max_by("version", "key").over(of_pin), "place": F.row_number().over(of_pin.orderBy(F.desc("key"), F.desc("version"))),
+    })
+    status = F.when(F.col("known") == 0, "not_tracked").when(F.col("n_above") == 0, "up_to_date").otherwise("behind")
+    each = each.withColumn("status", status)
+    alone = each.where("status <> 'behind'").select("file", "canon", "status", F.when(F.col("status") == "up_to_date", F.col("current")).alias("current"), F.when(F.col("status") == "up_to_date", F.col("latest")).alias("latest")).distinct()
+    shown = each.where(F.col("above") & (F.col("status") == "behind") & (F.col("place") <= most))
+    shown = shown.select("file", "canon", "status", "current", "latest", "version", "upgrade", "key", "place", F.greatest(F.col("n_above") - most, F.lit(0)).alias("hidden"))
+    rows = changes.where(~F.col("is_private")).select("upgrade", "line", "symbol", "kind", "sub_target").join(shown.select("file", "canon", "upgrade", "key"), "upgrade")
+    rows = newest_copies(rows, ["file", "canon", "symbol", "kind", "sub_target"], F.col("key"), [F.desc("line")])
+    rows = with_signals(rows, usage, prediction, ["upgrade", "line"], model).withColumns({"release": F.struct("file", "upgrade"), "is_private": F.lit(False)})
+    ranked = rank_releases(rows, "release", per_release).select("file", "canon", "upgrade", "total", "n_imported", "ranking", "rn", "symbol", "kind", "sub_target", "score", "user_count")
+    behind = shown.join(ranked, ["file", "canon", "upgrade"], "left").withColumns({
+        "total": F.coalesce("total", F.lit(0)), "n_imported": F.coalesce("n_imported", F.lit(0)), "ranking": F.when(F.col("ranking") == "model", "model").otherwise("usage_fallback"),
+    }).drop("upgrade", "key")
+    skipped = fine.where("reason is not null").select("file", F.lit("skipped").alias("status"), F.col("shown").alias("canon"), "reason", "line_number")
+    out = behind.unionByName(alone, allowMissingColumns=True).unionByName(full.select("file", F.lit("too_many_packages").alias("status")), allowMissingColumns=True)
+    return out.unionByName(skipped, allowMissingColumns=True).withColumnRenamed("canon", "name")
+
+
 def rank_releases(changes: DataFrame, release: str, limit: int, include_private: bool = False) -> DataFrame:
     """Each release's first `limit` changes with rn, and total and n_imported before the limit."""
     rows = changes.where(F.lit(include_private) | ~F.col("is_private"))

@@ -1,7 +1,7 @@
 """Writes without MERGE: upserts as union and keep-last, replacement by partition, guarded deletes, append-only ledgers.
 
 Functions that return a DataFrame are plans of the table's next state; `publish` writes one beside the old and swaps the
-pointer file, so a reader sees either state whole and a failed job leaves the old one.
+pointer, so a reader sees either state whole and a failed job leaves the old one.
 """
 
 from __future__ import annotations
@@ -94,17 +94,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _files(spark: SparkSession, folder: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _pointers(spark: SparkSession, folder: str) -> list[str]:
+    where, fs = _files(spark, f"{folder}/pointers")
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def published(spark: SparkSession, folder: str) -> bool:
+    return bool(_pointers(spark, folder))
+
+
 def publish(df: DataFrame, folder: str) -> str:
-    """Writes df as a new version under folder and makes it the current one; returns its path."""
+    """Writes df as a new version under folder and makes it the current one; returns its path.
+
+    A pointer is an empty folder named by number and version; it appears by one call, no pointer is ever changed, and readers take
+    the highest, so at any time they find the old or the new version whole.
+    """
     spark = df.sparkSession
-    path = f"{folder}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
-    return path
+    last = _pointers(spark, folder)
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{folder}/v-{version}")
+    where, fs = _files(spark, f"{folder}/pointers/{int(last[-1].split('-')[0]) + 1 if last else 1:012d}-{version}")
+    fs.mkdirs(where)
+    return f"{folder}/v-{version}"
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{folder}/current").first().path)
+    return spark.read.parquet(f"{folder}/v-{_pointers(spark, folder)[-1].split('-')[1]}")
+
+
+def query(spark: SparkSession, sql: str, params: dict, tables: dict[str, DataFrame]) -> DataFrame:
+    """A SQL text with named parameters over the given tables; values are bound, never pasted into the text."""
+    return spark.sql(sql, args=params, **tables)
 
 
 def columns_of(spark: SparkSession, name: str) -> list[str]:

@@ -163,9 +163,7 @@ def q_semver_score(s):
 @query("""t as (select c_custkey, c_mktsegment, case when c_acctbal > 0 then rank() over (order by c_acctbal desc) end as r from customer)
 select c_custkey, cast(-coalesce(r, max(r) over (partition by c_mktsegment)) as double) as popularity from t""")
 def q_popularity(s):
-    from pyspark.sql import Window
-
-    ranked = s.table("customer").withColumn("r", F.rank().over(Window.orderBy(F.desc("c_acctbal"))))
+    ranked = relational.ranked(s.table("customer"), "c_acctbal", "r")
     ranked = ranked.withColumn("r", F.when(F.col("c_acctbal") > 0, F.col("r")))
     return ranked.select("c_custkey", metrics.popularity(F.col("r"), ["c_mktsegment"]).alias("popularity"))
 
@@ -177,6 +175,7 @@ def q_path_rank(s):
     return metrics.with_path_score(s.changes.select("symbol", d.alias("d")).distinct(), "d").select("symbol", "path")
 
 
+NUMBER = "cast(split_part(version, '.', 1) as int) * 10000 + cast(split_part(version, '.', 2) as int) * 100 + cast(split_part(version, '.', 3) as int)"
 RANKABLE = "t as (select *, sum(label) over (partition by package) as p, count(*) over (partition by package) as n from ch), k as (select * from t where p > 0 and n > 10)"
 TIE = "coalesce(score, -1) desc, symbol, sub_target, kind, upgrade, quantity, label"
 
@@ -310,10 +309,12 @@ def q_range_window(s):
     return keyed.join(window, "package").where("key between lo and hi").select("package", "upgrade", "version")
 
 
-@query(f"""{PAIRS}, d as (select package, version_to as v, min(released_at) as from_date from t group by 1, 2)
-select t.package, t.upgrade, version_from, from_date from t join d on t.package = d.package and t.version_from = d.v where t.released_at < from_date""")
+@query(f"""n as (select *, {NUMBER} as v from rel), t as (select package, upgrade, released_at, version as version_to, lag(version) over (partition by package order by v, upgrade) as version_from from n), d as (select package, version_to as v, min(released_at) as from_date from t group by 1, 2)
+select t.package, t.upgrade, version_from, from_date, t.released_at < timestamp '1998-01-01' and from_date >= timestamp '1998-01-01' as straddles from t join d on t.package = d.package and t.version_from = d.v where t.released_at < from_date""")
 def q_out_of_order(s):
-    return audit.out_of_order(_pairs(s), ["package"]).select("package", "upgrade", "version_from", "from_date")
+    ordered = relational.predecessor(s.releases.withColumn("key", versions.key(F.col("version"))), ["package"], [F.asc("key"), F.asc("upgrade")], "version", "version_from").withColumnRenamed("version", "version_to")
+    start = F.lit("1998-01-01").cast("timestamp_ntz")
+    return audit.out_of_order(ordered, ["package"]).select("package", "upgrade", "version_from", "from_date", ((F.col("released_at") < start) & (F.col("from_date") >= start)).alias("straddles"))
 
 
 @query("select kind, is_private, count(*) as rows, cast(sum(label) as bigint) as positives, round(avg(label), 9) as rate from ch group by kind, is_private")
@@ -620,7 +621,8 @@ def q_compare_sweeps(s):
 @query()
 def q_shape_lift(s):
     rows = s.changes.withColumns({"score": F.coalesce("score", F.lit(-1.0)), "other": -names.name_length(F.col("symbol")).cast("double")})
-    return sweeps.by_shape(rows, names.is_dunder(F.col("symbol")), "score", "other", "label")
+    out = sweeps.by_shape(rows, names.is_dunder(F.col("symbol")), "score", "other", "label")
+    return out.select("shape", *[F.round(c, 8).alias(c) for c in ("ap", "floor", "other_ap", "lift")])
 
 
 @query()

@@ -27,6 +27,10 @@ CHANGES = {
     "label": "case when l_returnflag = 'R' then 1 else 0 end",
     "score": "case when l_tax > 0.03 then l_discount + l_quantity / 1000 end",
     "quantity": "l_quantity",
+    "line": "cast(l_linenumber as bigint)",
+    "inherited_by": "cast(l_linenumber % 3 as bigint)",
+    "in_dunder_all": "l_partkey % 7 = 0",
+    "was_deprecated_before": "l_suppkey % 11 = 0",
     "explanation": "'pkg.py:' || l_linenumber || ': ' || case l_linenumber % 4 when 1 then 'N' || (l_partkey % 300) else 'C.x' end || ': Attribute value was changed: 1 -> ' || case when l_partkey % 5 = 0 then 'unset' else '2' end",
     "export_paths": "case when l_partkey % 3 = 0 then 'r' || (l_suppkey % 9) || '.N' || (l_partkey % 300) || ';' || 'r' || (l_suppkey % 9) || '.m' || ((l_partkey + 1) % 23) || '.N' || (l_partkey % 300) else '' end",
 }

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftrank.operators.store import current, exists, publish, upsert
+from driftrank.operators.relational import keep_last
+from driftrank.operators.store import current, publish, published, upsert
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str | None = None, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -44,12 +45,12 @@ def running_counts(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, seen long", "seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(stream: DataFrame, folder: str, key: list[str], checkpoint: str):
-    """Keeps the last row of each key in a published table, a version for each micro-batch."""
+def upsert_batches(stream: DataFrame, folder: str, key: list[str], checkpoint: str, sequence: str):
+    """Keeps the last row of each key, by `sequence`, in a published table, a version for each micro-batch. A later batch's row replaces an earlier one's."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        publish(upsert(current(spark, folder), new, key) if exists(spark, f"{folder}/current") else new, folder)
+        new = keep_last(batch, key, sequence)
+        publish(upsert(current(spark, folder), new, key) if published(spark, folder) else new, folder)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -148,7 +148,7 @@ def test_streams_agree_with_tables(spark, sf, tmp_path):
     counts = run(events.running_counts(stream), "update", "c").groupBy("user_id").agg(F.max("seen").alias("seen"))
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, table.groupBy("user_id").count().collect()))
     assert run(events.first_seen(stream.union(stream), "event_id", "90 days"), "append", "f").count() == table.count()
-    events.upsert_batches(stream.select("event_id", "value"), str(tmp_path / "t"), ["event_id"], str(tmp_path / "ck")).awaitTermination(120)
+    events.upsert_batches(stream.select("event_id", "value"), str(tmp_path / "t"), ["event_id"], str(tmp_path / "ck"), "value").awaitTermination(120)
     assert store.current(spark, str(tmp_path / "t")).count() == table.count()
 
 
