@@ -143,6 +143,17 @@ def intervals(df: DataFrame, group: Sequence[str], score: str, other: str, label
     return out.where("v is not null").groupBy("quantity").agg(*band("v"), F.count("*").alias("draws"))
 
 
+def bundle(df: DataFrame, scores: dict[str, str], label: str, over: str) -> DataFrame:
+    """quantity, value: the tie-averaged average precision of each named score, the floor, and each score's lift over the one named `over`."""
+    each = [average_precision(df, column, label).select(F.lit(name).alias("quantity"), F.col("pr_auc_ties").alias("value"), "floor") for name, column in scores.items()]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionAll(x)
+    base = F.max(F.when(F.col("quantity") == over, F.col("value"))).over(Window.partitionBy())  # a row a score
+    lifts = out.withColumn("base", base).where(F.col("quantity") != over).select(F.concat("quantity", F.lit(f"_over_{over}")).alias("quantity"), (F.col("value") / F.col("base")).alias("value"))
+    return out.select("quantity", "value").unionAll(lifts).unionAll(each[0].select(F.lit("floor"), "floor"))
+
+
 # What a version step promises.
 STEP_SCORE = {"major": 3.0, "minor": 2.0, "patch": 1.0, "other": 0.0}
 

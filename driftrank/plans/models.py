@@ -7,6 +7,7 @@ MLlib has no pairwise ranking objective; the order that is served by default is
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import median
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -15,6 +16,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftrank.operators.metrics import average_precision
+from driftrank.tables import park
+
 LONG_TAILED = ("inherited_by", "prior_breaks_in_module", "package_rank", "release_size", "package_churn")
 
 
@@ -77,6 +81,51 @@ def choose(settings: Sequence[dict], scores: Sequence[float], simplicity) -> dic
     return min((s for s, x in zip(settings, scores) if x == best), key=simplicity)
 
 
+def grid(folds: DataFrame, settings: Sequence[dict], make, label: str) -> list[tuple[dict, float]]:
+    """(setting, median over the folds of average precision over the floor), in the settings' order. folds: with fold and role, as
+    `labels.folds` deals them; make(setting): an unfitted pipeline. Folds whose validation rows hold no positive are left out.
+    """
+    folds = park(folds, "folds")
+    usable = [r.fold for r in folds.where("role = 'validate'").groupBy("fold").agg(F.sum(label).alias("p")).where("p > 0").orderBy("fold").collect()]  # a row a fold
+    out = []
+    for s in settings:
+        lifts = []
+        for f in usable:
+            model = make(s).fit(balanced(folds.where((F.col("fold") == f) & (F.col("role") == "fit")), label))
+            ap = average_precision(scored(model, folds.where((F.col("fold") == f) & (F.col("role") == "validate"))), "score", label).first()
+            lifts.append(ap.pr_auc_ties / ap.floor)
+        out.append((s, median(lifts) if lifts else 0.0))
+    return out
+
+
+def refit(rows: DataFrame, tried: Sequence[tuple[dict, float]], simplicity, make, label: str) -> tuple[dict, PipelineModel]:
+    """The chosen setting and its model of all training rows."""
+    best = choose([s for s, _ in tried], [x for _, x in tried], simplicity)
+    return best, make(best).fit(balanced(rows, label))
+
+
+def ablated(train: DataFrame, test: DataFrame, kinds: dict[str, list[str]], every: list[str], make, label: str) -> list[tuple[str, float, float]]:
+    """(name, average precision, move against all features) of `all` and of each subset of `ablations`; make(features) is an unfitted pipeline."""
+    train, test = park(balanced(train, label), "train"), park(test, "test")
+
+    def value(features: list[str]) -> float:
+        return average_precision(scored(make(features).fit(train), test), "score", label).first().pr_auc_ties
+
+    whole = value(every)
+    return [("all", whole, 0.0)] + [(name, x := value(kept), x - whole) for name, kept in kinds.items()]
+
+
+def noise_floor(moves: Sequence[tuple[str, float, float]]) -> float:
+    """The largest move of a control, which carried no gain: what smaller moves are not told apart from."""
+    return max((abs(m) for name, _, m in moves if name.startswith("control:")), default=0.0)
+
+
+def serving_scores(model: PipelineModel, development: DataFrame, holdout: DataFrame, key: Sequence[str], version: str) -> DataFrame:
+    """key, model_version, score of every row, held out or not: what pages are served from. No label is read."""
+    both = development.unionByName(holdout)
+    return scored(model, both).select(*key, F.lit(version).alias("model_version"), "score")
+
+
 def ablations(features: Sequence[str], groups: dict[str, Sequence[str]], controls: Sequence[str] = ()) -> dict[str, list[str]]:
     """name -> features that are left, for each group and for up to three controls that carried no gain."""
     out = {name: [f for f in features if f not in gone] for name, gone in groups.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftrank.functions import names, versions
-from driftrank.operators import api, labels, reports, runs, serve, store
+from driftrank.operators import api, labels, metrics, reports, runs, serve, store
 from driftrank.plans.catalogue import BUMP, PAIRS, SQL, _pairs, big, query
 from driftrank.plans.standins import CTE
 
@@ -334,6 +334,77 @@ def q_resume(s):
     return left
 
 
+# ---- learned scorers
+
+
+def _run_sql(name: str, score: str) -> str:
+    return f"""{name}_t as (select {score} as score, label, row_number() over (order by {score} desc) as pos from ch),
+{name}_u as (select score, count(*) as n, sum(label) as r, min(pos) - 1 as above, sum(1.0 / pos) as inv from {name}_t group by score),
+{name}_v as (select *, coalesce(sum(r) over (order by score desc rows between unbounded preceding and 1 preceding), 0) as found, sum(r) over () as p from {name}_u),
+{name} as (select sum(cast(r as double) / n * ((found + 1) * inv + (case when n > 1 then (r - 1.0) / (n - 1) else 0 end) * (n - (above + 1) * inv))) / max(p) as x from {name}_v)"""
+
+
+@query(f"""{_run_sql('model', 'coalesce(score, -1)')}, {_run_sql('popularity', 'cast(-(package % 97) as double)')}, {_run_sql('path', '-cast(length(symbol) as double)')}
+select q as quantity, round(v, 8) as value from (select 'model' as q, x as v from model union all select 'popularity', x from popularity union all select 'path', x from path
+union all select 'model_over_popularity', model.x / popularity.x from model, popularity union all select 'path_over_popularity', path.x / popularity.x from path, popularity union all select 'floor', avg(label) from ch)""")
+def q_bundle(s):
+    rows = s.changes.withColumns({"score": F.coalesce("score", F.lit(-1.0)), "pop": -(F.col("package") % 97).cast("double"), "path": -F.length("symbol").cast("double")})
+    return metrics.bundle(rows, {"model": "score", "popularity": "pop", "path": "path"}, "label", "popularity").withColumn("value", F.round("value", 8))
+
+
+_NUMERIC = ["module_depth", "name_length", "release_size", "package_churn"]
+
+
+def _learnable(s):
+    from driftrank.plans import models
+
+    rows = labels.add_features(s.changes.drop("is_private"), ["upgrade"])
+    return models.prepared(rows, _NUMERIC).select("upgrade", "line", "released_at", "kind", "label", *_NUMERIC)
+
+
+def _linear(reg: float, numeric: list[str]):
+    from driftrank.plans import models
+
+    out = models.linear(numeric, ["kind"], "label", steps=20)
+    out.getStages()[-1].setRegParam(reg)
+    return out
+
+
+@query()
+def q_model_grid(s):
+    from driftrank.plans import models
+
+    rows = _learnable(s)
+    settings = [{"reg": r} for r in (1e-4, 1e-1)]
+    make = lambda x: _linear(x["reg"], _NUMERIC)
+    tried = models.grid(labels.folds(rows, "released_at", (0.5, 0.75, 1.0)), settings, make, "label")
+    best, _ = models.refit(rows, tried, lambda x: -x["reg"], make, "label")
+    return s.spark.createDataFrame([(x["reg"], float(v), x == best) for x, v in tried], "reg double, lift double, chosen boolean")
+
+
+@query()
+def q_ablation(s):
+    from driftrank.plans import models
+
+    rows = labels.split_by_date(_learnable(s), "released_at", 0.2)
+    kinds = models.ablations(_NUMERIC, {"no_names": ["name_length", "module_depth"], "no_history": ["package_churn"]}, ["release_size"])
+    moves = models.ablated(rows.where("split = 'train'"), rows.where("split = 'test'"), kinds, _NUMERIC, lambda f: _linear(1e-4, f), "label")
+    floor = models.noise_floor(moves)
+    return s.spark.createDataFrame([(n, float(x), float(m), abs(m) > floor) for n, x, m in moves], "name string, pr_auc double, move double, above_noise boolean")
+
+
+@query("select upgrade, line, 'm3' as model_version, true as scored from ch")
+def q_serving_scores(s):
+    from driftrank.plans import models
+
+    rows = _learnable(s)
+    held = labels.with_holdout(rows, ["upgrade"], "released_at", F.lit("2000-01-01").cast("timestamp_ntz"))
+    development = held.where("not holdout")
+    model = _linear(1e-4, _NUMERIC).fit(models.balanced(development, "label"))
+    out = models.serving_scores(model, development, held.where("holdout"), ["upgrade", "line"], "m3")
+    return out.select("upgrade", "line", "model_version", F.col("score").between(0, 1).alias("scored"))
+
+
 # ---- queries of the catalogue that had no SQL
 
 _APPEAR = """select shape, sum(cast(r as double) / n * ((found + 1) * inv + (case when n > 1 then (r - 1.0) / (n - 1) else 0 end) * (n - (above + 1) * inv))) / max(p) as ap, sum(r) / sum(n) as floor from {0} group by shape"""

@@ -155,3 +155,10 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         tables.shared_dir(Session)
+
+
+def test_model_helpers(spark):
+    from driftrank.plans import models
+
+    assert models.noise_floor([("all", 0.3, 0.0), ("no_x", 0.2, -0.1), ("control:a", 0.31, 0.01), ("control:b", 0.28, -0.02)]) == 0.02
+    assert models.noise_floor([("all", 0.3, 0.0)]) == 0.0
