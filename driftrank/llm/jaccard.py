@@ -167,8 +167,10 @@ def _runs(cells: DataFrame) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, k: int, num: int) -> DataFrame:
     """Those of the pairs (a, b) whose exact overlap reaches the bound: 100 * common >= num * union."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    pairs = park(pairs.select("a", "b"), "candidates")
+    one, two = (park(pairs.select(F.col(x).alias("node")).distinct(), f"candidates-{x}") for x in "ab")
+    left = _among(texts, one).select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = _among(texts, two).select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,18 +206,19 @@ def _columns(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, n long, h long")
 
 
-#: Ratios of neighbouring steps of sizes: rows are ruled out by coarse steps, pairs are made by fine ones.
-COARSE, FINE = 1.03, 1.005
+#: Ratio of neighbouring steps of sizes. An entry meets each step that can link with it once, so a ratio near 1 multiplies
+#: entries (by up to 89 steps at 1.005 and a similarity of 0.8; 15 at 1.03) as more sizes occur.
+COARSE = 1.03
 
 
-def _step(n: Column, ratio: float = COARSE) -> Column:
-    return F.floor(F.log(n) / math.log(ratio) + 1e-9).cast("int")
+def _step(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(COARSE) + 1e-9).cast("int")
 
 
-def _hits(entries: DataFrame, key: str, num: int, ratio: float = COARSE) -> DataFrame:
+def _hits(entries: DataFrame, key: str, num: int) -> DataFrame:
     """The entries (node, component, n, step, key) that a row of another component, of a size that can link, holds too; partner is the step of that size."""
     held = entries.groupBy(key, F.col("step").alias("partner")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    low, high = _step(F.ceil(F.col("n") * num / 100), ratio), _step(F.floor(F.col("n") * 100 / num), ratio)
+    low, high = _step(F.ceil(F.col("n") * num / 100)), _step(F.floor(F.col("n") * 100 / num))
     return entries.withColumns({"low": low, "high": high}).join(held, key).where("partner between low and high and (lo <> component or hi <> component)").drop("low", "high", "lo", "hi")
 
 
@@ -229,7 +232,7 @@ def _open(shared: DataFrame, label: DataFrame, num: int) -> DataFrame:
 
     Of the blocks that a row fills, all but those that its differences reach agree with a linked row's.
     """
-    named = shared.join(label, "node", "left").withColumns({"component": F.coalesce("component", "node"), "step": _step(F.col("n"))})
+    named = shared.select("cell", "node", "n", "f0", "f1").join(label, "node", "left").withColumns({"component": F.coalesce("component", "node"), "step": _step(F.col("n"))})
     filled = F.when(F.col("cell") % 2 == 0, F.col("f0")).otherwise(F.col("f1"))
     now = park(named.select("cell", "node", "component", "n", "step", filled.alias("filled")), "agreeing")
     left = now.count()
@@ -248,9 +251,9 @@ def _open(shared: DataFrame, label: DataFrame, num: int) -> DataFrame:
     return now.select("node", "component").distinct()
 
 
-def _needed(num: int, ratio: float = COARSE) -> Column:
+def _needed(num: int) -> Column:
     """The least overlap of a row of size n with a linked one of the step `partner`."""
-    least = F.ceil(F.pow(F.lit(ratio), F.col("partner")) * (1 - 1e-9))
+    least = F.ceil(F.pow(F.lit(COARSE), F.col("partner")) * (1 - 1e-9))
     return F.ceil(num * (F.col("n") + least) / (100 + num) - 1e-9)
 
 
@@ -269,12 +272,11 @@ def _rest(shared: DataFrame, texts: DataFrame, label: DataFrame, k: int, num: in
         if left > 0.9 * before:
             break
     df = entries.groupBy("h").agg(F.count("*").alias("df"))
-    fine = entries.withColumn("step", _step(F.col("n"), FINE))
-    ranked = _hits(fine, "h", num, FINE).join(df, "h").selectExpr(
+    ranked = _hits(entries, "h", num).join(df, "h").selectExpr(
         "*", "row_number() over (partition by node, partner order by df, h) as place", "count(*) over (partition by node, partner) as m"
     )
     # Of two linked rows' m shared entries each, needed ones are common; so one is among the first m - needed + 1 of both.
-    prefix = ranked.where(F.col("place") <= F.col("m") - _needed(num, FINE) + 1)
+    prefix = ranked.where(F.col("place") <= F.col("m") - _needed(num) + 1)
     left_, right = (prefix.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "step", "partner")], "h") for x in "ab")
     pairs = left_.join(right, (left_["h"] == right["h"]) & (left_["step_a"] == right["partner_b"]) & (left_["partner_a"] == right["step_b"]))
     pairs = pairs.where(f"component_a < component_b and 100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
@@ -308,9 +310,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     release(live)
     pivots = cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("z")).where("least.node < z").selectExpr("cell", "least.node as a", "least.n as size")
     fits = f"node <> a and 100 * least(n, size) >= {percent} * greatest(n, size)"
-    pairs = park(cells.join(pivots, "cell").where(fits).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agreements")), "pairs")
-    shared = park(cells.join(pivots.select("cell"), "cell", "left_semi"), "shared")
+    shared = park(cells.join(pivots, "cell"), "shared")
     release(cells)
+    pairs = park(shared.where(fits).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agreements")), "pairs")
     wanted = park(shared.select("node").distinct(), "wanted")
     texts = park(_among(docs.select(F.col("doc_id").alias("node"), "text"), wanted), "texts")
     lowest = member.groupBy("node").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("node", "a")
