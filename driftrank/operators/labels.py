@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftrank.functions.names import depth, is_dunder, is_private, leaf, root
-from driftrank.operators.relational import count_before, group_size
+from driftrank.operators.relational import count_before, group_size, quantiles
 
 NUMERIC = ("module_depth", "public_depth", "inherited_by", "prior_breaks_in_module", "name_length", "package_rank", "release_size", "package_churn")
 BOOLEAN = ("is_private", "is_dunder", "in_dunder_all", "is_top_level", "has_sub_target", "has_export_path", "was_deprecated_before")
@@ -96,7 +96,7 @@ def with_holdout(changes: DataFrame, group: Sequence[str], when: str, start: Col
 def split_by_date(changes: DataFrame, when: str, test_share: float) -> DataFrame:
     """split: test for dates strictly after the quantile of all dates (linear interpolation), else train; undated: train."""
     micros = F.unix_micros(F.col(when).cast("timestamp")).cast("double")
-    cut = changes.agg(F.percentile(micros, F.lit(1 - test_share)).alias("__cut"))
+    cut = quantiles(changes, micros, [1 - test_share]).select(F.col("q")[0].alias("__cut"))
     joined = changes.join(F.broadcast(cut))  # one row
     return joined.withColumn("split", F.when(micros > F.col("__cut"), "test").otherwise("train")).drop("__cut")
 
@@ -104,7 +104,7 @@ def split_by_date(changes: DataFrame, when: str, test_share: float) -> DataFrame
 def folds(changes: DataFrame, when: str, bounds: Sequence[float] = (0.40, 0.55, 0.70, 0.85, 1.0)) -> DataFrame:
     """A row for each row and expanding fold it takes part in: fit up to a quantile of dates, validate from there to the next."""
     micros = F.unix_micros(F.col(when).cast("timestamp")).cast("double")
-    cuts = changes.agg(F.percentile(micros, F.array(*[F.lit(b) for b in bounds])).alias("q"))
+    cuts = quantiles(changes, micros, bounds)
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("fold"), F.col("q")[i].alias("lo"), F.col("q")[i + 1].alias("hi")) for i in range(len(bounds) - 1)])
     table = cuts.select(F.explode(pairs).alias("f")).select("f.*")  # four rows
     at = changes.withColumn("__d", micros).join(F.broadcast(table), micros <= F.col("hi"))

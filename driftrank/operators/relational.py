@@ -106,17 +106,40 @@ def in_ranges(df: DataFrame, order: Sequence[Column], name: str = "__range") ->
     return park(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "ranges")
 
 
-def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
-    """rank() over the whole table by value, largest first (nulls last), without one task that holds it."""
-    order = F.col("__v").desc_nulls_last()
-    counts = in_ranges(df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c")), [order])
+def _placed(df: DataFrame, value: Column, order: Column) -> DataFrame:
+    """__v, __c, __before, __n of each value: its rows, the rows of values ahead of it in `order` (of __v), and all rows."""
+    counts = in_ranges(df.groupBy(value.alias("__v")).agg(F.count("*").alias("__c")), [order])
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy("__range").agg(F.sum("__c").alias("__s")).select("__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__lead"))  # a row a range
+    every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = counts.groupBy("__range").agg(F.sum("__c").alias("__s")).select("__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__lead"), F.sum("__s").over(every).alias("__n"))  # a row a range
     inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    place = counts.withColumn("__in", F.coalesce(F.sum("__c").over(inside), F.lit(0))).join(F.broadcast(sums), "__range").select("__v", (F.col("__lead") + F.col("__in") + 1).alias(name))
+    placed = counts.withColumn("__in", F.coalesce(F.sum("__c").over(inside), F.lit(0))).join(F.broadcast(sums), "__range")
+    return placed.select("__v", "__c", (F.col("__lead") + F.col("__in")).alias("__before"), "__n")
+
+
+def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
+    """rank() over the whole table by value, largest first (nulls last), without one task that holds it."""
+    place = _placed(df, F.col(value), F.col("__v").desc_nulls_last()).select("__v", (F.col("__before") + 1).alias(name))
     return df.join(place, F.col(value).eqNullSafe(F.col("__v")), "left").drop("__v")
 
 
+def quantiles(df: DataFrame, value: Column, shares: Sequence[float]) -> DataFrame:
+    """q: exact quantiles of a number, between two rows by linear interpolation; one row. Nulls are left out; without a value
+    each quantile is null. What percentile() gives, but values are ordered in ranges instead of meeting in one task.
+    """
+    placed = _placed(df.select(value.alias("__x")).where("__x is not null"), F.col("__x"), F.col("__v").asc())
+
+    def at(row: Column) -> Column:
+        return F.max(F.when((F.col("__before") <= row) & (row < F.col("__before") + F.col("__c")), F.col("__v")))
+
+    found = []
+    for s in shares:
+        place, top = F.lit(float(s)) * (F.col("__n") - 1), F.lit(float(s)) * (F.max("__n") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append(F.when(low == high, low).otherwise((F.ceil(top) - top) * low + (top - F.floor(top)) * high))
+    return placed.agg(F.array(*found).alias("q"))
+
+
 def default_column(df: DataFrame, name: str, value: object) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(value))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftrank.operators.metrics import average_precision, band, drawn
+from driftrank.operators.relational import quantiles
 from driftrank.operators.store import Refused
 
 LEAST_POSITIVES, LEAST_RANKABLE, RESOLUTION = 30, 10, 0.25
@@ -16,7 +17,7 @@ LEAST_POSITIVES, LEAST_RANKABLE, RESOLUTION = 30, 10, 0.25
 def cut_points(changes: DataFrame, group: Sequence[str], when: str, shares: Sequence[float]) -> DataFrame:
     """share, cut: quantiles of the dates of whole groups, each group counted once, however many rows it has."""
     dates = changes.groupBy(*group).agg(F.max(when).alias("d")).where("d is not null")
-    q = dates.agg(F.percentile(F.unix_micros(F.col("d").cast("timestamp")).cast("double"), F.array(*[F.lit(s) for s in shares])).alias("q"))
+    q = quantiles(dates, F.unix_micros(F.col("d").cast("timestamp")).cast("double"), shares)
     rows = F.array(*[F.struct(F.lit(s).alias("share"), F.timestamp_micros(F.col("q")[i].cast("bigint")).alias("cut")) for i, s in enumerate(shares)])
     return q.select(F.explode(rows).alias("x")).select("x.*")
 

@@ -253,3 +253,22 @@ def test_intervals_of_five_quantities_and_of_rates_against_plain_sums(spark):
     b = rate["b"]
     assert np.allclose([b.minus_base_low, b.minus_base_high], np.percentile(pair[:, 1] - pair[:, 0], [2.5, 97.5]))
     assert np.allclose([b.over_rest_low, b.over_rest_high], np.percentile(pair[:, 1] / pair[:, 0], [2.5, 97.5])) and b.minus_base == b.minus_rest
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    r = random.Random(11)
+    shares = [0.0, 0.4, 0.55, 0.8, 1.0]
+    for n in (1, 2, 7, 500):
+        rows = [(float(r.randint(0, 40)) if r.random() > 0.1 else None,) for _ in range(n)] + [(3.5,)]
+        df = spark.createDataFrame(rows, "v double")
+        want = df.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("q")).first().q
+        assert relational.quantiles(df, F.col("v"), shares).first().q == pytest.approx(want, abs=1e-12)
+    assert relational.quantiles(spark.createDataFrame([(None,)], "v double"), F.col("v"), shares).first().q == [None] * 5
+
+
+def test_dates_split_without_a_date(spark):
+    undated = spark.createDataFrame([(1, None), (2, None)], "i int, d date")
+    assert {x.split for x in labels.split_by_date(undated, "d", 0.2).collect()} == {"train"}
+    assert labels.folds(undated, "d").count() == 0
+    some = spark.createDataFrame([(i,) for i in range(10)], "i int").withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("i")))
+    assert sorted(x.i for x in labels.split_by_date(some, "d", 0.2).where("split = 'test'").collect()) == [8, 9]
