@@ -8,12 +8,15 @@ least one filled block. So the product is first taken block by block over equal
 equal hashes meet in one run of a sorted shuffle, and their agreements accumulate for each pair (row, least row of the
 run). Rows with too few filled blocks also take part under further dealings until one has enough, which keeps this exact.
 
-Pairs that the bounds leave get their exact overlap from the two texts. What is then still undecided is where a run holds
-rows of several components. There, rows stay whose blocks agree with other components' rows of a size that can link in as
-many places as the size bounds require. For those alone the full product follows: a row is counted, for each step of sizes
+Each row gets its exact overlap, from the two texts, with the one least row that it agrees with most among those the bounds
+leave. Runs that hold rows of one component only are then done. In the others the least row of the least component meets, of
+each other component, the row that agrees with it most. What is still undecided is where a run holds rows of several
+components. There, rows stay whose blocks agree with other components' rows of a size that can link in as many places as the
+size bounds require. For those alone the full product follows: a row is counted, for each step of sizes
 that can link with it, the n-grams that rows of other components and that size hold; where the count is below the overlap that
 the sizes require, nothing of that size can link, and a row without a size left goes, until no more go. Of what is left,
-pairs meet in the rarest n-grams that the bound requires, and again get their exact overlap.
+pairs meet in the rarest n-grams that the bound requires. A bitmap of each row's n-grams rules out pairs whose bits already
+differ in more places than linked rows of their sizes can; the others again get their exact overlap.
 
 Defined results: null and empty texts have size 0 and link with nothing; with fewer words than n, the whole sequence is
 the one n-gram; copies link; a null id has a null component and passes no link on; rows that share an id are one node;
@@ -192,6 +195,21 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, k: int, num: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def _closest(met: DataFrame, by: list[str], of: str) -> DataFrame:
+    """For each group of `by` the row of column `of` with the most agreements, the least one of equals."""
+    return met.groupBy(*by).agg(F.max_by(of, F.struct("agreements", F.bitwise_not(F.col(of)).alias("back"))).alias(of))
+
+
+def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of shared whose cell holds several components, with their component; lo, a, size: least component of the cell, its least row, that row's size."""
+    component = F.coalesce("component", "node").alias("component")
+    named = park(shared.select("cell", "node", "n", "f0", "f1").join(label, "node", "left").select("cell", "node", "n", "f0", "f1", component), "labelled")
+    least = named.groupBy("cell").agg(F.min(F.struct("component", "node", "n")).alias("least"), F.max("component").alias("z")).where("least.component < z")
+    mixed = park(named.join(least.selectExpr("cell", "least.component as lo", "least.node as a", "least.n as size"), "cell"), "mixed")
+    release(named)
+    return mixed
+
+
 def _columns(texts: DataFrame, k: int) -> DataFrame:
     """node, n, h: the incidence of the given rows, one row an entry."""
 
@@ -257,6 +275,29 @@ def _needed(num: int) -> Column:
     return F.ceil(num * (F.col("n") + least) / (100 + num) - 1e-9)
 
 
+#: Words of 64 bits in a row's bitmap. Rows of very many n-grams fill it and are not told apart by it, which only leaves more to check.
+BITMAP = 8
+
+
+def _bitmaps(entries: DataFrame) -> DataFrame:
+    """node, bits: a bit for each of 64 * BITMAP classes of n-grams, set where the row holds one of the class."""
+    word, bit = F.expr(f"pmod(shiftright(h, 6), {BITMAP})"), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(BITMAP)]
+    return entries.groupBy("node").agg(*words).select("node", F.array(*[f"w{i}" for i in range(BITMAP)]).alias("bits"))
+
+
+def _can_link(num: int) -> Column:
+    """Whether rows a and b may link: of each, no more bits than n-grams that linked rows of these sizes need not share are missing in the other,
+    and the n-gram in which they meet can be the first of as many common ones as a link needs."""
+    needed = F.ceil(num * (F.col("n_a") + F.col("n_b")) / (100 + num) - 1e-9)
+
+    def fits(x: str, y: str) -> Column:
+        missing = [F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(BITMAP)]
+        return (sum(missing[1:], missing[0]) <= F.col(f"n_{x}") - needed) & (F.col(f"place_{x}") <= F.col(f"m_{x}") - needed + 1)
+
+    return fits("a", "b") & fits("b", "a")
+
+
 def _rest(shared: DataFrame, texts: DataFrame, label: DataFrame, k: int, num: int) -> DataFrame:
     """Candidate pairs (a, b) of different components among rows whose cells hold several components."""
     open_ = park(_open(shared, label, num), "open")
@@ -276,10 +317,10 @@ def _rest(shared: DataFrame, texts: DataFrame, label: DataFrame, k: int, num: in
         "*", "row_number() over (partition by node, partner order by df, h) as place", "count(*) over (partition by node, partner) as m"
     )
     # Of two linked rows' m shared entries each, needed ones are common; so one is among the first m - needed + 1 of both.
-    prefix = ranked.where(F.col("place") <= F.col("m") - _needed(num) + 1)
-    left_, right = (prefix.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "step", "partner")], "h") for x in "ab")
+    prefix = ranked.where(F.col("place") <= F.col("m") - _needed(num) + 1).join(_bitmaps(entries), "node")
+    left_, right = (prefix.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "step", "partner", "place", "m", "bits")], "h") for x in "ab")
     pairs = left_.join(right, (left_["h"] == right["h"]) & (left_["step_a"] == right["partner_b"]) & (left_["partner_a"] == right["step_b"]))
-    pairs = pairs.where(f"component_a < component_b and 100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+    pairs = pairs.where(f"component_a < component_b and 100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").where(_can_link(num))
     return pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("agreements"))
 
 
@@ -312,7 +353,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     fits = f"node <> a and 100 * least(n, size) >= {percent} * greatest(n, size)"
     shared = park(cells.join(pivots, "cell"), "shared")
     release(cells)
-    pairs = park(shared.where(fits).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agreements")), "pairs")
+    met = shared.where(fits).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agreements"))
+    pairs = park(_closest(met, ["b"], "a"), "pairs")
     wanted = park(shared.select("node").distinct(), "wanted")
     texts = park(_among(docs.select(F.col("doc_id").alias("node"), "text"), wanted), "texts")
     lowest = member.groupBy("node").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("node", "a")
@@ -320,10 +362,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = park(_overlaps(pairs, texts, k, percent).union(same_id), "links")
     release(pairs)
     label = components(links)
-    more = park(_overlaps(_rest(shared, texts, label, k, percent), texts, k, percent), "links")
+    mixed = _mixed(shared, label)
+    release(shared)
+    met = mixed.where(f"component <> lo and {fits}").groupBy("a", "component", F.col("node").alias("b")).agg(F.count("*").alias("agreements"))
+    between = park(_overlaps(_closest(met, ["a", "component"], "b"), texts, k, percent), "links")
+    if not between.isEmpty():
+        label = components(links.union(between))
+    more = park(_overlaps(_rest(mixed, texts, label, k, percent), texts, k, percent), "links")
     if not more.isEmpty():
-        label = components(links.union(more))
-    release(texts, shared, wanted, links, more)
+        label = components(links.union(between).union(more))
+    release(texts, mixed, wanted, links, between, more)
     out = named.join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
     linked = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
