@@ -215,6 +215,28 @@ def test_ngram_jaccard_on_a_dense_group(spark, percent):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(docs, 4, percent).collect()) == _classes(rows, 4, percent)
 
 
+def test_bitmaps_rule_out_no_linked_rows(spark):
+    r = np.random.default_rng(5)
+    low, high = -(1 << 63), (1 << 63) - 1
+    held, pairs = {}, []
+    for i, n in enumerate((1, 3, 12, 60, 300, 3000)):
+        a = [low, high, -1, *map(int, r.integers(low, high, n))][:n]
+        swapped = n * 15 // 185
+        held[2 * i], held[2 * i + 1] = a, a[: n - swapped] + list(map(int, r.integers(low, high, swapped)))
+        pairs.append((2 * i, 2 * i + 1))
+    bits = jaccard._bitmaps(spark.createDataFrame([(k, h) for k, v in held.items() for h in v], "node long, h long"))
+    got = {x.node: x.bits for x in bits.collect()}
+    for k, v in held.items():
+        words = [0] * jaccard.BITMAP
+        for h in v:
+            words[(h >> 6) % jaccard.BITMAP] |= 1 << (h & 63)
+        assert [w & (1 << 64) - 1 for w in got[k]] == words
+    rows = [(len(held[a]), got[a], 1, len(held[a]), len(held[b]), got[b], 1, len(held[b])) for a, b in pairs]
+    table = spark.createDataFrame(rows, "n_a long, bits_a array<long>, place_a int, m_a int, n_b long, bits_b array<long>, place_b int, m_b int")
+    assert table.where(jaccard._can_link(85)).count() == len(pairs)
+    assert not table.where("n_a between 60 and 300").selectExpr("*", "transform(bits_b, x -> 0L) as z").drop("bits_b").withColumnRenamed("z", "bits_b").where(jaccard._can_link(85)).count()
+
+
 def test_linked_rows_share_a_block_row():
     r = np.random.default_rng(1)
     for percent in (70, 80, 85):
