@@ -329,7 +329,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     v = version(path)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text"), path))
     keyed = park(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
-    misses = park(keyed.select("digest").distinct().join(stored(spark, cache, v), "digest", "left_anti"), "misses")
+    digests = park(keyed.select("digest").distinct(), "distinct-digests")
+    misses = park(digests.join(stored(spark, cache, v), "digest", "left_anti"), "misses")
     n = misses.count()
     if n:
         held = texts.select("digest", "text")
@@ -346,5 +347,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
                     yield pa.RecordBatch.from_arrays([pa.array([v] * part.num_rows), part.column("digest"), counts], ["version", "digest", "n_tokens"])
 
         one.mapInArrow(run, _CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
-    out = keyed.join(stored(spark, cache, v), "digest", "left")
+    # Both sides of the last join are tables as written, so that Spark can split a digest with very many rows.
+    counts = park(digests.join(stored(spark, cache, v), "digest"), "counts")
+    out = keyed.join(counts, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
