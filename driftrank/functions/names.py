@@ -80,13 +80,15 @@ def quoted_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("'([^']*)'"), F.lit(1))
 
 
-RESERVED_OWNERS = ("sponsors", "orgs", "topics", "features")
+# First path parts that are no owner.
+RESERVED_OWNERS = ("sponsors", "orgs", "users", "apps")
 
 
 def repository(url: Column) -> Column:
     """owner/repo of a code-host URL, without `.git`; null for others and reserved owners."""
-    owner = F.regexp_extract(url, r"(?i)^(?:git\+)?https?://(?:www\.)?github\.com/([^/?#]+)/([^/?#]+)", 1)
-    repo = F.regexp_replace(F.regexp_extract(url, r"(?i)^(?:git\+)?https?://(?:www\.)?github\.com/([^/?#]+)/([^/?#]+)", 2), r"\.git$", "")
+    parts = F.split(F.regexp_extract(url, r"(?i)^https?://(?:www\.)?github\.com/(.*)$", 1), "/")
+    owner = F.regexp_extract(parts[0], r"^[\w.-]+$", 0)
+    repo = F.regexp_replace(F.regexp_extract(F.get(parts, F.lit(1)), r"^[\w.-]+", 0), r"(?i)\.git$", "")
     return F.when((owner != "") & (repo != "") & ~F.lower(owner).isin(*RESERVED_OWNERS), F.concat_ws("/", owner, repo))
 
 

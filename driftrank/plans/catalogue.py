@@ -464,7 +464,7 @@ def q_features(s):
 
 
 @query("""t as (select distinct kind, explanation, symbol, split_part(symbol, '.', -1) as leaf from ch)
-select kind, explanation, symbol, (kind = 'ATTRIBUTE_CHANGED_VALUE' and not ends_with(explanation, ' -> unset')) as changed, regexp_extract(explanation, '(?:^|:\\s)([^\\s:]+): Attribute value was changed', 1) = leaf as in_module from t""")
+select kind, explanation, symbol, (kind = 'ATTRIBUTE_CHANGED_VALUE' and not ends_with(explanation, ' -> unset')) as changed, list_extract(string_split(replace(split_part(explanation, ': Attribute value was changed', 1), ' ', ':'), ':'), -1) = leaf as in_module from t""")
 def q_version_rules(s):
     c = F.col
     return s.changes.select("kind", "explanation", "symbol").distinct().select("kind", "explanation", "symbol", rules.value_changed(c("kind"), c("explanation")).alias("changed"), rules.sits_in_module(c("symbol"), c("explanation")).alias("in_module"))

@@ -55,8 +55,11 @@ NUM = "cast(split_part({0}, '.', 1) as int) * 10000 + cast(split_part({0}, '.',
 
 
 @query(f"""{PREDICTION}, {NAMED}, k as (select *, {NUM.format('version')} as v from vr),
-pin as (select package % 40 as file, package, case when package % 3 = 1 then arg_max(version, v) else arg_min(version, v) end as current, case when package % 3 = 1 then max(v) else min(v) end as pv from k group by package),
-a as (select pin.*, k.version, k.upgrade, k.v, count(*) over w as n, row_number() over (partition by pin.package order by k.v desc) as place from pin join k on pin.package = k.package and k.v > pv window w as (partition by pin.package)),
+each as (select package, case when package % 3 = 1 then arg_max(version, v) else arg_min(version, v) end as current, case when package % 3 = 1 then max(v) else min(v) end as pv from k group by package),
+held as (select package // 25 as file, * from each union all select -1, * from each where package <= 600),
+full_ as (select file from held group by file having count(*) + 1 > 200),
+pin as (select * from held where file not in (select file from full_)),
+a as (select pin.*, k.version, k.upgrade, k.v, count(*) over w as n, row_number() over (partition by pin.file, pin.package order by k.v desc) as place from pin join k on pin.package = k.package and k.v > pv window w as (partition by pin.file, pin.package)),
 l as (select package, arg_max(version, v) as latest from k group by package),
 sh as (select a.*, latest from a join l using (package) where place <= 4),
 c as (select sh.file, sh.package, sh.upgrade, symbol, kind, sub_target, line, row_number() over (partition by sh.file, sh.package, symbol, kind, sub_target order by sh.v desc, line desc) as copy from ch join sh on ch.upgrade = sh.upgrade where not is_private),
@@ -65,13 +68,16 @@ r as (select *, count(*) over w as total, count(case when user_count > 0 then 1
 select cast(sh.file as bigint) as file, 'cust-' || sh.package as name, 'behind' as status, current, latest, sh.version, sh.place, greatest(sh.n - 4, 0) as hidden, coalesce(total, 0) as total, coalesce(n_imported, 0) as n_imported, case when n_scored > 0 then 'model' else 'usage_fallback' end as ranking, rn, symbol, kind, sub_target, score, user_count, cast(null as varchar) as reason
 from sh left join r on sh.file = r.file and sh.upgrade = r.upgrade and rn <= 2
 union all select cast(file as bigint), 'cust-' || package, 'up_to_date', current, latest, null, null, null, null, null, null, null, null, null, null, null, null, null from pin join l using (package) where package not in (select package from a)
+union all select cast(file as bigint), null, 'too_many_packages', null, null, null, null, null, null, null, null, null, null, null, null, null, null, null from full_
 union all select distinct cast(file as bigint), 'no-such-thing', 'not_tracked', null, null, null, null, null, null, null, null, null, null, null, null, null, null, null from pin
 union all select distinct cast(file as bigint), 'loose>=1', 'skipped', null, null, null, null, null, null, null, null, null, null, null, null, null, null, 'not pinned to one exact version (use ==)' from pin""")
 def q_analyze_file(s):
     v = _versions(s).withColumn("key", versions.key(F.col("version")))
     pins = v.groupBy("package").agg(F.when(F.col("package") % 3 == 1, F.max_by("version", "key")).otherwise(F.min_by("version", "key")).alias("current"))
     line = F.concat(F.lit("cust."), F.col("package"), F.lit(" == "), F.col("current"), F.lit("   # held"))
-    files = pins.groupBy((F.col("package") % 40).alias("file")).agg(F.concat(F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\nNo_such.thing==1.0\n\nloose>=1\n")).alias("text"))
+    # 25 packages a file, whatever the table's size, and one file that can hold more pins than are allowed.
+    dealt = pins.withColumn("file", F.explode(F.when(F.col("package") <= 600, F.array(F.expr("package div 25"), F.lit(-1).cast("bigint"))).otherwise(F.array(F.expr("package div 25")))))
+    files = dealt.groupBy("file").agg(F.concat(F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\nNo_such.thing==1.0\n\nloose>=1\n")).alias("text"))
     out = serve.analyzed(files, _packages(s), v.drop("key"), s.changes, s.usage, _prediction(s), "m1", per_release=2, most=4)
     return out.select("file", "name", "status", "current", "latest", "version", *big("place", "hidden", "total", "n_imported"), "ranking", *big("rn"), "symbol", "kind", "sub_target", "score", *big("user_count"), "reason")
 
@@ -113,7 +119,16 @@ def _offers(s, side: str):
     b = rows.where("i <= (p_partkey + 1) % 5 and p_partkey % 11 <> 0").selectExpr("k", "concat('f', p_partkey) as symbol", "concat('p', i) as parameter", "if(p_partkey % 5 = 0, 3 - i, i) as place", "i = 0 or p_partkey % 7 = 0 as required", "if(p_partkey % 3 = 0, '2', '1') as value")
     args = (a if side == "a" else b).selectExpr("symbol", "'parameter' as what", "parameter", "place", "required", "'any' as how", "if(required, null, value) as value", "k")
     things = args.select("symbol", F.when((F.col("k") % 13 == 0) & F.lit(side == "b"), "class").otherwise("function").alias("what"), F.lit("").alias("parameter"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("boolean").alias("required"), F.lit(None).cast("string").alias("how"), F.when((F.col("k") % 17 == 0) & F.lit(side == "b"), "int").otherwise("str").alias("value"), "k").distinct()
-    return args.unionAll(things).drop("k")
+    new, part = side == "b", s.table("part").withColumn("k", F.col("p_partkey"))
+    when = lambda where, x, y: F.when(F.expr(where), x).otherwise(y) if new else F.lit(y)
+    row = lambda name, what, parameter="", place=None, how=None, value=None, df=part: df.select(
+        F.concat(F.lit(name), F.col("k")).alias("symbol"), F.lit(what).alias("what"), F.lit(parameter).alias("parameter"), F.lit(place).cast("int").alias("place"), F.lit(False).alias("required"),
+        (how if how is not None else F.lit(None).cast("string")).alias("how"), (value if value is not None else F.lit(None).cast("string")).alias("value"), "k",
+    )
+    more = row("v", "attribute", how=when("k % 6 = 0", "str", "int"), value=when("k % 4 = 0", "2", "1"), df=part.where("k % 23 <> 0") if new else part)
+    more = more.unionAll(row("c", "class")).unionAll(row("c", "base", "B0")).unionAll(row("c", "base", "B1", df=part.where("k % 7 <> 0") if new else part))
+    more = more.unionAll(row("g", "function")).unionAll(row("g", "parameter", "q", 0, when("k % 9 = 0", "keyword", "any"), F.lit("1")))
+    return args.unionAll(things).unionAll(more).drop("k")
 
 
 _STEPS = "(values (0), (1), (2), (3), (4)) v(i)"
@@ -127,7 +142,12 @@ select symbol, kind, sub_target from o where kind is not null
 union all select symbol, case when gone then 'PARAMETER_REMOVED' else 'PARAMETER_ADDED_REQUIRED' end, parameter from j where gone or (came and br)
 union all select symbol, 'PARAMETER_CHANGED_REQUIRED', parameter from j where not came and not gone and not ar and br
 union all select symbol, 'PARAMETER_CHANGED_DEFAULT', parameter from j where not came and not gone and not ar and not br and av <> bv
-union all select symbol, 'PARAMETER_MOVED', parameter from j where not came and not gone and ap <> bp"""
+union all select symbol, 'PARAMETER_MOVED', parameter from j where not came and not gone and ap <> bp
+union all select 'v' || p_partkey, 'OBJECT_REMOVED', '' from part where p_partkey % 23 = 0
+union all select 'v' || p_partkey, 'ATTRIBUTE_CHANGED_TYPE', '' from part where p_partkey % 23 <> 0 and p_partkey % 6 = 0
+union all select 'v' || p_partkey, 'ATTRIBUTE_CHANGED_VALUE', '' from part where p_partkey % 23 <> 0 and p_partkey % 4 = 0
+union all select 'c' || p_partkey, 'CLASS_REMOVED_BASE', 'B1' from part where p_partkey % 7 = 0
+union all select 'g' || p_partkey, 'PARAMETER_CHANGED_KIND', 'q' from part where p_partkey % 9 = 0"""
 
 
 @query(SQL_DIFF, cte=False)
@@ -135,11 +155,40 @@ def q_structural_diff(s):
     return api.structural_diff(_offers(s, "a"), _offers(s, "b"))
 
 
-@query("""t as (select package, 'lib/' || (case upgrade % 4 when 0 then 'tests' when 1 then 'docs' when 2 then 'Cust_' || package else 'm' || (upgrade % 9) end) || '.py' as p, substr('lib/' || (case upgrade % 4 when 0 then 'tests' when 1 then 'docs' when 2 then 'cust_' || package else 'm' || (upgrade % 9) end), 5) as name from rel)
-select 'cust_' || package as package, name, count(*) as files from t where name not in ('tests', 'docs') group by 1, 2""")
+def _trees(s, files: dict[str, str]):
+    """One source tree for each part, its number at each # of the texts."""
+    rows = s.table("part").select(F.col("p_partkey").cast("string").alias("k"), F.explode(F.create_map(*[F.lit(x) for f in files.items() for x in f])).alias("module", "text"))
+    numbered = lambda c: F.replace(F.replace(F.col(c), F.lit("#3"), (F.col("k") % 3).cast("int").cast("string")), F.lit("#"), F.col("k"))
+    return api.symbols(rows.select(F.concat(F.lit("p"), "k").alias("package"), F.lit("1").alias("version"), numbered("module").alias("module"), numbered("text").alias("text")))
+
+
+@query("""with p as (select p_partkey as k, 'p' || p_partkey as p from part)
+select p || '.core.Deep' as symbol, p || '._impl.Deep' as target from p union all select p || '.core.other', p || '._impl.other' from p union all select p || '.run' || k, p || '.core.run' || k from p
+union all select p || '.Deep', p || '.core.Deep' from p union all select p || '.tail' || (k % 3), p || '.core.tail' || (k % 3) from p where k % 3 = 2""", cte=False)
+def q_star_names(s):
+    return api.star_names(_trees(s, {
+        "p#.__init__": "from .core import *\nfrom . import util as u\n", "p#._impl": "class Deep: ...\ndef _hidden(): ...\nother = 1\n",
+        "p#.core": "from ._impl import *\n__all__ = ['run#', 'Deep', 'tail2']\ntry:\n    def run#(): ...\nexcept ImportError:\n    def run#(x): ...\nif True:\n    tail#3 = 1\n",
+    })).select("symbol", "target")
+
+
+@query("""with p as (select p_partkey as k, 'p' || p_partkey as p from part), f as (select * from (values (0), (1), (2)) v(i))
+select p || '.mod.A.f' || i as symbol, p || '.base.Base.f' || i as defined_at from p, f where i <> k % 3
+union all select p || '.mod.A.x', p || '.base.Base.x' from p union all select p || '.mod.A.top', p || '.base.Root.top' from p union all select p || '.base.Base.top', p || '.base.Root.top' from p""", cte=False)
+def q_inherited_members(s):
+    return api.inherited_members(_trees(s, {
+        "p#.base": "class Root:\n    def top(self): ...\nclass Base(Root):\n    x = 1\n    def f0(self): ...\n    def f1(self): ...\n    def f2(self): ...\n",
+        "p#.mod": "from . import base as b\nfrom typing import Generic\nclass A(b.Base, Generic[T], outside.Mixin):\n    def own(self): ...\n    def f#3(self): ...\n",
+    }))
+
+
+@query("""t as (select package, case upgrade % 6 when 0 then 'Third-Party' when 1 then 'docs' when 2 then 'Cust.' || package when 3 then 'm' || (upgrade % 9) || '_tests' when 4 then '_testing' || (upgrade % 9) else 'm' || (upgrade % 9) end as name, upgrade % 6 as u from rel)
+select 'cust_' || package as package, name, count(*) as files from t where u in (2, 5) group by 1, 2""")
 def q_import_names(s):
-    name = F.when(F.expr("upgrade % 4 = 0"), "tests").when(F.expr("upgrade % 4 = 1"), "docs").when(F.expr("upgrade % 4 = 2"), F.concat(F.lit("cust_"), F.col("package"))).otherwise(F.concat(F.lit("m"), F.col("upgrade") % 9))
-    return api.import_names(s.releases.select(F.concat(F.lit("cust_"), F.col("package")).alias("package"), F.concat(name, F.lit("/core.py")).alias("path")), ["tests", "docs"])
+    m = F.concat(F.lit("m"), F.col("upgrade") % 9)
+    names_ = [F.lit("Third-Party"), F.lit("docs"), F.concat(F.lit("Cust."), F.col("package")), F.concat(m, F.lit("_tests")), F.concat(F.lit("_testing"), F.col("upgrade") % 9), m]
+    name = F.array(*names_)[(F.col("upgrade") % 6).cast("int")]
+    return api.import_names(s.releases.select(F.concat(F.lit("cust_"), F.col("package")).alias("package"), F.concat(name, F.lit("/core.py")).alias("path")))
 
 
 @query("""t as (select package, upgrade, case when package % 4 = 0 then 'top' || upgrade || '.py' when (package + upgrade) % 2 = 0 then 'a/x' || upgrade || '.py' else 'a/b/x' || upgrade || '.py' end as path from rel), d as (select *, length(path) - length(replace(path, '/', '')) as level from t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftrank.functions import names, versions
@@ -33,7 +35,8 @@ def q_text_functions(s):
 def q_repository(s):
     url = (
         F.when(F.expr("upgrade % 5 = 0"), F.concat(F.lit("https://github.com/own"), "package", F.lit("/rep"), "upgrade", F.lit(".git")))
-        .when(F.expr("upgrade % 5 = 1"), "git+https://www.GitHub.com/Own/rep.x/tree/main?tab=1").when(F.expr("upgrade % 5 = 2"), "https://github.com/sponsors/own").when(F.expr("upgrade % 5 = 3"), "https://example.org/own/rep")
+        .when(F.expr("upgrade % 5 = 1"), "http://www.GitHub.com/Own/rep.x/tree/main?tab=1").when(F.expr("upgrade % 5 = 2"), F.concat(F.lit("https://github.com/"), F.when(F.expr("package % 2 = 0"), "users").otherwise("Sponsors"), F.lit("/own")))
+        .when(F.expr("upgrade % 5 = 3"), "https://example.org/own/rep").otherwise("git+https://github.com/own/rep")
     )
     return s.releases.select("upgrade", names.repository(url).alias("repository"))
 
@@ -117,9 +120,14 @@ def q_sub_targets(s):
     return rows.select("symbol", "kind", rules.sub_target(F.col("kind"), F.concat(F.lit("p"), "line"), F.array(F.lit("A"), F.lit("B")), now).alias("sub_target"), "added")
 
 
+def _fresh(s, label: str) -> str:
+    """A path in the shared folder that no other call writes to, as results are read from it later."""
+    return f"{shared_dir(s.spark)}/driftrank/{label}-{uuid.uuid4().hex}"
+
+
 @query("select package, version, released_at, price from rel")
 def q_csv_scan(s):
-    where = f"{shared_dir(s.spark)}/driftrank/csv-scan"
+    where = _fresh(s, "csv-scan")
     s.releases.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(where)  # a second write replaces the first
     s.releases.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(where)
     schema = ", ".join(f"{f.name} {'string' if f.name == 'released_at' else f.dataType.simpleString()}" for f in s.releases.schema)
@@ -130,7 +138,7 @@ def q_csv_scan(s):
 
 @query("select row_number() over (order by c_custkey) as rank, c_name as package from customer order by c_custkey limit 50", cte=False)
 def q_ranked_json(s):
-    where = f"{shared_dir(s.spark)}/driftrank/ranked-json"
+    where = _fresh(s, "ranked-json")
     listed = s.table("customer").orderBy("c_custkey").limit(200)  # a list of 200, as the feature reads it
     doc = listed.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.struct(x["c_name"].alias("project"))).alias("rows"))).alias("value"))
     doc.coalesce(1).write.mode("overwrite").text(where)
@@ -139,16 +147,16 @@ def q_ranked_json(s):
 
 @query("select distinct 'line ' || (upgrade % 40) as line from rel")
 def q_line_set(s):
-    where = f"{shared_dir(s.spark)}/driftrank/line-set"
+    where = _fresh(s, "line-set")
     s.releases.select(F.concat(F.lit("  line "), F.col("upgrade") % 40, F.when(F.expr("upgrade % 2 = 0"), " ").otherwise("\n"))).write.mode("overwrite").text(where)
     return files.lines(s.spark, where)
 
 
 @query("""t as (select package, upgrade, 'r' || (upgrade % 9) as a, 'r' || (package % 9) as b from rel)
-select symbol, count(distinct package) as user_count from (select package, a || '.core' as symbol, a as root, b from t where upgrade % 10 <> 0 union all select package, a || '.core.run' || (upgrade % 3), a, b from t where upgrade % 10 <> 0 union all select package, a || '.x.N' || (upgrade % 5), a, b from t where upgrade % 10 <> 0) where root <> b group by symbol""")
+select symbol, count(distinct package) as user_count from (select package, a || '.core' as symbol, a as root, b from t where upgrade % 10 <> 0 union all select package, a || '.core.run' || (upgrade % 3), a, b from t where upgrade % 10 <> 0 union all select package, a || '.x.N' || (upgrade % 5), a, b from t where upgrade % 10 <> 0 union all select package, a || '.core.sub.deep' || (upgrade % 4), a, b from t where upgrade % 10 <> 0 union all select package, a || '.core.sub', a, b from t where upgrade % 10 <> 0) where root <> b group by symbol""")
 def q_usage_from_source(s):
     root = F.format_string("r%d", F.expr("upgrade % 9"))
-    text = F.format_string("import %s.core as c\nfrom %s.x import N%d\nimport os, untracked.y\nc.run%d(N%d)\n", root, root, F.expr("upgrade % 5"), F.expr("upgrade % 3"), F.expr("upgrade % 5"))
+    text = F.format_string("import %s.core as c\nfrom %s.x import N%d\nimport os, untracked.y\nc.run%d(N%d, c.sub.deep%d)\n", root, root, F.expr("upgrade % 5"), F.expr("upgrade % 3"), F.expr("upgrade % 5"), F.expr("upgrade % 4"))
     code = s.releases.select(F.col("package").alias("scanner"), F.array(F.format_string("r%d", F.expr("package % 9"))).alias("own_roots"), F.when(F.expr("upgrade % 10 = 0"), "def (").otherwise(text).alias("text"))
     pairs = files.usage_pairs(code.withColumn("scanner", F.col("scanner").cast("string")), [f"r{i}" for i in range(9)])
     return files.usage_index(pairs).select("symbol", *big("user_count"))
@@ -156,10 +164,11 @@ def q_usage_from_source(s):
 
 @query("""p as (select p_partkey as k from part)
 select 'm' || k || '.f' as symbol, 'function' as what, '' as parameter, k % 3 = 0 as deprecated from p union all select 'm' || k || '.f', 'parameter', 'a', k % 3 = 0 from p union all select 'm' || k || '.f', 'parameter', 'b' || (k % 4), k % 3 = 0 from p
-union all select 'm' || k || '.g', 'alias', '', false from p""", )
+union all select 'm' || k || '.g', 'alias', '', false from p union all select 'm' || k || '.h', 'function', '', k % 4 < 2 from p""", )
 def q_parsed_symbols(s):
     mark = F.when(F.expr("p_partkey % 3 = 0"), "@deprecated('soon')\n").otherwise("")
-    text = F.concat(mark, F.format_string("def f(a, b%d=1): ...\nfrom n%d import h as g\n", F.expr("p_partkey % 4"), F.col("p_partkey")))
+    said = F.array(*[F.lit(x) for x in ("Deprecated: use f.", "This function has been deprecated.", "A mode is deprecated.", ":param x: deprecated")])[F.expr("p_partkey % 4")]
+    text = F.concat(mark, F.format_string("def f(a, b%d=1): ...\nfrom n%d import h as g\n@deprecated_params('a')\ndef h():\n    '%s'\n", F.expr("p_partkey % 4"), F.col("p_partkey"), said))
     code = s.table("part").select(F.lit("p").alias("package"), F.lit("1").alias("version"), F.format_string("m%d", "p_partkey").alias("module"), text.alias("text"))
     return api.symbols(code).select("symbol", "what", "parameter", "deprecated")
 

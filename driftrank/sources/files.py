@@ -113,8 +113,7 @@ class _Imports(ast.NodeVisitor):
             at = at.value
         if isinstance(at, ast.Name) and at.id in self.names:
             self._add(".".join([self.names[at.id], *reversed(chain)]))
-        else:
-            self.generic_visit(node)
+        self.generic_visit(node)  # the inner attribute of a longer chain is used as well
 
 
 def used_names(source: str, tracked: set[str] | None = None) -> list[str]:

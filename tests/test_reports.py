@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftrank import tables
+from driftrank.functions import names
 from driftrank.operators import api, graph, relational, reports, runs, sealed, store
+from driftrank.sources import files as files_
 from driftrank.streaming import events
 
 OLD = '''
@@ -44,7 +46,7 @@ def test_symbols_of_a_source_tree(offers):
     got = {(r.symbol, r.what, r.parameter) for r in offers.where("version = 1").collect()}
     assert {("pk.mod.f", "function", ""), ("pk.mod.f", "parameter", "c"), ("pk.mod.A", "base", "Mixin"), ("pk.mod.A.m", "parameter", "p"), ("pk.mod.LIMIT", "attribute", "")} <= got
     assert not [s for s, *_ in got if s.startswith(("pk.bad", "pk.none"))]
-    assert [tuple(r) for r in api.alias_edges(offers).collect()] == [("pk.mod.Other", "pk.core.Thing")]
+    assert {tuple(r) for r in api.alias_edges(offers).collect()} == {("pk.mod.Other", "pk.core.Thing"), ("pk.mod.warnings", "warnings")}
     assert {r.symbol for r in api.deprecated(offers.where("version = 1")).collect()} == {"pk.mod.f", "pk.mod.A", "pk.mod.A.m", "pk.mod.A.x"}
 
 
@@ -58,6 +60,98 @@ def test_structural_diff_of_two_trees(offers):
     }
 
 
+def _rows(module, text, *what):
+    return {r[0] for r in api.offered(module, text) if not what or r[1] in what}
+
+
+def test_definitions_inside_blocks_and_again():
+    text = """
+import os.path, numpy as np
+from typing import overload
+try:
+    def f(a): ...
+except ImportError:
+    def f(b): ...
+    def only(): ...
+if True:
+    class A:
+        x = 1
+else:
+    class A:
+        y = 1
+with open(p) as h:
+    held = 1
+def g(): ...
+def g(again): ...
+@overload
+def g(x: int): ...
+class B:
+    old = 1
+class B:
+    new = 1
+"""
+    got = api.offered("p.m", text)
+    assert {r[0] for r in got} == {"p.m.os", "p.m.np", "p.m.overload", "p.m.f", "p.m.only", "p.m.A", "p.m.A.x", "p.m.held", "p.m.g", "p.m.B", "p.m.B.new"}
+    assert [r[2] for r in got if r[1] == "parameter"] == ["a", "again"]
+    assert {(r[0], r[8]) for r in got if r[1] == "alias"} == {("p.m.os", "os"), ("p.m.np", "numpy"), ("p.m.overload", "typing.overload")}
+
+
+def test_relative_imports():
+    alias = lambda module, text: {(r[0], r[8]) for r in api.offered(module, text) if r[1] in ("alias", "star")}
+    assert alias("p.q.m", "from . import y\nfrom .z import a as b\nfrom .. import t\nfrom ..s import *") == {("p.q.m.y", "p.q.y"), ("p.q.m.b", "p.q.z.a"), ("p.q.m.t", "p.t"), ("p.q.m", "p.s")}
+    assert alias("p.q.__init__", "from . import y\nfrom .z import *\nfrom ..s import a") == {("p.q.y", "p.q.y"), ("p.q", "p.q.z"), ("p.q.a", "p.s.a")}
+    assert not alias("p", "from .... import y")
+
+
+def test_what_counts_as_deprecated():
+    yes = ["Deprecated: use g.", "**Deprecated**", "x\n\n.. deprecated:: 1.4", ":deprecated: y", "DEPRECATED and gone", "Warning: Deprecated", '!!! warning "Deprecated"', "Deprecated since version 1.4", "It was deprecated in 2", "This class is deprecated.", "this function has  been deprecated"]
+    no = ["Deprecated aliases are listed here", "'economic' mode is deprecated", ":param x: deprecated", "This parameter is deprecated", "Issued for usage of deprecated APIs", "", None, "deprecatedly :"]
+    assert all(map(api.says_deprecated, yes)) and not any(map(api.says_deprecated, no))
+    marked = lambda deco: [r[7] for r in api.offered("m", f"@{deco}\ndef f(): ...") if r[1] == "function"] == [True]
+    assert marked("deprecated") and marked("util.Deprecated('x')") and marked("deprecate(since=1)")
+    assert not marked("deprecated_params(1)") and not marked("deprecate_kwarg('x')") and not marked("pytest.mark.filterwarnings('ignore::DeprecationWarning')")
+
+
+def test_star_imports_are_a_fixpoint(spark):
+    """A ring of star imports ends, lists decide what is handed on, own names come first."""
+    files = {"r.a": "from r.b import *\none = 1\n_a = 1", "r.b": "from r.c import *\ntwo = 2\none = 9", "r.c": "from r.a import *\n__all__ = ['three', 'one']\nthree = 3\nfour = 4", "r.__init__": "from .a import *\nfrom r import *"}
+    rows = spark.createDataFrame([("r", "1", m, t) for m, t in files.items()], "package string, version string, module string, text string")
+    got = {(r.symbol, r.target) for r in api.star_names(api.symbols(rows)).collect()}
+    assert got == {("r.a.two", "r.b.two"), ("r.a.three", "r.b.three"), ("r.b.three", "r.c.three"), ("r.c.one", "r.a.one"), ("r.c.two", "r.a.two"), ("r.one", "r.a.one"), ("r.two", "r.a.two"), ("r.three", "r.a.three")}
+    whole = api.with_stars(api.symbols(rows))
+    assert ("r.three", "r.c.three") in {tuple(r) for r in graph.alias_closure(api.alias_edges(whole)).collect()}
+
+
+def test_inherited_members_by_level_and_order(spark):
+    files = {"q.m": "class A:\n  def f(self): ...\n  def g(self): ...\nclass B:\n  def f(self): ...\n  def h(self): ...\nclass C(B, A):\n  def h(self): ...\nclass D(C): ...\nclass E(E): ...\nclass F(n.Out): ...\n"}
+    rows = spark.createDataFrame([("q", "1", m, t) for m, t in files.items()], "package string, version string, module string, text string")
+    got = {tuple(r) for r in api.inherited_members(api.symbols(rows)).collect()}
+    assert got == {("q.m.C.f", "q.m.B.f"), ("q.m.C.g", "q.m.A.g"), ("q.m.D.f", "q.m.B.f"), ("q.m.D.g", "q.m.A.g"), ("q.m.D.h", "q.m.C.h")}
+
+
+def test_chains_count_every_step():
+    assert files_.used_names("import numpy as np\nnp.linalg.solve(x).y.z\nother.a.b") == ["numpy", "numpy.linalg", "numpy.linalg.solve"]
+
+
+def test_noise_names_and_repositories(spark):
+    rows = [("Third-Party", True), ("py_src", True), (".hidden", True), ("test_x", True), ("a_tests", True), ("_testing", True), ("Docs", True), ("flask", False), ("contest", False), ("latest", False)]
+    got = spark.createDataFrame(rows, "n string, w boolean").select(api.is_noise(F.col("n")).alias("g"), "w").collect()
+    assert all(r.g == r.w for r in got)
+    urls = [("https://github.com/users/x", None), ("http://www.GitHub.com/A_b/c.d.GIT", "A_b/c.d"), ("git+https://github.com/a/b", None), ("https://github.com/a/b c", "a/b"), ("https://github.com/a b/c", None), ("https://github.com/a", None), ("https://gitlab.com/a/b", None), (None, None), ("https://github.com/topics/x", "topics/x")]
+    got = spark.createDataFrame(urls, "u string, w string").select(names.repository(F.col("u")).alias("g"), "w").collect()
+    assert [r.g for r in got] == [r.w for r in got]
+
+
+@pytest.mark.parametrize("name", ["q_csv_scan", "q_line_set", "q_ranked_json"])
+def test_a_second_call_leaves_the_first_ones_result(name, spark, sf):
+    import __spark_entry__
+
+    first = __spark_entry__.queries()[name](spark, sf)
+    n = first.count()
+    __spark_entry__.queries()[name](spark, sf.replace("sf0.001", "sf0.01")).count()
+    assert first.count() == n
+
+
 def test_old_and_new_of_an_explanation(spark):
     rows = [("m.py:3: f(x): Parameter default was changed: 1 -> [2, 3]",), ("a: b was changed: 'x -> y' -> 3",), ("a: b was changed: unset", ), (None,), ("a: b was changed: 1 -> 2 -> 3",)]
     got = spark.createDataFrame(rows, "t string").select(api.old_and_new(F.col("t")).alias("v")).select("v.*").collect()
