@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftrank.operators.relational import in_ranges
+from driftrank.tables import park
 
 
 def rankable(df: DataFrame, group: Sequence[str], label: str, k: int) -> DataFrame:
@@ -90,33 +95,176 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
     )
 
 
-def drawn(cells: DataFrame, draws: int, seed: int) -> DataFrame:
-    """cells (with a column g) once for each draw that their group g is in, with draw and w, the group's weight in it.
+# ---- intervals: whole groups drawn with replacement
 
-    Poisson(1) weights from a hash of group and draw: a group's weight needs no other group.
-    """
-    u = F.pmod(F.xxhash64("g", "draw", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    steps, p, total = [], 0.36787944117144233, 0.0
+#: Cells of one score beyond which their weighted sums are made before scores are ordered.
+HOT_CELLS = 1 << 16
+_CHUNK = 512
+
+
+def _poisson_table() -> np.ndarray:
+    """The weight that each 16-bit number stands for, by the distribution of Poisson(1)."""
+    p, total, steps = math.exp(-1), 0.0, []
     for i in range(12):
         total += p
         steps.append(total)
         p /= i + 1
-    weight = sum(((u >= F.lit(s)).cast("int") for s in steps), F.lit(0))
-    return cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight).where("w > 0")
+    return np.searchsorted(np.array(steps), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+
+
+_POISSON = _poisson_table()
+
 
+def weights(g: np.ndarray, draws: int, seed: int = 0) -> np.ndarray:
+    """A row for each group hash: its weight in each draw. A group's weights need no other group, so no list of groups is drawn from."""
+    u = np.uint64
+    quarter = np.arange(-(-draws // 4), dtype=u)
+    x = g.astype(np.int64).view(u)[:, None] * u(0x9E3779B97F4A7C15) + (quarter + u(seed * 0x1000003 + 1)) * u(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> u(shift))) * u(factor)
+    x ^= x >> u(31)
+    return _POISSON[np.ascontiguousarray(x).view(np.uint16)][:, :draws]
 
-def _group(group: Sequence[str]) -> Column:
-    return F.concat_ws("\x1f", *group).alias("g")
+
+def weighed_sums(df: DataFrame, by: Sequence[str], values: Sequence[str], draws: int, seed: int = 0, most_keys: int = 64) -> DataFrame:
+    """by, draw and, for each value, its sum over the rows times the weight of their group `g` (a hash) in the draw.
+
+    Each task adds up vectors of all draws for the keys it meets, so no row is multiplied by the draws.
+    """
+    schema = T.StructType([df.schema[c] for c in by] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in values])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=list(by)) if by else pd.DataFrame(index=range(len(held)))
+            for i, c in enumerate(values):
+                out[c] = [v[i].tolist() for v in held.values()]
+            held.clear()
+            return out
+
+        for f in frames:
+            parts = f.groupby(list(by), dropna=False, sort=False) if by else [((), f)]
+            for key, part in parts:
+                key = tuple(None if k != k else k for k in (key if isinstance(key, tuple) else (key,)))
+                for at in range(0, len(part), _CHUNK):
+                    rows = part.iloc[at : at + _CHUNK]
+                    sums = rows[list(values)].to_numpy(np.float64).T @ weights(rows["g"].to_numpy(np.int64), draws, seed).astype(np.float64)
+                    held[key] = held[key] + sums if key in held else sums
+                if len(held) >= most_keys:
+                    yield told()
+        if held:
+            yield told()
+
+    zipped = F.posexplode(F.arrays_zip(*values))
+    each = df.select(*by, "g", *values).mapInPandas(run, schema).select(*by, zipped.alias("draw", "x"))
+    return each.groupBy(*by, "draw").agg(*[F.sum(F.col("x")[c]).alias(c) for c in values])
+
+
+def _harmonic(k: np.ndarray) -> np.ndarray:
+    """H(k) of whole numbers from 0 on."""
+    x = np.maximum(k, 32.0)
+    far = np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return np.where(k < 32, _FIRST_HARMONIC[np.minimum(k, 31).astype(np.int64)], far)
+
+
+_FIRST_HARMONIC = np.concatenate([[0.0], np.cumsum(1 / np.arange(1.0, 32))])
+
+
+def _expected_each(n: np.ndarray, r: np.ndarray, above: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """What _expected gives, over arrays."""
+    inv = _harmonic(above + n) - _harmonic(above)
+    slope = np.where(n > 1, (r - 1) / np.maximum(n - 1, 1), 0.0)
+    return np.where(r > 0, r / np.maximum(n, 1) * ((found + 1) * inv + slope * (n - (above + 1) * inv)), 0.0)
+
+
+class _Runs:
+    """Scores of one range in falling order, each a run of weighted rows and positives in every draw."""
+
+    def __init__(self, above: np.ndarray, found: np.ndarray) -> None:
+        self.above, self.found, self.score = above.copy(), found.copy(), None
+        self.n, self.r, self.total = np.zeros_like(above), np.zeros_like(above), np.zeros_like(above)
+
+    def add(self, scores: np.ndarray, n: np.ndarray, r: np.ndarray) -> None:
+        """Weighted rows and positives of distinct falling scores; the first may go on with the last run."""
+        if self.score is not None and scores[0] == self.score:
+            n[0] += self.n
+            r[0] += self.r
+        else:
+            self.close()
+        n_, r_ = n[:-1], r[:-1]
+        if len(n_):
+            above, found = self.above + np.cumsum(n_, 0) - n_, self.found + np.cumsum(r_, 0) - r_
+            self.total += _expected_each(n_, r_, above, found).sum(0)
+            self.above, self.found = above[-1] + n_[-1], found[-1] + r_[-1]
+        self.score, self.n, self.r = scores[-1], n[-1], r[-1]
+
+    def close(self) -> None:
+        if self.score is not None:
+            self.total += _expected_each(self.n, self.r, self.above, self.found)
+            self.above, self.found, self.score = self.above + self.n, self.found + self.r, None
 
 
 def _draws_of_precision(df: DataFrame, group: Sequence[str], score: str, label: str, draws: int, seed: int) -> DataFrame:
-    """draw, v: tie-averaged average precision of each draw, null without a positive. Rows of group and score, summed
-    once, are all that is multiplied by the draws."""
-    cells = df.groupBy(_group(group), F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(label).cast("bigint").alias("r"))
-    runs = drawn(cells, draws, seed).groupBy("draw", "score").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("r") * F.col("w")).alias("r"))
-    w = Window.partitionBy("draw").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumns({"above": F.coalesce(F.sum("n").over(w), F.lit(0)), "found": F.coalesce(F.sum("r").over(w), F.lit(0))})
-    return runs.groupBy("draw").agg((F.sum(_expected(*(F.col(c) for c in ("n", "r", "above", "found")))) / F.nullif(F.sum("r"), F.lit(0))).alias("v"))
+    """draw, v: tie-averaged average precision of each draw, null without a positive. A missing score comes last.
+
+    Rows are summed to cells of group and score, and cells dealt to ranges of scores. A first pass gives each range's weighted rows
+    and positives in every draw, of which the ranges above a range follow; a second one walks each range's scores from there.
+    """
+    cells = park(df.groupBy(F.xxhash64(*group).alias("g"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score")).agg(F.count("*").cast("double").alias("n"), F.sum(label).cast("double").alias("r")), "cells")
+    hot = park(cells.groupBy("score").agg(F.count("*").alias("c")).where(F.col("c") > HOT_CELLS).select("score"), "hot-scores")
+    vectors = weighed_sums(cells.join(hot, "score", "left_semi"), ["score"], ["n", "r"], draws, seed)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("draw", c))), lambda x: x[c]).alias(f"{c}s")
+    vectors = park(vectors.groupBy("score").agg(listed("n"), listed("r")), "hot-sums")
+    cold = cells.join(hot, "score", "left_anti").unionByName(hot.select(F.lit(None).cast("long").alias("g"), "score", F.lit(0.0).alias("n"), F.lit(0.0).alias("r")))
+    banded = in_ranges(cold, [F.desc("score")], "band")
+    marks = banded.where("g is null").select("band", "score").join(vectors, "score")
+    sums = weighed_sums(banded.where("g is not null"), ["band"], ["n", "r"], draws, seed)
+    sums = sums.unionByName(marks.select("band", F.posexplode(F.arrays_zip("ns", "rs")).alias("draw", "x")).select("band", "draw", F.col("x.ns").alias("n"), F.col("x.rs").alias("r")))
+    sums = park(sums.groupBy("band", "draw").agg(F.sum("n").alias("n"), F.sum("r").alias("r")), "range-sums")
+    before = Window.partitionBy("draw").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    heads = sums.select("band", "draw", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in ("n", "r")]).groupBy("band").agg(listed("n"), listed("r"))
+    none = F.lit(None).cast("array<double>")
+    stream = banded.where("g is not null").select("band", F.lit(1).alias("kind"), "score", "g", "n", "r", none.alias("ns"), none.alias("rs"))
+    stream = stream.unionByName(marks.withColumn("kind", F.lit(1)), allowMissingColumns=True).unionByName(heads.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    stream = stream.withColumn("g", F.coalesce("g", F.lit(0)))  # a null would turn hashes into floating-point numbers
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = stream.repartition(parts, "band").sortWithinPartitions("band", "kind", F.desc("score"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs, total = None, np.zeros(draws)
+
+        def walk(f: pd.DataFrame) -> None:
+            for at in range(0, len(f), _CHUNK):
+                c = f.iloc[at : at + _CHUNK]
+                s, w = c["score"].to_numpy(np.float64), weights(c["g"].to_numpy(np.int64), draws, seed).astype(np.float64)
+                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                runs.add(s[first], np.add.reduceat(w * c["n"].to_numpy(np.float64)[:, None], first), np.add.reduceat(w * c["r"].to_numpy(np.float64)[:, None], first))
+
+        for f in frames:
+            whole = np.flatnonzero(f["ns"].notna().to_numpy())  # heads of ranges, and scores whose sums are made
+            at = 0
+            for i in [*whole.tolist(), len(f)]:
+                if i > at:
+                    walk(f.iloc[at:i])
+                if i < len(f):
+                    x = f.iloc[i]
+                    n, r = np.array(x["ns"], np.float64), np.array(x["rs"], np.float64)
+                    if x["kind"] == 0:
+                        if runs:
+                            runs.close()
+                            total += runs.total
+                        runs = _Runs(n, r)
+                    else:
+                        runs.add(np.array([x["score"]]), n[None, :], r[None, :])
+                at = i + 1
+        if runs:
+            runs.close()
+            yield pd.DataFrame({"draw": np.arange(draws), "v": total + runs.total})
+
+    found = ordered.mapInPandas(run, "draw int, v double").groupBy("draw").agg(F.sum("v").alias("v"))
+    positives = sums.groupBy("draw").agg(F.sum("r").alias("r"))
+    return found.join(positives, "draw").select("draw", (F.col("v") / F.nullif("r", F.lit(0.0))).alias("v"))
 
 
 def band(value: str) -> list[Column]:
@@ -138,7 +286,8 @@ def intervals(df: DataFrame, group: Sequence[str], score: str, other: str, label
     named = F.array(*[F.struct(F.lit(x).alias("quantity"), v.alias("v")) for x, v in (("pr_auc", F.col("a")), ("baseline_pr_auc", F.col("b")), ("lift", F.try_divide("a", "b")))])
     out = pair.select(F.explode(named).alias("x")).select("x.*")
     for name, each in (("precision_at_10", _precisions(df, group, label, order, 10)), ("ndcg_at_20", _ndcgs(df, group, label, order, 20))):
-        mean = drawn(each.select(_group(group), "v"), draws, seed).groupBy("draw").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+        sums = weighed_sums(each.select(F.xxhash64(*group).alias("g"), "v", F.lit(1.0).alias("one")), [], ["v", "one"], draws, seed)
+        mean = sums.select("draw", F.try_divide("v", "one").alias("v"))
         out = out.unionAll(mean.select(F.lit(name).alias("quantity"), "v"))
     return out.where("v is not null").groupBy("quantity").agg(*band("v"), F.count("*").alias("draws"))
 

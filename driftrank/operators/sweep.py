@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftrank.operators.metrics import average_precision, band, drawn
+from driftrank.operators.metrics import average_precision, band, weighed_sums
 from driftrank.operators.relational import quantiles
 from driftrank.operators.store import Refused
 
@@ -83,10 +83,10 @@ def release_window(releases: DataFrame, key: Column, reason: Column, last: int)
 
 
 def rate_intervals(df: DataFrame, group: Sequence[str], by: str, label: str, draws: int = 200, seed: int = 0, base: str | None = None) -> DataFrame:
-    """by, rate, low, high: rates with intervals from whole groups drawn with hash-based Poisson weights; and, each with
+    """by, rate, low, high: rates with intervals from whole groups drawn with Poisson weights of a hash; and, each with
     its interval from the same draws, minus_rest and over_rest, the rate's difference from and ratio to that of all other
     categories, and minus_base and over_base, those to the category `base`, if one is given."""
-    cells = df.groupBy(by, F.concat_ws("\x1f", *group).alias("g")).agg(F.count("*").alias("n"), F.sum(label).alias("k"))
+    cells = df.groupBy(by, F.xxhash64(*group).alias("g")).agg(F.count("*").cast("double").alias("n"), F.sum(label).cast("double").alias("k"))
 
     def compared(sums: DataFrame, over: list[str]) -> DataFrame:
         """Of k and n by category and `over`: the columns of the result without intervals."""
@@ -100,7 +100,7 @@ def rate_intervals(df: DataFrame, group: Sequence[str], by: str, label: str, dra
         return sums.select(by, *over, *[c.alias(x) for x, c in cols.items()])
 
     value = compared(cells.groupBy(by).agg(F.sum("k").alias("k"), F.sum("n").alias("n")), [])
-    weighed = drawn(cells, draws, seed).groupBy(by, "draw").agg(F.sum(F.col("k") * F.col("w")).alias("k"), F.sum(F.col("n") * F.col("w")).alias("n"))
+    weighed = weighed_sums(cells, [by], ["k", "n"], draws, seed)
     each = compared(weighed, ["draw"])
     names = [c for c in value.columns if c != by]
     ends = []

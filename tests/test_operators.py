@@ -2,6 +2,7 @@
 
 import io
 import itertools
+import math
 import random
 import tarfile
 
@@ -239,7 +240,8 @@ def test_intervals_of_five_quantities_and_of_rates_against_plain_sums(spark):
     df = spark.createDataFrame(rows, "g string, score double, other double, label int, kind string")
     got = {r.quantity: r for r in metrics.intervals(df, ["g"], "score", "other", "label", [F.desc("score"), F.desc("other")], draws=300).collect()}
     assert set(got) == {"pr_auc", "baseline_pr_auc", "lift", "precision_at_10", "ndcg_at_20"} and all(r.draws == 300 and r.low < r.high for r in got.values())
-    w = {(r.g, r.draw): r.w for r in metrics.drawn(df.select("g").distinct(), 300, 0).collect()}
+    hashes = df.select("g", F.xxhash64("g").alias("h")).distinct().collect()
+    w = {(r.g, d): int(x) for r, row in zip(hashes, metrics.weights(np.array([r.h for r in hashes]), 300)) for d, x in enumerate(row)}
     top = {g: sum(x[3] for x in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], -x[2]))[:10]) / 10 for g in {x[0] for x in rows}}
     means = [sum(w.get((g, d), 0) * v for g, v in top.items()) / sum(w.get((g, d), 0) for g in top) for d in range(300)]
     assert np.allclose([got["precision_at_10"].low, got["precision_at_10"].high], np.percentile(means, [2.5, 97.5]))
@@ -255,6 +257,39 @@ def test_intervals_of_five_quantities_and_of_rates_against_plain_sums(spark):
     assert np.allclose([b.over_rest_low, b.over_rest_high], np.percentile(pair[:, 1] / pair[:, 0], [2.5, 97.5])) and b.minus_base == b.minus_rest
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_precision_of_each_draw_against_plain_sums(spark, monkeypatch, hot):
+    """Every draw's average precision equals that of its rows repeated by weight, hot scores summed beforehand or not."""
+    import numpy as np
+
+    monkeypatch.setattr(metrics, "HOT_CELLS", hot)
+    rows = [(f"g{i % 9}", float((i * 7) % 11) if i % 13 else None, int(i * i % 7 < 2)) for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    hashes = df.select("g", F.xxhash64("g").alias("h")).distinct().collect()
+    w = dict(zip([r.g for r in hashes], metrics.weights(np.array([r.h for r in hashes]), 30, 5)))
+    got = {r.draw: r.v for r in metrics._draws_of_precision(df, ["g"], "score", "label", 30, 5).collect()}
+    for d in range(30):
+        runs, above, found, total = {}, 0, 0, 0.0
+        for g, s, y in rows:
+            a = runs.setdefault(-math.inf if s is None else s, [0, 0])
+            a[0] += int(w[g][d])
+            a[1] += int(w[g][d]) * y
+        for s in sorted(runs, reverse=True):
+            n, r = runs[s]
+            for i in range(1, n + 1):
+                total += r / n * (found + 1 + (i - 1) * (r - 1) / (n - 1 if n > 1 else 1)) / (above + i)
+            above, found = above + n, found + r
+        assert got[d] == pytest.approx(total / found, rel=1e-9)
+
+
+def test_weights_are_those_of_poisson():
+    import numpy as np
+
+    w = metrics.weights(np.arange(4000), 200, 3)
+    assert abs(w.mean() - 1) < 0.005 and abs(w.var() - 1) < 0.01 and abs((w == 0).mean() - math.exp(-1)) < 0.003
+    assert (w[7] == metrics.weights(np.array([7]), 200, 3)[0]).all() and not (w == metrics.weights(np.arange(4000), 200, 4)).all()
+
+
 def test_quantiles_are_those_of_percentile(spark):
     r = random.Random(11)
     shares = [0.0, 0.4, 0.55, 0.8, 1.0]
