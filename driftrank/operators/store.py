@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,21 @@ def _files(spark: SparkSession, folder: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def claim(spark: SparkSession, path: str, text: str = "") -> None:
+    """Creates a file that must not exist; of several that try, one succeeds and the others are refused."""
+    where, fs = _files(spark, path)
+    try:
+        stream = fs.create(where, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()) or fs.exists(where):
+            raise Refused("taken", f"{path} exists") from e
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def _pointers(spark: SparkSession, folder: str) -> list[str]:
     where, fs = _files(spark, f"{folder}/pointers")
     return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
@@ -112,13 +128,15 @@ def publish(df: DataFrame, folder: str) -> str:
     """Writes df as a new version under folder and makes it the current one; returns its path.
 
     A pointer is an empty folder named by number and version; it appears by one call, no pointer is ever changed, and readers take
-    the highest, so at any time they find the old or the new version whole.
+    the highest, so at any time they find the old or the new version whole. Its number is claimed before: a writer that began at
+    the same state as another one is refused, and its version is no one's.
     """
     spark = df.sparkSession
-    last = _pointers(spark, folder)
+    last = max([int(p.split("-")[0]) for p in _pointers(spark, folder)], default=0)
     version = uuid.uuid4().hex
     df.write.parquet(f"{folder}/v-{version}")
-    where, fs = _files(spark, f"{folder}/pointers/{int(last[-1].split('-')[0]) + 1 if last else 1:012d}-{version}")
+    claim(spark, f"{folder}/claims/{last + 1:012d}")
+    where, fs = _files(spark, f"{folder}/pointers/{last + 1:012d}-{version}")
     fs.mkdirs(where)
     return f"{folder}/v-{version}"
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftrank.functions import names, versions
-from driftrank.operators import api, labels, metrics, reports, runs, serve, store
+from driftrank.operators import api, keyed, labels, metrics, reports, runs, serve, store
 from driftrank.plans.catalogue import BUMP, PAIRS, SQL, _pairs, big, query
 from driftrank.plans.standins import CTE
+from driftrank.tables import shared_dir
 
 # ---- served pages
 
@@ -369,8 +372,20 @@ select coalesce(t.upgrade, n.upgrade) as upgrade, coalesce(n.version, t.version)
 def q_batched_upsert(s):
     old = s.releases.where("upgrade % 3 <> 0").select("upgrade", "version", "price")
     new = s.releases.where("upgrade % 2 = 0").select("upgrade", F.lit("new").alias("version"), (F.col("price") + 1).alias("price"))
-    dealt = runs.in_batches(new, ["upgrade"])
-    return store.upsert(old, dealt.repartition("batch").drop("batch"), ["upgrade"])
+    folder = f"{shared_dir(s.spark)}/driftrank/batched-upsert-{uuid.uuid4().hex}"
+    keyed.create(s.spark, folder, old.schema, ["upgrade"], 8)
+    keyed.merge(old, folder)
+    keyed.merge_in_batches(new, folder, "version", max(2000, -(-new.count() // 4)))  # four batches, or more rows a batch where 2,000 would give more
+    return keyed.read(s.spark, folder)
+
+
+@query("""with o as (select c_custkey as k, c_nationkey as n, c_acctbal as b, case when c_custkey % 7 <> 0 then c_name end as name, c_custkey - c_custkey % 3 as twin from customer)
+select rule, cast(rows as bigint) as rows from (select 'balance' as rule, count(case when b < 0 then 1 end) as rows from o union all select 'name', count(case when name is null then 1 end) from o
+union all select 'twin', coalesce(sum(c), 0) from (select count(*) as c from o group by twin having count(*) > 1) union all select 'nation', count(*) from o where n not in (select n_nationkey from nation where n_nationkey % 4 <> 0)) where rows > 0""", cte=False)
+def q_constraints(s):
+    rows = s.table("customer").selectExpr("c_custkey as k", "c_nationkey as n", "c_acctbal as b", "if(c_custkey % 7 <> 0, c_name, null) as name", "c_custkey - c_custkey % 3 as twin")
+    rules = [keyed.Rule("balance", "check", says="b >= 0"), keyed.Rule("name", "present", ("name",)), keyed.Rule("twin", "unique", ("twin",)), keyed.Rule("key", "unique", ("k",)), keyed.Rule("nation", "reference", ("n",), "nation")]
+    return keyed.broken(rows, rules, {"nation": s.table("nation").where("n_nationkey % 4 <> 0").selectExpr("n_nationkey as n")})
 
 
 @query("select upgrade, version from rel where upgrade % 3 <> 0")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftrank.operators import keyed
 from driftrank.operators.relational import keep_last
-from driftrank.operators.store import current, publish, published, upsert
+from driftrank.operators.store import exists
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str | None = None, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -45,12 +46,14 @@ def running_counts(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, seen long", "seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(stream: DataFrame, folder: str, key: list[str], checkpoint: str, sequence: str):
-    """Keeps the last row of each key, by `sequence`, in a published table, a version for each micro-batch. A later batch's row replaces an earlier one's."""
+def upsert_batches(stream: DataFrame, folder: str, key: list[str], checkpoint: str, sequence: str, buckets: int = 64):
+    """Keeps the last row of each key, by `sequence`, in a keyed table; a later batch's row replaces an earlier one's. A micro-batch
+    rewrites the buckets of its own keys alone, and one that is run again after a failure gives the same state."""
+    spark = stream.sparkSession
+    if not exists(spark, f"{folder}/manifests"):
+        keyed.create(spark, folder, stream.schema, key, buckets)
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = keep_last(batch, key, sequence)
-        publish(upsert(current(spark, folder), new, key) if published(spark, folder) else new, folder)
+        keyed.merge(keep_last(batch, key, sequence), folder)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

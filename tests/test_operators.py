@@ -9,7 +9,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from driftrank.operators import graph, labels, metrics, relational, store, sweep
+from driftrank.operators import graph, keyed, labels, metrics, relational, store, sweep
 from driftrank.plans import models
 from driftrank.sources import files
 from driftrank.streaming import events
@@ -150,7 +150,7 @@ def test_streams_agree_with_tables(spark, sf, tmp_path):
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, table.groupBy("user_id").count().collect()))
     assert run(events.first_seen(stream.union(stream), "event_id", "90 days"), "append", "f").count() == table.count()
     events.upsert_batches(stream.select("event_id", "value"), str(tmp_path / "t"), ["event_id"], str(tmp_path / "ck"), "value").awaitTermination(120)
-    assert store.current(spark, str(tmp_path / "t")).count() == table.count()
+    assert keyed.read(spark, str(tmp_path / "t")).count() == table.count()
 
 
 def test_learned_scorers(spark):

@@ -1,5 +1,6 @@
 """Operators without SQL: source trees, isolated runs, published tables, orders over whole tables."""
 
+import json
 import os
 import time
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftrank import tables
 from driftrank.functions import names
-from driftrank.operators import api, graph, relational, reports, runs, sealed, store
+from driftrank.operators import api, graph, keyed, relational, reports, runs, sealed, store
 from driftrank.sources import files as files_
 from driftrank.streaming import events
 
@@ -199,12 +200,73 @@ def test_a_reader_finds_a_published_version_at_any_time(spark, tmp_path):
         assert store.current(spark, folder).count() == i + 1
 
 
+def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    store.publish(spark.range(1), folder)
+    seen = store._pointers(spark, folder)
+    store.publish(spark.range(2), folder)
+    monkeypatch.setattr(store, "_pointers", lambda *_: seen)  # what a writer saw that began before
+    with pytest.raises(store.Refused) as e:
+        store.publish(spark.range(3), folder)
+    monkeypatch.undo()
+    assert e.value.code == "taken" and store.current(spark, folder).count() == 2
+
+
+def _files_of(folder):
+    return {b: sorted(os.listdir(os.path.join(folder, p))) for b, p in json.load(open(f"{folder}/manifests/{max(n for n in os.listdir(f'{folder}/manifests') if n[0] != '.')}"))["folders"].items()}
+
+
+def test_upserts_write_only_what_they_touch(spark, tmp_path):
+    folder = str(tmp_path / "k")
+    old = spark.range(500).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"), F.lit(1).alias("first"), F.lit(None).cast("timestamp").alias("at"))
+    rules = [keyed.Rule("one row a key", "unique", ("k",)), keyed.Rule("k is there", "present", ("k",)), keyed.Rule("first is positive", "check", says="first > 0"), keyed.Rule("v is known", "reference", ("v",), "values")]
+    known = {"values": spark.range(2000).select(F.concat(F.lit("v"), "id").alias("v"))}
+    keyed.create(spark, folder, old.schema, ["k"], 16, rules)
+    assert keyed.read(spark, folder).count() == 0
+    assert keyed.merge(old, folder, tables=known) == 16
+    before = _files_of(folder)
+    new = spark.createDataFrame([(7, None, 5), (1000, "v9", 5)], "k long, v string, first int").withColumn("at", F.lit(None).cast("timestamp"))
+    n = keyed.merge(new, folder, coalesced=["v"], kept=["first"], stamp="at", tables=known)
+    after = _files_of(folder)
+    assert 1 <= n <= 2 and sum(before[b] != after[b] for b in before) == n
+    got = {r.k: (r.v, r.first, r.at is not None) for r in keyed.read(spark, folder).collect()}
+    assert len(got) == 501 and got[7] == ("v7", 1, True) and got[1000] == ("v9", 5, True) and got[8] == ("v8", 1, False)
+    for bad, name in (([(1, "v1", -1)], "first is positive"), ([(1, "unknown", 1)], "v is known")):
+        with pytest.raises(store.Refused, match=name):
+            keyed.merge(spark.createDataFrame(bad, "k long, v string, first int").withColumn("at", F.lit(None).cast("timestamp")), folder, tables=known)
+    assert _files_of(folder) == after and keyed.read(spark, folder).count() == 501
+    assert keyed.vacuum(spark, folder, keep=1) == 0 and keyed.read(spark, folder).count() == 501
+    keyed.merge(old, folder, tables=known)
+    assert keyed.vacuum(spark, folder, keep=1) == 2 and keyed.read(spark, folder).count() == 501
+
+
+def test_a_keyed_table_refuses_a_writer_from_an_older_state(spark, tmp_path):
+    folder, rows = str(tmp_path / "k"), spark.range(10).withColumnRenamed("id", "k")
+    keyed.create(spark, folder, rows.schema, ["k"], 4)
+    stale = keyed.manifest(spark, folder)
+    keyed.merge(rows, folder)
+    with pytest.raises(store.Refused) as e:
+        keyed._publish(spark, folder, stale)
+    assert e.value.code == "taken" and keyed.read(spark, folder).count() == 10
+    store.claim(spark, f"{folder}/manifests/{99:012d}", "{")  # a writer that died while it wrote
+    keyed.merge(rows.selectExpr("k + 5 as k"), folder)
+    assert keyed.read(spark, folder).count() == 15
+
+
+def test_batches_hold_the_rows_they_may(spark, tmp_path):
+    folder = str(tmp_path / "k")
+    rows = spark.range(1050).select((F.col("id") % 700).alias("k"), F.col("id").alias("seq"))
+    keyed.create(spark, folder, rows.schema, ["k"], 8)
+    assert keyed.merge_in_batches(rows, folder, "seq", 400) == [400, 400, 250]
+    assert {(r.k, r.seq) for r in keyed.read(spark, folder).collect()} == {(k, k + 700 if k < 350 else k) for k in range(700)}
+
+
 def test_micro_batches_keep_the_last_row(spark, tmp_path):
     src, folder = str(tmp_path / "src"), str(tmp_path / "t")
     spark.createDataFrame([(1, 5, "new"), (1, 2, "old"), (2, 1, "only")], "k long, seq long, v string").coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("k long, seq long, v string").parquet(src)
     events.upsert_batches(stream, folder, ["k"], str(tmp_path / "ck"), "seq").awaitTermination(120)
-    assert {(r.k, r.v) for r in store.current(spark, folder).collect()} == {(1, "new"), (2, "only")}
+    assert {(r.k, r.v) for r in keyed.read(spark, folder).collect()} == {(1, "new"), (2, "only")}
 
 
 @pytest.mark.parametrize("hops", [1, 2, 3, 5, 10])
