@@ -61,6 +61,22 @@ def boundary(days: DataFrame, need: int, most_share: float) -> DataFrame:
     return first.select("x.*").where(F.col("share") <= most_share)
 
 
+def boundaries(days: DataFrame, gates: dict[str, int], most_share: float, by: Sequence[str] = ()) -> DataFrame:
+    """by, day, held, share, each gate's column summed: the latest day from which on every gate is cleared at once; none where the rows
+    held from there are more than `most_share` of all.
+
+    days: by, day, rows and a number for each gate (positives of a label, groups that can be ranked), one row a day; gates: the column
+    and what it has to reach. One suffix sum carries all of them.
+    """
+    w = Window.partitionBy(*by)
+    back = w.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
+    run = days.withColumns({"held": F.sum("rows").over(back), "all": F.sum("rows").over(w), **{c: F.sum(c).over(back) for c in gates}})
+    for c, need in gates.items():
+        run = run.where(F.col(c) >= need)
+    found = run.groupBy(*by).agg(F.max_by(F.struct("day", "held", (F.col("held") / F.col("all")).alias("share"), *gates), "day").alias("x"))
+    return found.select(*by, "x.*").where(F.col("share") <= most_share)
+
+
 def compare_runs(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """Counts of each key in both runs, for keys in both, and the change."""
     x = a.groupBy(*key).agg(F.count("*").alias("before"))

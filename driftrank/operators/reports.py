@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftrank.operators.store import Refused
+
 
 def with_example(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, rows, example: the least value of each group."""
@@ -160,6 +162,28 @@ def factorial(df: DataFrame, first: Column, second: Column, label: str) -> DataF
     return cells.withColumn("effect", F.col("rate") - none)
 
 
+def factorial_at(df: DataFrame, cuts: DataFrame, when: str, first: Column, second: Column, label: str) -> DataFrame:
+    """cut, rows and rate of all four cells (`neither`, `first`, `second`, `both`) after each date, what either fix and both add to the rate
+    of neither, and the interaction: what both add beyond the sum of the two. A cell without rows has a null rate."""
+    held = df.withColumns({"__a": first, "__b": second}).join(F.broadcast(cuts.select("cut")), F.col(when) > F.col("cut"))  # a few cuts
+    cells = {"neither": ~F.col("__a") & ~F.col("__b"), "first": F.col("__a") & ~F.col("__b"), "second": ~F.col("__a") & F.col("__b"), "both": F.col("__a") & F.col("__b")}
+    out = held.groupBy("cut").agg(*[F.count_if(c).alias(f"rows_{n}") for n, c in cells.items()], *[F.avg(F.when(c, F.col(label))).alias(f"rate_{n}") for n, c in cells.items()])
+    out = out.withColumns({f"{n}_adds": F.col(f"rate_{n}") - F.col("rate_neither") for n in ("first", "second", "both")})
+    return out.withColumn("interaction", F.col("both_adds") - F.col("first_adds") - F.col("second_adds"))
+
+
+def assert_reproduced(cells: DataFrame, known: DataFrame, columns: Sequence[str], digits: int = 6) -> None:
+    """Refuses where the recomputed columns differ from those on record at a cut, or a cut of the record is missing."""
+    a, b = cells.select("cut", *[F.round(c, digits).alias(f"a_{c}") for c in columns]), known.select("cut", *[F.round(c, digits).alias(f"b_{c}") for c in columns])
+    both = b.join(a.withColumn("__here", F.lit(True)), "cut", "left")
+    off = F.col("__here").isNull()
+    for c in columns:
+        off = off | ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    wrong = sorted(str(r.cut) for r in both.where(off).select("cut").collect())  # a few cuts
+    if wrong:
+        raise Refused("not_reproduced", f"differs from the record at {', '.join(wrong)}")
+
+
 def before_after(before: DataFrame, after: DataFrame, cuts: DataFrame, when: str, label: str) -> DataFrame:
     """cut, rows_before, rows_after, rate_before, rate_after at fixed dates of two data sets; a cut that either lacks is left out."""
     def side(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftrank.operators.metrics import average_precision, band, weighed_sums
 from driftrank.operators.relational import quantiles
 from driftrank.operators.store import Refused
+from driftrank.tables import park
 
 LEAST_POSITIVES, LEAST_RANKABLE, RESOLUTION = 30, 10, 0.25
 
@@ -27,16 +28,26 @@ def sweep(changes: DataFrame, cuts: DataFrame, group: Sequence[str], when: str,
 
     A cut is not measured with too few positives or rankable groups; `repeat_of` names an earlier cut with the same rows.
     """
-    after = changes.join(F.broadcast(cuts.select("cut")), F.col(when) > F.col("cut"))  # a few cuts
+    own = park(repeats(changes, cuts, when), "cuts")
+    once = own.where("repeat_of is null").select("cut")
+    after = changes.join(F.broadcast(once), F.col(when) > F.col("cut"))  # a few cuts
     ap = average_precision(after, score, label, ["cut"])
     groups = after.groupBy("cut", *group).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
     ranked = groups.groupBy("cut").agg(F.sum("n").alias("rows"), F.sum("p").alias("positives"), F.count_if((F.col("p") > 0) & (F.col("n") > k)).alias("rankable"))
-    out = ap.join(ranked, "cut")
-    first = F.min("cut").over(Window.partitionBy("rows", "positives"))  # one row a cut; later cuts hold subsets of earlier ones
-    return out.withColumns({
-        "measured": (F.col("positives") >= LEAST_POSITIVES) & (F.col("rankable") >= LEAST_RANKABLE),
-        "repeat_of": F.when(first < F.col("cut"), first),
-    })
+    out = ap.join(ranked, "cut").withColumn("measured", (F.col("positives") >= LEAST_POSITIVES) & (F.col("rankable") >= LEAST_RANKABLE))
+    shown = own.select("cut", "repeat_of", F.coalesce("repeat_of", "cut").alias("__of"))
+    return shown.join(out.withColumnRenamed("cut", "__of"), "__of").drop("__of").select(*out.columns, "repeat_of")
+
+
+def repeats(changes: DataFrame, cuts: DataFrame, when: str) -> DataFrame:
+    """cut, repeat_of: the first cut after which the same rows stand, null for that one itself.
+
+    Rows are digested once, by date; a cut's digest is made of the dates after it, so no row is compared with every cut.
+    """
+    dates = changes.where(F.col(when).isNotNull()).groupBy(F.col(when).alias("__d")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(changes.columns))).alias("x"))
+    members = dates.join(F.broadcast(cuts.select("cut").distinct()), F.col("__d") > F.col("cut")).groupBy("cut").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.min("__d").alias("first"))
+    first = F.min("cut").over(Window.partitionBy("n", "x", "first"))  # one row a cut
+    return members.select("cut", F.when(first < F.col("cut"), first).alias("repeat_of"))
 
 
 def compare_sweeps(before: DataFrame, after: DataFrame, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftrank.functions import names, versions
-from driftrank.operators import api, keyed, labels, metrics, reports, runs, serve, store
+from driftrank.operators import api, audit, keyed, labels, listing, metrics, reports, runs, serve, store
 from driftrank.plans.catalogue import BUMP, PAIRS, SQL, _pairs, big, query
 from driftrank.plans.standins import CTE
 from driftrank.tables import shared_dir
@@ -334,6 +334,61 @@ def q_factorial(s):
     return out.withColumns({c: F.round(c, 9) for c in ("rate", "effect")})
 
 
+_SEVEN = ("1993-06-01", "1994-06-01", "1995-06-01", "1996-06-01", "1997-06-01", "1998-02-01", "1998-06-01")
+
+
+@query(f"""c(cut) as (values {', '.join(f"(timestamp '{d}')" for d in _SEVEN)}),
+x as (select cut, label, case when is_private and sub_target = '' then 'both' when is_private then 'first' when sub_target = '' then 'second' else 'neither' end as cell from ch join c on released_at > cut),
+y as (select cut, {', '.join(f"count(case when cell = '{n}' then 1 end) as rows_{n}, avg(case when cell = '{n}' then label end) as rate_{n}" for n in ('neither', 'first', 'second', 'both'))} from x group by cut)
+select cut, rows_neither, rows_first, rows_second, rows_both, round(rate_neither, 9) as rate_neither, round(rate_first - rate_neither, 9) as first_adds, round(rate_second - rate_neither, 9) as second_adds,
+round(rate_both - rate_neither, 9) as both_adds, round(rate_both - rate_first - rate_second + rate_neither, 9) as interaction from y""")
+def q_factorial_dates(s):
+    cuts = s.spark.createDataFrame([(d,) for d in _SEVEN], "cut string").select(F.col("cut").cast("timestamp_ntz").alias("cut"))
+    out = reports.factorial_at(s.changes, cuts, "released_at", F.col("is_private"), F.col("sub_target") == "", "label")
+    plain = s.changes.where("not is_private and sub_target <> ''").join(F.broadcast(cuts), F.col("released_at") > F.col("cut")).groupBy("cut").agg(F.avg("label").alias("rate_neither"))
+    reports.assert_reproduced(out, plain, ["rate_neither"])  # the cell without either fix is what plain rows give
+    numbers = ("rate_neither", "first_adds", "second_adds", "both_adds", "interaction")
+    return out.select("cut", "rows_neither", "rows_first", "rows_second", "rows_both", *[F.round(c, 9).alias(c) for c in numbers])
+
+
+@query("""t as (select cast(upgrade % 3 as bigint) as part, date_trunc('month', released_at) as day, count(*) as rows, cast(sum(label) as bigint) as positives, count(case when label = 1 and not is_private then 1 end) as public from ch group by 1, 2),
+u as (select part, day, sum(rows) over w as held, sum(positives) over w as positives, sum(public) over w as public, sum(rows) over (partition by part) as n from t window w as (partition by part order by day desc rows between unbounded preceding and current row)),
+f as (select *, row_number() over (partition by part order by day desc) as place from u where positives >= 60 and public >= 50)
+select part, day, cast(held as bigint) as held, held / n as share, cast(positives as bigint) as positives, cast(public as bigint) as public from f where place = 1 and held / n <= 0.6""")
+def q_boundaries(s):
+    days = s.changes.groupBy((F.col("upgrade") % 3).alias("part"), F.date_trunc("month", F.col("released_at").cast("timestamp")).cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("rows"), F.sum("label").cast("bigint").alias("positives"), F.count_if(F.expr("label = 1 and not is_private")).alias("public"))
+    return audit.boundaries(days, {"positives": 60, "public": 50}, 0.6, ["part"])
+
+
+_KEY = f"({NUM.format('version')}) * 2 + case when pre then 0 else 1 end"
+
+
+@query(f"""k as (select package, version, min(upgrade) % 7 = 0 as pre, bool_and(upgrade % 5 = 0) as all_yanked, min(case when upgrade % 4 <> 0 and upgrade % 5 <> 0 then upgrade end) as src from rel group by 1, 2),
+r as (select package, version || case when pre then 'rc1' else '' end as version, {_KEY} as v, pre, src, case when src is null then case when all_yanked then 'yanked' else 'no_source' end end as loose from k),
+n as (select *, case when pre then 'prerelease' else loose end as strict from r),
+c as (select *, count(case when strict is null then 1 end) over (partition by package) as a, count(case when loose is null then 1 end) over (partition by package) as b from n),
+w as (select *, case when a < 2 and b > a then loose else strict end as why from c),
+p as (select *, row_number() over (partition by package, why is null order by v desc) as place from w),
+z as (select *, min(case when why is null and place <= 3 then v end) over (partition by package) as lo, max(case when why is null and place <= 3 then v end) over (partition by package) as hi from p)
+select package, version, coalesce(why, 'kept') as status, case when why is null then place end as place, case when why is null then 'https://files/' || src end as url, 'own/p' || package as repository
+from z where (why is null and place <= 3) or (why is not null and case when lo is null then place <= 3 else v between lo and hi end)""")
+def q_release_listing(s):
+    """Registry documents made of the releases, parsed, judged and cut to the last three."""
+    pre = F.min("upgrade") % 7 == 0
+    file = F.struct(
+        "upgrade", F.when(F.expr("upgrade % 4 = 0"), "bdist_wheel").otherwise("sdist").alias("packagetype"), F.expr("upgrade % 5 = 0").alias("yanked"),
+        F.concat(F.lit("https://files/"), "upgrade").alias("url"), F.lit("2026-01-01T00:00:00Z").alias("upload_time_iso_8601"),
+    )
+    each = s.releases.groupBy("package", "version").agg(F.array_sort(F.collect_list(file)).alias("files"), pre.alias("pre"))
+    each = each.select("package", F.concat("version", F.when(F.col("pre"), "rc1").otherwise("")).alias("version"), "files")
+    docs = each.groupBy("package").agg(F.map_from_entries(F.collect_list(F.struct("version", "files"))).alias("releases"))
+    links = F.create_map(F.lit("Funding"), F.lit("https://github.com/sponsors/own"), F.lit("Changelog"), F.lit("https://github.com/own/changes"), F.lit("Source Code"), F.concat(F.lit("https://github.com/own/p"), F.col("package")))
+    bodies = docs.select("package", F.to_json(F.struct(F.struct(links.alias("project_urls"), F.lit("https://example.org").alias("home_page")).alias("info"), "releases")).alias("body"))
+    parsed = listing.documents(bodies)
+    shown = listing.window(listing.releases(parsed), 3).join(listing.packages(parsed), "package")
+    return shown.select("package", "version", "status", *big("place"), "url", "repository")
+
+
 _CUTS = "c(cut) as (values (timestamp '1996-01-01'), (timestamp '1998-01-01'), (timestamp '2000-01-01'))"
 
 
