@@ -30,11 +30,14 @@ from driftrank.tables import park
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 GAMMA, MIN_ROWS = 1.01, 200
-#: metric: (expression over the measured columns, inner and outer quantile, reach, slack, fence below too)
+#: Sizes that slacks are told in: expression over the measured columns.
+SIZES = {"chars": "__word_chars", "lines": "__n_lines"}
+#: metric: (expression over the measured columns, inner and outer quantile, reach, slack, fence below too); a slack is a number, or
+#: (so much, of which size's, which quantile)
 RULES = {
     "mean_length": ("__word_chars / __n_words", "q50", "q80", 6.0, 0.03, True),
-    "symbol_share": ("__n_symbols / __word_chars", "q50", "q80", 6.0, 0.03, False),
-    "dup_line_share": ("greatest(__n_dup_lines - 1, 0) / __n_lines", "q95", "q99", 1.0, 0.01, False),
+    "symbol_share": ("__n_symbols / __word_chars", "q50", "q80", 6.0, (6.0, "chars", "q50"), False),
+    "dup_line_share": ("greatest(__n_dup_lines - 1, 0) / __n_lines", "q95", "q99", 1.0, (0.25, "lines", "q99"), False),
     "repeat_share": (f"greatest(__n_repeat_words - {2 * WINDOW}, 0) / __n_words", "q95", "q99", 1.0, 0.01, False),
 }
 QUANTILES = {"q1": 0.25, "q3": 0.75, "q20": 0.2, "q50": 0.5, "q80": 0.8, "q95": 0.95, "q99": 0.99}
@@ -111,12 +114,14 @@ def base_failed() -> Column:
 
 
 def _value(metric: str) -> Column:
+    if metric in SIZES:
+        return F.col(SIZES[metric]).cast("double")
     return F.coalesce(F.expr(f"try_divide({RULES[metric][0].replace(' / ', ', ')})"), F.lit(0.0))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n: one mergeable sketch for each cell and metric, of rows that pass the base rules."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _value(m).alias("x")) for m in RULES]))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _value(m).alias("x")) for m in (*RULES, *SIZES)]))
     flat = rows.where(~base_failed()).select("lang", "source", each.alias("m")).select("lang", "source", "m.metric", "m.x")
     bucket = F.when(F.col("x") <= 1e-9, F.lit(-10000)).otherwise(F.ceil(F.log("x") / float(np.log(GAMMA)))).cast("int")
     return flat.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n"))
@@ -143,8 +148,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     choose = lambda q: F.when(F.col("a_rows") >= MIN_ROWS, F.col(f"a_{q}")).when(F.col("b_rows") >= MIN_ROWS, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
     got = both.select(F.col("a_lang").alias("cell_lang"), F.col("a_source").alias("cell_source"), F.col("a_metric").alias("metric"), *[choose(q).alias(q) for q in QUANTILES])
     cols = []
+    of = lambda m, q: F.max(F.when(F.col("metric") == m, F.col(q)))
     for m, (_, inner, outer, reach, slack, two) in RULES.items():
-        low, mid, high = (F.max(F.when(F.col("metric") == m, F.col(q))) for q in ("q20", inner, outer))
+        low, mid, high = of(m, "q20"), of(m, inner), of(m, outer)
+        slack = F.lit(slack[0]) / F.greatest(of(*slack[1:]), F.lit(1.0)) if isinstance(slack, tuple) else slack
         cols += [(high * GAMMA + reach * (high - mid) + slack).alias(f"hi_{m}")] + ([(low / GAMMA - reach * (mid - low) - slack).alias(f"lo_{m}")] if two else [])
     return got.groupBy("cell_lang", "cell_source").agg(*cols)
 

@@ -254,7 +254,7 @@ def removed(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     release(contexts)
     uniform = some.join(many, "gram", "left_anti").select("doc_id", "tag", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")).where(f"b - a >= {LENGTH}")
     mixed = some.join(found, ["gram", "digest"]).select("doc_id", "tag", (F.col("pos") + F.col("first")).alias("a"), (F.col("pos") + F.col("last") + LENGTH).alias("b"))
-    return uniform.union(mixed).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
+    return uniform.union(mixed).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text, each once however many rows are equal to it
 
 
 #: A piece's border is the least of PIECE_REACH + 1 neighbouring hashes of PIECE_GRAM bytes; runs under LEAST_SHARED bytes don't count.

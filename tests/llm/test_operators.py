@@ -111,7 +111,7 @@ def _kept(rows):
     for i, t, *cell in rows:
         n, chars, symbols, dup, rep = _measures(t or "")
         lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
-        x = {"mean": share(chars, n), "symbol": share(symbols, chars), "line": share(max(dup - 1, 0), lines), "repeat": share(max(rep - 10, 0), n)}
+        x = {"chars": float(chars), "lines": float(lines), "mean": share(chars, n), "symbol": share(symbols, chars), "line": share(max(dup - 1, 0), lines), "repeat": share(max(rep - 10, 0), n)}
         measured.append((i, tuple(cell), n >= 10 and 100 * rep <= 20 * n, x))
     near = lambda x: 0.0 if x <= 1e-9 else 2 * g ** math.ceil(math.log(x) / math.log(g)) / (g + 1)
 
@@ -125,8 +125,10 @@ def _kept(rows):
     bounds = {}
     for cell in {c for _, c, ok, _ in measured if ok}:
         hi = {}
-        for m, a, b, reach, slack in (("mean", 0.5, 0.8, 6, 0.03), ("symbol", 0.5, 0.8, 6, 0.03), ("line", 0.95, 0.99, 1, 0.01), ("repeat", 0.95, 0.99, 1, 0.01)):
+        for m, a, b, reach, slack in (("mean", 0.5, 0.8, 6, 0.03), ("symbol", 0.5, 0.8, 6, None), ("line", 0.95, 0.99, 1, None), ("repeat", 0.95, 0.99, 1, 0.01)):
             q = quantiles(m, cell)
+            if slack is None:
+                slack = 6 / max(quantiles("chars", cell)(0.5), 1) if m == "symbol" else 0.25 / max(quantiles("lines", cell)(0.99), 1)
             hi[m] = q(b) * g + reach * (q(b) - q(a)) + slack
         q = quantiles("mean", cell)
         bounds[cell] = hi, q(0.2) / g - 6 * (q(0.5) - q(0.2)) - 0.03
@@ -147,6 +149,10 @@ def test_quality_fences_differ_between_cells(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     cells = quality.fences(quality.sketches(quality.measured(docs, ["lang", "source"]))).collect()
     assert len({round(c.hi_mean_length, 3) for c in cells}) > 3 and len({round(c.hi_repeat_share, 3) for c in cells}) > 3
+    large = {(r.lang, r.source) for r in docs.groupBy("lang", "source").count().where("count >= 250").collect()}
+    own = [c for c in cells if (c.cell_lang, c.cell_source) in large]
+    assert len(own) > 15 and len({round(c.hi_symbol_share, 5) for c in own}) > 10 and len({round(c.hi_dup_line_share, 5) for c in own}) > 5
+    assert max(c.hi_symbol_share for c in own) < 0.05 and min(c.hi_symbol_share for c in own) > 0.001
 
 
 def test_quality_keeps_prose_and_rejects_symbols(spark):
@@ -167,6 +173,14 @@ def test_quality_fences_follow_the_cell(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in quality.keep_good(docs).collect()} == {1000, 1001, 1002}
 
 
+def test_many_equal_rows_hold_one_rows_spans(spark):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(200))
+    rows = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("tag"), F.lit(text).alias("text"))
+    got = repeats.removed(rows).collect()
+    assert len(got) == 1 and len(got[0].spans) < 50
+    assert {(r.n_bytes, r.n_removed) for r in repeats.dedup(rows.drop("tag")).select("n_bytes", "n_removed").collect()} == {(len(text), len(text))}
+
+
 def test_sketch_quartiles_merge_and_come_near(spark):
     docs = spark.createDataFrame([(i, " ".join("abcdefghij"[: 2 + (i * j) % 7] + str(j) for j in range(1, 60)), "en", f"s{i % 3}") for i in range(300)], "doc_id long, text string, lang string, source string")
     rows = quality.measured(docs, ["lang", "source"]).withColumn("x", quality._value("mean_length"))
