@@ -8,6 +8,9 @@ Dirichlet smoothing, which needs no other sum over a state's arcs, so for every
 root a token weighs log10((c - D) / N), an unknown one log10(D V / N), with D = n1 / (n1 + 2 n2) from the counts of counts.
 A text is read once, from left to right; the state carried along is the longest one that the last tokens name.
 
+A state is at most ORDER - 1 tokens, so a walk that begins that many tokens early, in the root, is in the right state when it is
+its turn: a block is cut into lanes of LANE tokens, and all lanes are walked side by side, a token of each at a time.
+
 Texts are read once and kept as blocks of BLOCK tokens (or one longer text): the block's distinct tokens and the place of
 each of its tokens among them. A block asks for the counts of its own n-grams (tally.py), counts of training texts are
 added up over all blocks, and the answers are the part of the automaton that the block's texts can reach. So what is
@@ -40,6 +43,7 @@ ORDER = 3
 #: Weight of the shorter state's probability, by the length of the longer state.
 MASS = (0.0, 1000.0, 4.0, 2.0)
 BLOCK = 1 << 19
+LANE = 256
 END = U(0x1F3D5B79A2C4E608)
 
 
@@ -163,18 +167,91 @@ class Automaton:
         m = self.mass[min(length, len(self.mass) - 1)]
         return (arc + m * shorter) / (state + m)
 
-    def walk(self, block: Block, totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability of each token, its count) from the totals of the block's distinct n-grams, by their length."""
-        p = last = count = np.zeros(0)
-        for k, ((at, keys), total) in enumerate(zip(block.grams(len(totals)), totals)):
-            here = np.zeros(len(block.token))
-            here[at] = total[np.unique(keys, return_inverse=True)[1]]
-            if k:
-                p[at] = self.step(p[at], last[at - 1], here[at], k)
+    def reach(self, block: Block, totals: list[np.ndarray]) -> Reach:
+        """The states and arcs that the block's texts can reach, from the totals of its distinct n-grams, by their length."""
+        order, n = len(totals), len(block.token)
+        v, state, place = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes, weights, targets, back, cost = [], [], [], [np.zeros(1, np.int64)], [np.zeros(1)]
+        p = total = np.zeros(0)
+        root_weight = root_target = token = np.zeros(0)
+        states = 1  # the root is 0
+        for k, ((at, keys), here) in enumerate(zip(block.grams(order), totals), 1):
+            _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+            live, ends = here > 0, at[first]
+            own = np.zeros(len(here), np.int64)  # the state that an n-gram names, else the root
+            if k < order:
+                own[live] = states + np.arange(live.sum())
+            gram = np.full(n, -1, np.int64)
+            gram[at] = number
+            if k == 1:
+                v, token, p = len(here), gram, self.root(here)
+                root_weight, root_target, suffix = np.log10(p), own, own * 0
             else:
-                p, count = self.root(here), here
-            last = here
-        return np.log10(p), count
+                shorter, source = place[ends], place[ends - 1]
+                suffix = state[shorter]
+                q = self.step(p[shorter], total[source], here, k - 1)
+                codes.append((state[source] * v + token[ends])[live])
+                weights.append(np.log10(q[live]))
+                targets.append((own if k < order else suffix)[live])
+                p = q
+            if k < order:
+                m = self.mass[min(k, len(self.mass) - 1)]
+                back.append(suffix[live])
+                cost.append(np.log10(m / (here[live] + m)))
+                states += int(live.sum())
+            state, place, total = own, gram, here
+        code = np.concatenate([*codes, [np.iinfo(np.int64).max]]).astype(np.int64)
+        at = np.argsort(code)
+        return Reach(token, v, root_weight, root_target, code[at], np.concatenate([*weights, [0.0]])[at], np.concatenate([*targets, [0]]).astype(np.int64)[at], np.concatenate(back), np.concatenate(cost))
+
+    def walk(self, block: Block, totals: list[np.ndarray], lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of each token, its count)."""
+        reach, n = self.reach(block, totals), len(block.token)
+        opens = np.zeros(n, bool)
+        opens[np.cumsum(block.sizes) - block.sizes] = True
+        start = np.arange(0, n, lane)
+        state, p = np.zeros(len(start), np.int64), np.empty(n)
+        for t in range(1 - len(totals), min(lane, n)):
+            lanes = np.flatnonzero((start + t >= 0) & (start + t < n))
+            at = start[lanes] + t
+            gained, state[lanes] = reach.read(np.where(opens[at], 0, state[lanes]), reach.token[at])
+            if t >= 0:
+                p[at] = gained
+        return p, totals[0][reach.token]
+
+
+@dataclass
+class Reach:
+    """A part of the automaton: arcs of the root by token, arcs of other states by state * v + token, failure arcs by state."""
+
+    token: np.ndarray  # number of each place's token
+    v: int
+    root_weight: np.ndarray
+    root_target: np.ndarray
+    code: np.ndarray  # ascending, closed by one that no arc has
+    weight: np.ndarray
+    target: np.ndarray
+    back: np.ndarray
+    cost: np.ndarray
+
+    def read(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of one token from each state: along failure arcs until an arc bears the token."""
+        state, gained = state.copy(), np.zeros(len(state))
+        rest, falls = np.flatnonzero(state > 0), state == 0
+        while len(rest):
+            code = state[rest] * self.v + token[rest]
+            j = np.searchsorted(self.code, code)
+            hit = self.code[j] == code
+            took, lost = rest[hit], rest[~hit]
+            gained[took] += self.weight[j[hit]]
+            state[took] = self.target[j[hit]]
+            gained[lost] += self.cost[state[lost]]
+            state[lost] = self.back[state[lost]]
+            falls[lost[state[lost] == 0]] = True
+            rest = lost[state[lost] > 0]
+        gained[falls] += self.root_weight[token[falls]]
+        state[falls] = self.root_target[token[falls]]
+        return gained, state
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -184,10 +261,10 @@ def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token of each row."""
     spark = docs.sparkSession
     parked = park(blocks(docs, block), "lm-blocks")
-    n, length = parked.agg(F.sum("trained"), F.sum("length")).first()
-    parts, buckets = tally.shape(length or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n, length, n_blocks = parked.agg(F.sum("trained"), F.sum("length"), F.count("*")).first()
+    parts, buckets, groups = tally.shape(length or 0, n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # One length after the other, so that the requests of one are on disk at a time.
-    answered = [tally.answers(requests(parked, k, buckets), parts, f"lm-counts-{k}") for k in range(1, order + 1)]
+    answered = [tally.answers(requests(parked, k, buckets), parts, f"lm-counts-{k}", groups) for k in range(1, order + 1)]
     seen = answered[0].agg(*[F.sum(c) for c in ("seen", "once", "twice")]).first()
     model = Automaton(n or 0, *[x or 0 for x in seen])
 

@@ -2,10 +2,13 @@
 
 A block (the rows that one task reads up to a bound) asks for its distinct keys, with its own counts of them; keys go to
 buckets by range, and a bucket adds up what all blocks counted and answers each block with the totals of the keys it asked
-for, in their order. A key leaves a block once however often it occurs there, so no key is hot; a request row holds the
-ascending keys of one block and bucket as differences, a byte plane each, compressed.
+for, in their order. A key leaves a block once however often it occurs there; a request row holds the ascending keys of one
+block and bucket as differences, a byte plane each, compressed.
 
-Buckets are as many as keep one near BUCKET_KEYS keys, so a task's memory does not grow with the corpus.
+A common key is asked for by every block. So beyond FAN blocks the requests go up a tree: blocks are dealt into groups of about
+FAN, a node adds up what one group asks of one bucket, nodes ask as blocks do (in further levels where they are more than FAN
+themselves), and the totals come down to the nodes and from there to the blocks, one request row at a time. Buckets are as many
+as keep a node near BUCKET_KEYS keys, so neither a task's rows nor its memory grow with the corpus.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from driftrank.llm.textkit import slices
 from driftrank.tables import park, release
 
 BUCKET_KEYS = 1 << 20
+FAN = 1 << 14
 U = np.uint64
 REQUEST = "block long, kind int, bucket int, keys binary, counts binary, size int"
 _REQUEST = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+_REQUESTED = ("block", "kind", "bucket", "keys", "counts", "size")
 _ANSWER = "block long, kind int, bucket int, totals binary, size int, seen long, once long, twice long"
 
 
@@ -50,16 +55,15 @@ def counted(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], np.add.reduceat(flags[order].astype(np.int64), new)
 
 
-def requests(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Request rows of a block's distinct ascending keys."""
-    bounds = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], U)
-    edge = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
+def requests(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: type = np.uint32) -> pa.RecordBatch:
+    """Request rows of a block's distinct ascending keys, in buckets of equal ranges; counts are held in `width`."""
+    bucket = (keys >> U(32)) * U(buckets) >> U(32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
     rows = []
-    for b in np.flatnonzero(np.diff(edge)).tolist():
-        part = keys[edge[b] : edge[b + 1]]
-        rows.append((block, kind, b, squeeze(np.diff(part, prepend=U(0))), squeeze(counts[edge[b] : edge[b + 1]].astype(np.uint32)), len(part)))
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+        rows.append((block, kind, int(bucket[i]), squeeze(np.diff(keys[i:j], prepend=U(0))), squeeze(counts[i:j].astype(width)), j - i))
     cols = list(zip(*rows)) or [()] * len(_REQUEST)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _REQUEST)], [x.split()[0] for x in REQUEST.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _REQUEST)], list(_REQUESTED))
 
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -69,48 +73,110 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def shape(keys: int, shuffle_partitions: int) -> tuple[int, int]:
-    """(partitions, buckets) for so many requested keys."""
+def shape(keys: int, blocks: int, shuffle_partitions: int) -> tuple[int, int, int]:
+    """(partitions, buckets, groups of blocks) for so many keys requested by so many blocks."""
+    groups = max(1, -(-blocks // FAN))
     parts = max(shuffle_partitions, -(-keys // (2 * BUCKET_KEYS)))
-    return parts, 2 * parts
+    return parts, 2 * max(shuffle_partitions, -(-keys // (2 * BUCKET_KEYS * groups))), groups
 
 
-def answers(asked: DataFrame, parts: int, label: str) -> DataFrame:
+def added(rows: list[tuple], width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; their counts over all request rows; the place among them of each row's keys in turn)."""
+    _, _, _, keys, counts, size = zip(*rows)
+    all_keys = np.concatenate([np.cumsum(unsqueeze(k, n, U), dtype=U) for k, n in zip(keys, size)])
+    own = np.concatenate([unsqueeze(c, n, width) for c, n in zip(counts, size)])
+    order = np.argsort(all_keys, kind="stable")  # sorted runs: a merge
+    s = all_keys[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    back = np.empty(len(s), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return s[new], np.add.reduceat(own[order].astype(U), np.flatnonzero(new)), back
+
+
+def together(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(values of `by`, request rows) of each run of rows that agree in them."""
+    key, held = None, []
+    for batch in batches:
+        marks = zip(*[batch.column(c).to_pylist() for c in by])
+        for mark, row in zip(marks, zip(*[batch.column(c).to_pylist() for c in _REQUESTED])):
+            if held and mark != key:
+                yield key, held
+                held = []
+            key = mark
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _ANSWER.split(", ")])
+
+
+def answers(asked: DataFrame, parts: int, label: str, groups: int = 1, width: type = np.uint32) -> DataFrame:
     """block, kind, bucket, totals (binary, of `size` uint64) for each request row; seen, once, twice count a bucket's keys with a
-    total above 0, of 1, of 2, on one row of the bucket. Parked; the requests' shuffle files go."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        block, kind, bucket, keys, counts, size = zip(*rows)
-        all_keys = np.concatenate([np.cumsum(unsqueeze(k, n, U), dtype=U) for k, n in zip(keys, size)])
-        own = np.concatenate([unsqueeze(c, n, np.uint32) for c, n in zip(counts, size)])
-        order = np.argsort(all_keys, kind="stable")  # sorted runs: a merge
-        s = all_keys[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        total = np.add.reduceat(own[order].astype(U), np.flatnonzero(new))
-        back = np.empty(len(s), U)
-        back[order] = total[np.cumsum(new) - 1]
-        edge = np.cumsum([0, *size]).tolist()
-        told = [[int(np.count_nonzero(x))] + [0] * (len(rows) - 1) for x in (total, total == 1, total == 2)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array([squeeze(back[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()), pa.array(size, pa.int32())] + [pa.array(x, pa.int64()) for x in told],
-            [x.split()[0] for x in _ANSWER.split(", ")],
-        )
+    total above 0, of 1, of 2, on one row of the bucket. Parked; the requests' shuffle files go.
+    """
+    if groups > 1:
+        return _by_nodes(asked, parts, label, groups, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("block", "kind", "bucket", "keys", "counts", "size")]):
-                if held and row[1:3] != held[-1][1:3]:
-                    yield solve(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield solve(held)
+        for _, rows in together(batches, ("kind", "bucket")):
+            _, total, back = added(rows, width)
+            edge = np.cumsum([0, *[r[5] for r in rows]]).tolist()
+            sums = [(int(np.count_nonzero(total)), int((total == 1).sum()), int((total == 2).sum()))] + [(0, 0, 0)] * (len(rows) - 1)
+            yield _told([(*r[:3], squeeze(total[back[a:b]]), r[5], *t) for r, a, b, t in zip(rows, edge, edge[1:], sums)])
 
     dealt = asked.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
     return park(dealt.mapInArrow(run, _ANSWER), label, clean=True)
 
 
+def _by_nodes(asked: DataFrame, parts: int, label: str, groups: int, width: type) -> DataFrame:
+    """answers(), through nodes that each hold what one group of blocks asks of one bucket."""
+    whole = lambda c, bits: F.shiftleft(F.col(c).cast("long"), bits)
+    node = whole("kind", 56).bitwiseOR(whole("bucket", 28)).bitwiseOR(F.pmod(F.xxhash64("block"), F.lit(groups)))
+    waiting = park(asked.withColumn("node", node), f"{label}-asked")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (at, kind), rows in together(batches, ("node", "kind")):
+            keys, total, _ = added(rows, width)
+            cells = (at, kind, squeeze(np.diff(keys, prepend=U(0))), squeeze(total), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()])], ["node", "kind", "keys", "counts", "size"])
+
+    nodes = park(waiting.repartition(parts, "node").sortWithinPartitions("node", "block").mapInArrow(up, "node long, kind int, keys binary, counts binary, size int"), f"{label}-nodes", clean=True)
+    above = -(-groups // FAN)
+    buckets = -(-2 * parts // above)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            yield requests(row["node"], row["kind"], np.cumsum(unsqueeze(row["keys"], row["size"], U), dtype=U), unsqueeze(row["counts"], row["size"], U), buckets, U)
+
+    top = answers(nodes.mapInArrow(ask, REQUEST), parts, f"{label}-up", above, U)
+    known = top.groupBy(F.col("block").alias("node")).agg(F.collect_list(F.struct("kind", "bucket", "totals", "size")).alias("got"), *[F.sum(c).alias(c) for c in ("seen", "once", "twice")])
+    known = nodes.drop("counts").join(known, "node").withColumn("asks", F.lit(False))
+    rows = waiting.drop("counts").withColumn("asks", F.lit(True)).unionByName(known, allowMissingColumns=True)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = total = np.zeros(0, U)
+        sums, out = (0, 0, 0), []
+        for row in each(batches):
+            own = np.cumsum(unsqueeze(row["keys"], row["size"], U), dtype=U)
+            if row["asks"]:
+                out.append((row["block"], row["kind"], row["bucket"], squeeze(total[np.searchsorted(keys, own)]), row["size"], *sums))
+                sums = (0, 0, 0)
+                if len(out) == 256:
+                    yield _told(out)
+                    out = []
+            else:
+                keys, total, sums = own, totals(row["got"], row["kind"]), (row["seen"], row["once"], row["twice"])
+        if out:
+            yield _told(out)
+
+    done = park(rows.repartition(parts, "node").sortWithinPartitions("node", "asks", "block").mapInArrow(down, _ANSWER), label, clean=True)
+    release(waiting, nodes, top)
+    return done
+
+
 def by_block(answered: DataFrame) -> DataFrame:
     """block, got: a block's answers together, as many bytes as its keys ask for."""
     return answered.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "totals", "size")).alias("got"))
@@ -168,8 +234,9 @@ def looked_up(docs: DataFrame, make: Make, use: Use, out: str, label: str) -> Da
             yield use(row["ids"], row["tags"], per, keys, total, [unsqueeze(m, n, np.uint32).astype(np.int64) for m, n in zip(row["more"], row["lengths"])])
 
     made = park(docs.select("doc_id", "tag", "text").mapInArrow(blocks, _KEYED), f"{label}-blocks")
-    parts, buckets = shape(made.agg(F.sum("size")).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answered = answers(made.mapInArrow(ask, REQUEST), parts, f"{label}-counts")
+    n, n_blocks = made.agg(F.sum("size"), F.count("*")).first()
+    parts, buckets, groups = shape(n or 0, n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    answered = answers(made.mapInArrow(ask, REQUEST), parts, f"{label}-counts", groups)
     done = park(made.join(by_block(answered), "block", "left").mapInArrow(answer, out), label, clean=True)  # a block without a key has no answer
     release(made, answered)
     return done

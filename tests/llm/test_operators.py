@@ -335,6 +335,48 @@ def test_automaton_is_a_distribution():
     assert abs(model.step(root, np.full(14, 9.0), np.array([4.0, 0, 3, 0, 0, 2] + [0] * 8), 1).sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("lane", [1, 2, 7, 1 << 20])
+def test_automaton_walks_in_lanes_of_any_length(lane):
+    r = np.random.default_rng(lane)
+    sizes = np.array([1, 40, 2, 1, 300, 5])
+    block = lm.Block(r.integers(0, 30, sizes.sum(), np.uint64), sizes, np.ones(sizes.sum(), bool))
+    totals = [r.integers(0, 4, len(np.unique(k))).astype(np.uint64) for _, k in block.grams(3)]
+    for k in (1, 2):  # a training n-gram holds shorter ones
+        (at, keys), (less, short) = block.grams(3)[k], block.grams(3)[k - 1]
+        place = dict(zip(less.tolist(), np.unique(short, return_inverse=True)[1].tolist()))
+        number = np.unique(keys, return_inverse=True)[1]
+        for i, j in zip(at.tolist(), number.tolist()):
+            if totals[k - 1][place[i]] == 0 or totals[k - 1][place[i - 1]] == 0:
+                totals[k][j] = 0
+    model = lm.Automaton(1000, 30, 5, 2)
+    p, count = model.walk(block, totals, lane)
+    grams = {(k, i): int(totals[k - 1][j]) for k in (1, 2, 3) for (at, keys) in [block.grams(3)[k - 1]] for i, j in zip(at.tolist(), np.unique(keys, return_inverse=True)[1].tolist())}
+    for i in range(len(p)):
+        q = float(model.root(np.array([grams[1, i]]))[0])
+        for k in (2, 3):
+            if (k, i) in grams:
+                q = (grams[k, i] + model.mass[k - 1] * q) / (grams[k - 1, i - 1] + model.mass[k - 1])
+        assert abs(p[i] - math.log10(q)) < 1e-9 and count[i] == grams[1, i]
+
+
+@pytest.mark.parametrize("fan", [2, 3, 5])
+def test_tally_in_levels_holds_few_rows_a_node(spark, monkeypatch, fan):
+    from driftrank.llm import tally
+
+    r = np.random.default_rng(fan)
+    keys = [np.unique(np.append(r.integers(0, 1 << 62, 40, np.uint64), [np.uint64(7), np.uint64(1 << 61)])) for _ in range(24)]  # two keys in every block
+    rows = [x for i, k in enumerate(keys) for x in tally.requests(i, 1, k, np.full(len(k), 1 << 31 if i < 4 else 1), 3).to_pylist()]
+    asked = spark.createDataFrame(rows, tally.REQUEST)
+    flat = tally.answers(asked, 3, "flat")
+    monkeypatch.setattr(tally, "FAN", fan)
+    groups = tally.shape(100, 24, 3)[2]
+    tall = tally.answers(asked, 3, "tall", groups)
+    assert groups == -(-24 // fan)
+    assert sorted(map(tuple, tall.select("block", "kind", "bucket", "totals", "size").collect())) == sorted(map(tuple, flat.select("block", "kind", "bucket", "totals", "size").collect()))
+    sums = [x.selectExpr("sum(seen)", "sum(once)", "sum(twice)").first() for x in (flat, tall)]
+    assert sums[0] == sums[1]
+
+
 def test_tally_adds_up_over_blocks(spark):
     from driftrank.llm import tally
 
