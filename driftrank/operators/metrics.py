@@ -303,6 +303,23 @@ def bundle(df: DataFrame, scores: dict[str, str], label: str, over: str) -> Data
     return out.select("quantity", "value").unionAll(lifts).unionAll(each[0].select(F.lit("floor"), "floor"))
 
 
+def lift_bands(df: DataFrame, group: Sequence[str], score: str, others: dict[str, str], label: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """quantity (`lift_over_` each name), low, high, draws: bands of the score's lift over each of the others in the same draws."""
+    own = _draws_of_precision(df, group, score, label, draws, seed).withColumnRenamed("v", "a")
+    for name, column in others.items():
+        own = own.join(_draws_of_precision(df, group, column, label, draws, seed).withColumnRenamed("v", f"__{name}"), "draw")
+    lifts = F.array(*[F.struct(F.lit(f"lift_over_{n}").alias("quantity"), F.try_divide("a", f"__{n}").alias("v")) for n in others])
+    return own.select(F.explode(lifts).alias("x")).select("x.*").where("v is not null").groupBy("quantity").agg(*band("v"), F.count("*").alias("draws"))
+
+
+def first_places(df: DataFrame, group: Sequence[str], score: str, label: str, ties: Sequence[str]) -> DataFrame:
+    """quantity, value: mean precision_at_10 and ndcg_at_20 of the groups by a named score, ties by the given columns."""
+    order = [F.desc(score), *[F.asc(c) for c in ties]]
+    each = {"precision_at_10": _precisions(df, group, label, order, 10), "ndcg_at_20": _ndcgs(df, group, label, order, 20)}
+    out = [x.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("value")).select(F.lit(f"{score}_{n}").alias("quantity"), "value") for n, x in each.items()]
+    return out[0].unionAll(out[1])
+
+
 # What a version step promises.
 STEP_SCORE = {"major": 3.0, "minor": 2.0, "patch": 1.0, "other": 0.0}
 
