@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from driftrank.tables import park, release
 OFFERED = (
     "package string, version string, symbol string, what string, parameter string, place int, required boolean, how string, value string, deprecated boolean, target string, module string"
 )
+_OFFERED = {c.split()[0]: {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in OFFERED.split(", ")}
 MOST_DEPTH = 12
 
 # Names beside a library that are not the library.
@@ -54,21 +56,32 @@ def says_deprecated(text: str | None) -> bool:
 def _deprecated(node: ast.AST) -> bool:
     """A decorator whose name says so, of the object and not of some of its arguments, or the docstring."""
     for d in getattr(node, "decorator_list", ()):
-        name = ast.unparse(d.func if isinstance(d, ast.Call) else d).split("(")[0].lower()
+        name = _text(d.func if isinstance(d, ast.Call) else d).split("(")[0].lower()
         if "deprecat" in name and not any(w in name for w in CALLING_WORDS):
             return True
     documented = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module))
     return documented and says_deprecated(ast.get_docstring(node, clean=False))
 
 
+def _text(node: ast.AST) -> str:
+    """What ast.unparse gives, the common short forms without it."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Constant) and (node.value is None or type(node.value) in (bool, int)):
+        return repr(node.value)
+    if isinstance(node, ast.Attribute) and isinstance(node.value, (ast.Name, ast.Attribute)):
+        return f"{_text(node.value)}.{node.attr}"
+    return ast.unparse(node)
+
+
 def _parameters(a: ast.arguments) -> Iterator[tuple[str, bool, str, str | None]]:
     """(name, required, how it is passed, default)"""
     early = [*((x, "positional") for x in a.posonlyargs), *((x, "any") for x in a.args)]
     spare = [None] * (len(early) - len(a.defaults)) + list(a.defaults)
     for (x, how), default in zip(early, spare):
-        yield x.arg, default is None, how, None if default is None else ast.unparse(default)
+        yield x.arg, default is None, how, None if default is None else _text(default)
     for x, default in zip(a.kwonlyargs, a.kw_defaults):
-        yield x.arg, default is None, "keyword", None if default is None else ast.unparse(default)
+        yield x.arg, default is None, "keyword", None if default is None else _text(default)
 
 
 def _statements(body: list[ast.stmt], spare: bool = False) -> Iterator[tuple[ast.stmt, bool]]:
@@ -108,8 +121,9 @@ def offered(module: str, source: str) -> list[tuple]:
     def put(name: str, spare: bool, rows: list[tuple]) -> bool:
         if spare and name in held:
             return False
-        for k in [k for k in held if k == name or k.startswith(f"{name}.")]:
-            del held[k]
+        if name in held:  # what stands below a name came after it
+            for k in [k for k in held if k == name or k.startswith(f"{name}.")]:
+                del held[k]
         held[name] = rows
         return True
 
@@ -127,14 +141,14 @@ def offered(module: str, source: str) -> list[tuple]:
         for node, spare in _statements(body):
             name = f"{at}.{getattr(node, 'name', '')}"
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                if any(ast.unparse(d).split(".")[-1] == "overload" for d in node.decorator_list):
+                if any(_text(d).split(".")[-1] == "overload" for d in node.decorator_list):
                     continue
                 marked = _deprecated(node)
-                rows = [(name, "function", "", None, None, None, None if node.returns is None else ast.unparse(node.returns), marked, None)]
+                rows = [(name, "function", "", None, None, None, None if node.returns is None else _text(node.returns), marked, None)]
                 put(name, spare, rows + [(name, "parameter", p, i, required, how, default, marked, None) for i, (p, required, how, default) in enumerate(_parameters(node.args))])
             elif isinstance(node, ast.ClassDef):
                 rows = [(name, "class", "", None, None, None, None, _deprecated(node), None)]
-                rows += [(name, "base", ast.unparse(b), i, None, None, None, False, None) for i, b in enumerate(node.bases)]
+                rows += [(name, "base", _text(b), i, None, None, None, False, None) for i, b in enumerate(node.bases)]
                 if put(name, spare, rows) and depth < MOST_DEPTH:
                     visit(node.body, name, depth + 1)
             elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
@@ -144,9 +158,9 @@ def offered(module: str, source: str) -> list[tuple]:
                     loose.extend((at, "export", x, None, None, None, None, False, None) for x in _listed(node.value))
                 if isinstance(node, ast.AugAssign):
                     continue
-                how = ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else None
+                how = _text(node.annotation) if isinstance(node, ast.AnnAssign) else None
                 for x in names:
-                    put(f"{at}.{x}", spare, [(f"{at}.{x}", "attribute", "", None, None, how, None if node.value is None else ast.unparse(node.value), False, None)])
+                    put(f"{at}.{x}", spare, [(f"{at}.{x}", "attribute", "", None, None, how, None if node.value is None else _text(node.value), False, None)])
             elif isinstance(node, ast.ImportFrom) and (start := origin(node)):
                 for a in node.names:
                     if a.name == "*":
@@ -164,16 +178,19 @@ def offered(module: str, source: str) -> list[tuple]:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """OFFERED rows of source files. files: package, version, module, text."""
+    """OFFERED rows of source files. files: package, version, module, text.
+
+    Files are dealt out before they are parsed: a table of many short texts is a file or two, which one task would read.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in OFFERED.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, v, *r, m.removesuffix("__init__").rstrip(".")) for p, v, m, t in zip(batch["package"], batch["version"], batch["module"], batch["text"]) for r in offered(m, t or "")]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({"place": "Int32", "required": "boolean", "deprecated": "boolean"})
+            package, version, module, text = (c.to_pylist() for c in batch.columns)
+            rows = [(p, v, *r, m.removesuffix("__init__").rstrip(".")) for p, v, m, t in zip(package, version, module, text) for r in offered(m, t or "")]
+            columns = zip(*rows) if rows else [()] * len(_OFFERED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _OFFERED.values())], list(_OFFERED))
 
-    return files.select("package", "version", "module", "text").mapInPandas(run, OFFERED)
+    return files.select("package", "version", "module", "text").repartition("package", "version", "module").mapInArrow(run, OFFERED)
 
 
 TREE = ["package", "version"]
@@ -185,7 +202,9 @@ def star_names(offers: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     What a module hands on is what `__all__` lists, or its names without a leading underscore; that holds names which it
     got by star itself, so rounds of one join each go on until none brings a name. A module's own names come before those.
+    The offers are written once, so no round parses a source again.
     """
+    offers = park(offers.where(F.col("what").isin("star", "export", "class", "function", "attribute", "alias")).select(*TREE, "what", "symbol", "target", "parameter", "module"), "offers")
     stars = offers.where("what = 'star'").select(*TREE, F.col("symbol").alias("module"), F.col("target").alias("source")).where("module <> source").distinct()
     listed = offers.where("what = 'export'").select(*TREE, "module", F.col("parameter").alias("name")).distinct()
     lists = listed.select(*TREE, "module").distinct().withColumn("lists", F.lit(True))
@@ -240,8 +259,9 @@ def resolved_bases(offers: DataFrame) -> DataFrame:
 
 def inherited_members(offers: DataFrame, most_levels: int = MOST_DEPTH) -> DataFrame:
     """symbol, defined_at: members that classes of one tree have from their bases, nearest level first, of one level the base named
-    first; a class's own members hide them."""
-    bases = resolved_bases(offers)
+    first; a class's own members hide them. Offers and bases are written once, so no level parses a source again."""
+    offers = park(offers.where(F.col("what").isin("class", "function", "attribute", "alias", "base")).select("what", "symbol", "target", "parameter", "place", "module"), "offers")
+    bases = park(resolved_bases(offers), "bases")
     member = offers.where(F.col("what").isin("class", "function", "attribute")).select(module_of(F.col("symbol")).alias("owner"), leaf(F.col("symbol")).alias("name")).distinct()
     owned = member.join(offers.where("what = 'class'").select(F.col("symbol").alias("owner")).distinct(), "owner", "left_semi")
     line = F.format_string("%05d", "place")

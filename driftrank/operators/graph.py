@@ -15,7 +15,7 @@ def alias_closure(edges: DataFrame, hops: int = 10) -> DataFrame:
     """alias, target: where each alias ends within `hops` steps. edges: alias, target, one target an alias.
 
     Aliases that run into a cycle or need more steps give nothing; an alias of itself is dropped. Each round squares the
-    distance covered, so ten hops take four joins; what went further than `hops` by then is left out.
+    distance covered, so ten hops take four joins, and fewer where a round lengthens none; what went further than `hops` by then is left out.
     """
     edges = edges.where("alias <> target").select("alias", "target")
     now = edges.withColumn("steps", F.lit(1))
@@ -23,10 +23,12 @@ def alias_closure(edges: DataFrame, hops: int = 10) -> DataFrame:
     while hops > 1:
         nxt = now.select(F.col("alias").alias("target"), F.col("target").alias("far"), F.col("steps").alias("more"))
         joined = now.join(nxt, "target", "left")
-        now = park(joined.select("alias", F.coalesce("far", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "closure")
+        now = park(joined.select("alias", F.coalesce("far", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("longer")), "closure")
         if last:
             release(last)
         last = now
+        if now.where("longer").isEmpty():
+            break
         hops = -(-hops // 2)
     ends = now.join(edges.select(F.col("alias").alias("target")), "target", "left_anti")
     return ends.where(F.col("steps") <= most).select("alias", "target")

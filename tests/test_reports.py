@@ -130,6 +130,34 @@ def test_inherited_members_by_level_and_order(spark):
     assert got == {("q.m.C.f", "q.m.B.f"), ("q.m.C.g", "q.m.A.g"), ("q.m.D.f", "q.m.B.f"), ("q.m.D.g", "q.m.A.g"), ("q.m.D.h", "q.m.C.h")}
 
 
+@pytest.mark.parametrize("walk", [api.inherited_members, api.star_names])
+def test_no_walk_parses_a_source_twice(walk, spark):
+    """Rounds and levels read the written offers: each text goes through the parser once."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        parsed.add(1)
+        return text
+
+    rows = spark.createDataFrame([("q", "1", "q.a", "class A:\n  def f(self): ..."), ("q", "1", "q.b", "from q.a import *\nfrom q.a import A\nclass B(A): ..."), ("q", "1", "q.c", "from q.b import *")], "package string, version string, module string, text string")
+    assert walk(api.symbols(rows.withColumn("text", counted("text")))).count() > 0
+    assert parsed.value == 3
+
+
+def test_short_forms_of_expressions_are_those_of_unparse():
+    for text in ("a", "a.b.c", "1", "True", "None", "-1", "1.5", "'x'", "a[0].b", "f(x).y", "1j", "...", "b''", "(1).real"):
+        node = api.ast.parse(text, mode="eval").body
+        assert api._text(node) == api.ast.unparse(node)
+
+
+def test_a_source_offers_its_definitions_after_many_others():
+    """A name is looked for below a replaced one only; a thousand names take no walk over the others each."""
+    text = "".join(f"class C{i}:\n  def f(self): ...\n" for i in range(50)) + "class C7:\n  g = 1\n"
+    got = {r[0] for r in api.offered("m", text)}
+    assert "m.C7.g" in got and "m.C7.f" not in got and "m.C8.f" in got
+
+
 def test_chains_count_every_step():
     assert files_.used_names("import numpy as np\nnp.linalg.solve(x).y.z\nother.a.b") == ["numpy", "numpy.linalg", "numpy.linalg.solve"]
 
