@@ -11,6 +11,7 @@ from driftrank.functions import versions
 from driftrank.functions.names import canonical
 from driftrank.operators import requirements
 from driftrank.operators.relational import keep_one
+from driftrank.tables import park
 
 # The wording of each kind of change; %1$s is the symbol, %2$s the parameter or base.
 SENTENCES = {
@@ -82,17 +83,17 @@ def release_pages(wanted: DataFrame, packages: DataFrame, releases: DataFrame, c
 MOST_PINS = 200
 
 
-def analyzed(files: DataFrame, packages: DataFrame, releases: DataFrame, changes: DataFrame, usage: DataFrame, prediction: DataFrame, model: str, per_release: int = 5, most: int = 10) -> DataFrame:
+def analyzed(files: DataFrame, packages: DataFrame, releases: DataFrame, changes: DataFrame, usage: DataFrame, prediction: DataFrame, model: str, per_release: int = 5, most: int = 10, most_pins: int | None = MOST_PINS) -> DataFrame:
     """Requirements files, text to result: a row for each shown change of each release above a pin, and one for each release, pin or line without.
 
     files: file, text; the rest as for release_pages, releases with version texts. status: `too_many_packages` (a file with more than
-    MOST_PINS pins), `skipped` (a line, with its reason), `not_tracked`, `up_to_date`, `behind`. A change that several of a pin's
+    `most_pins` pins, where there is a limit), `skipped` (a line, with its reason), `not_tracked`, `up_to_date`, `behind`. A change that several of a pin's
     releases hold stays in the newest one; of the releases the newest `most` are shown (place 1 newest), `hidden` counts the others.
     """
-    parsed = requirements.parse(files)
+    parsed = park(requirements.parse(files), "parsed")  # read for pins, skipped lines and sizes: files are parsed once
     read = parsed.where("reason is null")
-    full = read.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > MOST_PINS).select("file")
-    fine = parsed.join(full, "file", "left_anti")
+    full = None if most_pins is None else read.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > most_pins).select("file")
+    fine = parsed if full is None else parsed.join(full, "file", "left_anti")
     pins = fine.where("reason is null").select("file", F.col("name").alias("canon"), F.col("version").alias("current"))
     pins = pins.withColumns({"pin_key": versions.key(F.col("current")), "pin_pre": versions.is_pre(F.col("current"))})
     held = releases.select("package", "version", "upgrade", F.col("status").alias("analysis")).withColumns({"key": versions.key(F.col("version")), "pre": versions.is_pre(F.col("version"))}).where("key is not null")
@@ -106,7 +107,8 @@ def analyzed(files: DataFrame, packages: DataFrame, releases: DataFrame, changes
         "latest": F.max_by("version", "key").over(of_pin), "place": F.row_number().over(of_pin.orderBy(F.desc("key"), F.desc("version"))),
     })
     status = F.when(F.col("known") == 0, "not_tracked").when(F.col("n_above") == 0, "up_to_date").otherwise("behind")
-    each = each.withColumn("status", status)
+    each = each.withColumn("status", status).select("file", "canon", "status", "current", "latest", "version", "upgrade", "key", "above", "place", "n_above")
+    each = park(each, "pins-and-releases")  # what is behind, what is not, and what is shown each read it
     alone = each.where("status <> 'behind'").select("file", "canon", "status", F.when(F.col("status") == "up_to_date", F.col("current")).alias("current"), F.when(F.col("status") == "up_to_date", F.col("latest")).alias("latest")).distinct()
     shown = each.where(F.col("above") & (F.col("status") == "behind") & (F.col("place") <= most))
     shown = shown.select("file", "canon", "status", "current", "latest", "version", "upgrade", "key", "place", F.greatest(F.col("n_above") - most, F.lit(0)).alias("hidden"))
@@ -118,7 +120,9 @@ def analyzed(files: DataFrame, packages: DataFrame, releases: DataFrame, changes
         "total": F.coalesce("total", F.lit(0)), "n_imported": F.coalesce("n_imported", F.lit(0)), "ranking": F.when(F.col("ranking") == "model", "model").otherwise("usage_fallback"),
     }).drop("upgrade", "key")
     skipped = fine.where("reason is not null").select("file", F.lit("skipped").alias("status"), F.col("shown").alias("canon"), "reason", "line_number")
-    out = behind.unionByName(alone, allowMissingColumns=True).unionByName(full.select("file", F.lit("too_many_packages").alias("status")), allowMissingColumns=True)
+    out = behind.unionByName(alone, allowMissingColumns=True)
+    if full is not None:
+        out = out.unionByName(full.select("file", F.lit("too_many_packages").alias("status")), allowMissingColumns=True)
     return out.unionByName(skipped, allowMissingColumns=True).withColumnRenamed("canon", "name")
 
 
