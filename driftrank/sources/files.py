@@ -7,8 +7,10 @@ import io
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,16 +129,29 @@ def used_names(source: str, tracked: set[str] | None = None) -> list[str]:
     return sorted(visitor.found)
 
 
+#: Texts whose names a task remembers: copies of a file are common, and parsing is what a file costs.
+MOST_REMEMBERED = 4096
+
+
 def usage_pairs(files: DataFrame, tracked: list[str] | None = None) -> DataFrame:
-    """scanner, symbol of each source file; a scanner's use of its own roots is left out. files: scanner, own_roots, text."""
+    """scanner, symbol of each source file; a scanner's use of its own roots is left out. files: scanner, own_roots, text.
+
+    A text is parsed once in a task while it is among the last MOST_REMEMBERED ones; names are taken out of their lists and held
+    against the own roots by Spark.
+    """
     known = set(tracked) if tracked is not None else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = lru_cache(MOST_REMEMBERED)(lambda text: used_names(text or "", known))
         for batch in batches:
-            rows = [(s, n) for s, own, text in zip(batch["scanner"], batch["own_roots"], batch["text"]) for n in used_names(text or "", known) if n.split(".", 1)[0] not in set(own if own is not None else ())]
-            yield pd.DataFrame(rows, columns=["scanner", "symbol"])
-
-    return files.select("scanner", "own_roots", "text").mapInPandas(run, "scanner string, symbol string")
+            texts = batch.column("text").dictionary_encode()
+            lists = pa.array([named(t) for t in texts.dictionary.to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("scanner"), batch.column("own_roots"), lists.take(texts.indices)], ["scanner", "own_roots", "names"])
+
+    files = files.select(F.col("scanner").cast("string").alias("scanner"), F.col("own_roots").cast("array<string>").alias("own_roots"), "text")
+    each = files.mapInArrow(run, "scanner string, own_roots array<string>, names array<string>").select("scanner", "own_roots", F.explode("names").alias("symbol"))
+    own = F.coalesce(F.array_contains("own_roots", F.substring_index("symbol", ".", 1)), F.lit(False))
+    return each.where(~own).select("scanner", "symbol")
 
 
 def usage_index(pairs: DataFrame) -> DataFrame:
