@@ -129,3 +129,17 @@ def test_boosting_stops_early_and_keeps_the_best_round(spark):
     df = spark.range(400).select((F.col("id") % 20).alias("g"), "id", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).cast("int").alias("label"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100))).cast("double").alias("x"))
     got = ranker.fit(df.where("g < 15"), df.where("g >= 15"), ["g"], "label", ["x"], [], ["id"], rounds=20, depth=2, least_rows=5, stop=2)
     assert len(got.rounds) == got.best + 2 < 20 and len(got.forest.trees) == got.best
+
+
+def test_large_groups_and_blocks_learn_the_same(planted, monkeypatch):
+    """Groups taken whole in blocks, and the same ones met by their leading rows, give the same rounds; so do scores written anew."""
+    def told(whole, fresh):
+        monkeypatch.setattr(ranker, "MOST_WHOLE", whole)
+        monkeypatch.setattr(ranker, "FRESH", fresh)
+        got = ranker.fit(*planted, ["g"], "label", ["seen", "level", "empty"], ["kind"], ["line"], rounds=3, rate=0.4, depth=2, least_rows=5, stop=3)
+        return [x for r in got.rounds for x in (r["loss"], r["valid"])]
+
+    blocks = told(1024, 2)
+    assert told(0, 16) == pytest.approx(blocks, rel=1e-9)
+    largest = planted[0].groupBy("g").count().agg(F.percentile("count", 0.5)).first()[0]
+    assert told(int(largest), 16) == pytest.approx(blocks, rel=1e-9)
