@@ -378,3 +378,27 @@ def test_a_text_is_parsed_once_in_a_task(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {tuple(r) for r in got} == {("0", "t.a", 1000), ("1", "t.a", 1000)}
+
+
+def test_a_task_gives_out_a_key_once(spark):
+    """300 keys in turn fill no more than the held vectors: a row a key leaves the task, not one each time 64 keys were met."""
+    rows = spark.range(0, 30000, 1, 1).selectExpr("cast(id % 300 as double) as score", "id as g", "1.0 as n")
+    out = metrics.weighed_sums(rows, ["score"], ["n"], 20)
+    want = metrics.weights(metrics.np.arange(30000), 20).astype(float)
+    got = {(r.score, r.draw): r.n for r in out.collect()}
+    assert len(got) == 6000 and all(got[k, d] == want[int(k)::300, d].sum() for k in (0.0, 7.0, 299.0) for d in (0, 19))
+    assert metrics.HELD // (8 * 2000 * 2) > 1024 and len(list(metrics._gathered(iter([metrics.pd.DataFrame({"a": range(10)})] * 7)))) == 1
+
+
+def test_files_of_any_size_are_analyzed_without_a_limit(spark):
+    from driftrank.operators import serve
+
+    n = serve.MOST_PINS + 50
+    lines = "\n".join(f"p{i}==1.0" for i in range(n))
+    file = spark.createDataFrame([("f", lines)], "file string, text string")
+    packages = spark.range(n).selectExpr("id as package", "concat('p', id) as name")
+    releases = spark.range(n).selectExpr("id as package", "'1.0' as version", "id as upgrade", "'F' as status")
+    none = spark.createDataFrame([], "upgrade bigint, line bigint, symbol string, kind string, sub_target string, is_private boolean")
+    usage, scores = spark.createDataFrame([], "symbol string, user_count bigint"), spark.createDataFrame([], "upgrade bigint, line bigint, model_version string, score double")
+    told = lambda **more: {r.status: r["count"] for r in serve.analyzed(file, packages, releases, none, usage, scores, "m", **more).groupBy("status").count().collect()}
+    assert told(most_pins=None) == {"up_to_date": n} and told() == {"too_many_packages": 1}
