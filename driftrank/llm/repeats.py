@@ -9,8 +9,9 @@ counted: where all suffixes of a gram agree, all their windows repeat. Only wher
 those bytes fetched, one text for each distinct context, and the windows compared by hash and offset; the windows found
 are induced back to every suffix with that context, wherever it is.
 
-Beside the exact removal, `longest_shared` tells of each text the longest passage that occurs elsewhere, LENGTH or not, in
-whole content-defined pieces: passages of over 50 words are often shorter than LENGTH bytes.
+Beside the exact removal, `shared` tells of each text the longest passage of SHARED words or more that occurs elsewhere:
+passages of over 50 words are often shorter than LENGTH bytes. It samples windows of words as the removal does windows of
+bytes; words are told apart by 64-bit hashes.
 
 A gram with more than MOST_CONTEXTS different contexts isn't brought together: its windows are dealt out by hash, so no
 task holds a group that grows with the corpus.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftrank.llm import tally
-from driftrank.llm.textkit import powers, slices, splitmix, utf8
+from driftrank.llm.textkit import Words, powers, slices, splitmix, utf8, words
 from driftrank.tables import park, release
 
 LENGTH, GRAM = 400, 48
@@ -90,6 +91,17 @@ def _ahead(h: np.ndarray, off: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
+def _picked(h: np.ndarray, off: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first and last window that picks it) of each place of h picked by some window of `length` within a text."""
+    ahead = _ahead(h, off, reach)
+    start = np.flatnonzero(np.arange(len(ahead)) + length <= np.repeat(off[1:], np.diff(off))[: len(ahead)])
+    if not len(start):
+        return start, start, start
+    owner = start + ahead[start]
+    new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return owner[new], start[new], start[np.append(new[1:], len(start)) - 1]
+
+
 def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Picked strings that some window of a text picks: (position in raw, gram hash, first and last window that picks it).
 
@@ -101,14 +113,8 @@ def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return none, np.zeros(0, U), none, none
     g = grams(raw, (16, 32))
     h = _join(g[32][: n - GRAM + 1], g[16][32 : 32 + n - GRAM + 1])
-    ahead = _ahead(h, off, REACH)
-    start = np.flatnonzero(np.arange(len(ahead)) + LENGTH <= np.repeat(off[1:], np.diff(off))[: len(ahead)])
-    if not len(start):
-        return none, np.zeros(0, U), none, none
-    owner = start + ahead[start]
-    new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    at = owner[new]
-    return at, h[at], start[new], start[np.append(new[1:], len(start)) - 1]
+    at, low, last = _picked(h, off, LENGTH, REACH)
+    return at, h[at], low, last
 
 
 _SUFFIX = "doc_id long, tag int, pos long, gram long, digest long, left int, right int"
@@ -257,53 +263,129 @@ def removed(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     return uniform.union(mixed).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text, each once however many rows are equal to it
 
 
-#: A piece's border is the least of PIECE_REACH + 1 neighbouring hashes of PIECE_GRAM bytes; runs under LEAST_SHARED bytes don't count.
-PIECE_GRAM, PIECE_REACH, LEAST_SHARED = 32, 96, 224
+#: Passages count from SHARED words on: over 50, of which the first and the last may touch other text. A window of SHARED
+#: words picks the least of its PIECE_REACH + 1 hashes of PIECE_GRAM words.
+PIECE_GRAM, PIECE_REACH = 16, 32
+SHARED = PIECE_GRAM + PIECE_REACH
+ABROAD, HERE, OPEN = 1, 2, 4  # all windows of a range occur in another row, again in this one; its windows are to be looked up
 
 
-def _cut(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first byte, end, hash) of the pieces between borders that follow one another in a text. Borders depend on the
-    bytes around them alone; a piece holds both of its borders' grams."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < PIECE_GRAM + PIECE_REACH:
-        return none, none, none, np.zeros(0, U)
-    h = grams(raw, (PIECE_GRAM,))[PIECE_GRAM]
-    ahead = _ahead(h, off, PIECE_REACH)
-    start = np.flatnonzero(np.arange(len(ahead)) + PIECE_GRAM + PIECE_REACH <= np.repeat(off[1:], np.diff(off))[: len(ahead)])
-    border = np.unique(start + ahead[start])
-    doc = np.searchsorted(off, border, side="right") - 1
-    at = np.flatnonzero(doc[1:] == doc[:-1])
-    a, b, doc = border[at], border[at + 1] + PIECE_GRAM, doc[at]
-    power, inverse = powers(len(raw))
-    upto = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], out=upto[1:])
-    return doc, a - off[doc], b - off[doc], splitmix((upto[b] - upto[a]) * inverse[a] + (b - a).astype(U))
-
-
-def longest_shared(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, longest: bytes of the longest run of pieces of a text that all occur elsewhere too, in any text or in this
-    one, if LEAST_SHARED at least. A passage held in common is longer by up to PIECE_GRAM + PIECE_REACH bytes at either end.
-
-    Blocks of texts ask for the counts of their pieces (tally.py), so a piece that many texts hold is one row a block.
-    """
+def _prefixes(w: Words) -> np.ndarray:
+    n = len(w.hash)
+    upto = np.zeros(n + 1, U)
+    np.cumsum(w.hash * powers(n)[0][:n], out=upto[1:])
+    return upto
 
-    def make(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        doc, a, b, h = _cut(*utf8(part.column("text")))
-        return np.bincount(doc, minlength=part.num_rows), h, [a, b - a]
 
-    def use(ids: list, tags: list, per: np.ndarray, keys: np.ndarray, total: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
-        a, width = more
-        at = np.flatnonzero(total > 1)
-        doc = np.repeat(np.arange(len(per)), per)[at]
-        best = np.zeros(len(per), np.int64)
-        if len(at):
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
-            last = np.append(new[1:], len(at)) - 1
-            np.maximum.at(best, doc[new], a[at[last]] + width[at[last]] - a[at[new]])
-        keep = np.flatnonzero(best >= LEAST_SHARED)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(keep)), pa.array(tags, pa.int32()).take(pa.array(keep)), pa.array(best[keep])], ["doc_id", "tag", "longest"])
+def _between(upto: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the words from a up to b."""
+    return splitmix((upto[b] - upto[a]) * powers(len(upto))[1][a] + (b - a).astype(U))
 
-    return tally.looked_up(docs, make, use, "doc_id long, tag int, longest long", "longest-shared")
+
+def _times(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each key occurs in its row, whether it is there for the first time); rows ascend."""
+    n, first = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        k, r = key[order], row[order]
+        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
+        size = np.diff(new, append=len(key))
+        n[order], first[order[new]] = np.repeat(size, size), True
+    return n, first
+
+
+def _longest(row: np.ndarray, more: list[np.ndarray], ok: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, words) of the longest run in each of n rows of windows that are ok. more: first window of each range, windows
+    after it, first byte, end."""
+    first, run, begin, end = more[:4]
+    size, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = np.flatnonzero(ok)
+    if len(at):
+        r, a, b = row[at], first[at], first[at] + run[at]
+        new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != b[:-1] + 1)]))
+        last = np.append(new[1:], len(at)) - 1
+        np.maximum.at(size, r[new], end[at[last]] - begin[at[new]])
+        np.maximum.at(count, r[new], b[last] + SHARED - a[new])
+    return size, count
+
+
+def shared(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, longest, words: bytes of the longest stretch of a text of which every SHARED consecutive words occur a second
+    time, in any text or in this one; words of the longest of which every SHARED consecutive words occur in another row. Rows
+    without either may be missing. docs: doc_id, tag, text.
+
+    Blocks of texts ask in how many rows their picked grams and the words of all windows around each (its context) occur
+    (tally.py), so a passage that many texts hold is one row a block. A context that occurs in two rows settles its windows.
+    Only the windows of grams that stand in different contexts are looked up one by one: of a gram with a context of which
+    there are fewer, or with two in one row.
+    """
+
+    def make(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        w = words(*utf8(part.column("text")))
+        if len(w.hash) < SHARED:
+            return np.zeros(part.num_rows, np.int64), np.zeros(0, U), [np.zeros(0, np.int64)] * 4
+        h, size = w.hash, 1
+        while size < PIECE_GRAM:
+            h, size = _join(h[:-size], h[size:]), 2 * size
+        at, low, last = _picked(h, w.first, SHARED, PIECE_REACH)
+        doc = w.doc[at]
+        keys = np.stack([h[at], _between(_prefixes(w), low, last + SHARED)], 1).ravel()
+        return 2 * np.bincount(doc, minlength=part.num_rows), keys, [low - w.first[doc], last - low, w.start[low] - w.off[doc], w.end[last + SHARED - 1] - w.off[doc]]
+
+    def rows_of(per: np.ndarray) -> np.ndarray:
+        return np.repeat(np.arange(len(per)), per)
+
+    def once(per: np.ndarray, keys: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
+        return _times(rows_of(per), keys)[1]
+
+    def settle(ids: list, tags: list, per: np.ndarray, keys: np.ndarray, total: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
+        row = rows_of(per // 2)
+        grams_here, here = _times(row, keys[::2])[0], _times(row, keys[1::2])[0]
+        everywhere, alike = total[::2], total[1::2]
+        flags = ABROAD * (alike > 1) + HERE * (here > 1) + OPEN * ((everywhere > alike) | (grams_here > here))
+        longest, count = _longest(row, more, (flags & (ABROAD | HERE)) > 0, len(per))[0], _longest(row, more, (flags & ABROAD) > 0, len(per))[1]
+        unsettled = np.zeros(len(per), bool)
+        unsettled[row[(flags & OPEN) > 0]] = True
+        keep = np.flatnonzero(unsettled | (longest > 0))
+        at = np.flatnonzero(unsettled[row] & (flags > 0))
+        off = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(per))[keep])])
+        ranges = pa.StructArray.from_arrays([pa.array(x[at].astype(np.int32)) for x in (more[0], more[1], flags)], ["low", "run", "flags"])
+        rows = pa.array(keep)
+        cols = [pa.array(ids, pa.int64()).take(rows), pa.array(tags, pa.int32()).take(rows), pa.array(longest[keep]), pa.array(count[keep]), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), ranges)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", "longest", "words", "ranges"])
+
+    def windows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """A key for each window of an open range; a settled range stays whole and asks for key 0, whose answer isn't used."""
+        w = words(*utf8(part.column("text")))
+        ranges = part.column("ranges")
+        low, run, flags = (ranges.flatten().field(c).to_numpy().astype(np.int64) for c in ("low", "run", "flags"))
+        doc = rows_of(ranges.value_lengths().to_numpy())
+        is_open = (flags & OPEN) > 0
+        each = np.where(is_open, run + 1, 1)
+        of = rows_of(each)
+        first = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+        rest, doc = np.where(is_open, 0, run)[of], doc[of]
+        a = w.first[doc] + first
+        keys = np.where(is_open[of], _between(_prefixes(w), a, a + SHARED), U(0))
+        return np.bincount(doc, minlength=part.num_rows), keys, [first, rest, w.start[a] - w.off[doc], w.end[a + rest + SHARED - 1] - w.off[doc], flags[of]]
+
+    def known(per: np.ndarray, keys: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
+        """A window of a context that occurs in two rows counts for two: the other row need not have been asked for it."""
+        return once(per, keys, more) + (more[4] & ABROAD)
+
+    def finish(ids: list, tags: list, per: np.ndarray, keys: np.ndarray, total: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
+        row, flags = rows_of(per), more[4]
+        is_open = (flags & OPEN) > 0
+        abroad = ((flags & ABROAD) > 0) | (is_open & (total > 1))
+        here = ((flags & HERE) > 0) | (is_open & (_times(row, keys)[0] > 1))
+        cols = [pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(_longest(row, more, abroad | here, len(per))[0]), pa.array(_longest(row, more, abroad, len(per))[1])]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", "longest", "words"])
+
+    kind = "doc_id long, tag int, longest long, words long"
+    found = tally.looked_up(docs, make, settle, f"{kind}, ranges array<struct<low: int, run: int, flags: int>>", "shared", once)
+    each = found.where("size(ranges) > 0").groupBy(F.col("doc_id").alias("i"), F.col("tag").alias("t")).agg(F.first("ranges").alias("ranges"))  # of one text
+    unsettled = docs.join(each, docs["doc_id"].eqNullSafe(each["i"]) & (docs["tag"] == each["t"])).select("doc_id", "tag", "text", "ranges")
+    return found.where("size(ranges) = 0").drop("ranges").unionByName(tally.looked_up(unsettled, windows, finish, kind, "shared-windows", known))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -318,29 +400,34 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """doc_id, kept (binary), spans (array of removed byte ranges), n_bytes, n_removed, longest_shared of each row."""
+    """doc_id, kept (binary), spans (array of removed byte ranges), n_bytes, n_removed, longest_shared, shared_words of each row.
+
+    longest_shared: bytes of the longest stretch that shared() finds, or without one, of the longest removed one (long words);
+    shared_words: shared()'s words.
+    """
     rows = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    shared = longest_shared(rows.where(f"octet_length(text) >= {LEAST_SHARED}"))
+    alike = shared(rows.where(f"octet_length(text) >= {2 * SHARED - 1}"))
     # Both sides have a row for each of a text's repeated rows at most.
-    found = removed(rows.where(f"octet_length(text) >= {LENGTH}"), most_contexts).withColumn("longest", F.lit(0).cast("long"))
-    both = found.unionByName(shared.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
-    gone = both.groupBy(F.col("doc_id").alias("i"), F.col("tag").alias("t")).agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("longest").alias("longest"))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["i"]) & (rows["tag"] == gone["t"]), "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).alias("longest_shared"))
+    found = removed(rows.where(f"octet_length(text) >= {LENGTH}"), most_contexts).withColumns({c: F.lit(0).cast("long") for c in ("longest", "words")})
+    both = found.unionByName(alike.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
+    gone = both.groupBy(F.col("doc_id").alias("i"), F.col("tag").alias("t")).agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("longest").alias("longest"), F.max("words").alias("words"))
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["i"]) & (rows["tag"] == gone["t"]), "left").select("doc_id", "text", "spans", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("longest", "words")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                kept, spans, size = [], [], []
-                for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                kept, spans, size, longest = [], [], [], []
+                for text, found, least in zip(*[part.column(c).to_pylist() for c in ("text", "spans", "longest")]):
                     raw, runs = (text or "").encode(), merged(found)
                     edge = [0, *[x for r in runs for x in r], len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])))
                     spans.append([{"a": a, "b": b} for a, b in runs])
                     size.append(len(raw))
+                    longest.append(least or max([0, *[b - a for a, b in runs]]))
                 kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(size, pa.int64()), pa.array([n - len(k) for n, k in zip(size, kept)], pa.int64()), part.column("longest_shared")],
-                    ["doc_id", "kept", "spans", "n_bytes", "n_removed", "longest_shared"],
+                    [part.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(size, pa.int64()), pa.array([n - len(k) for n, k in zip(size, kept)], pa.int64()), pa.array(longest, pa.int64()), part.column("words")],
+                    ["doc_id", "kept", "spans", "n_bytes", "n_removed", "longest_shared", "shared_words"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, kept binary, spans array<struct<a: long, b: long>>, n_bytes long, n_removed long, longest_shared long")
+    return joined.mapInArrow(run, "doc_id long, kept binary, spans array<struct<a: long, b: long>>, n_bytes long, n_removed long, longest_shared long, shared_words long")

@@ -192,12 +192,14 @@ _KEYED = "block long, ids array<long>, tags array<int>, per binary, keys binary,
 KEYED_BLOCK = 1 << 18
 
 Make = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, list[np.ndarray]]]
+Weigh = Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray]
 Use = Callable[[list, list, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], pa.RecordBatch]
 
 
-def looked_up(docs: DataFrame, make: Make, use: Use, out: str, label: str) -> DataFrame:
+def looked_up(docs: DataFrame, make: Make, use: Use, out: str, label: str, weigh: Weigh | None = None) -> DataFrame:
     """What use(ids, tags, keys of each row, keys, how often each occurs in all rows, more) makes of each block of docs (doc_id, tag,
-    text), of which make(rows) has given (keys of each row, keys in order, more uint32 arrays). Parked.
+    text, others that make reads), of which make(rows) has given (keys of each row, keys in order, more uint32 arrays). Parked.
+    weigh(keys of each row, keys, more): what each key counts for, where that isn't one.
     """
     spark = docs.sparkSession
 
@@ -221,19 +223,23 @@ def looked_up(docs: DataFrame, make: Make, use: Use, out: str, label: str) -> Da
         if held:
             yield give()
 
+    def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        per = unsqueeze(row["per"], len(row["ids"]), np.uint32).astype(np.int64)
+        return per, np.frombuffer(row["keys"], U), [unsqueeze(m, n, np.uint32).astype(np.int64) for m, n in zip(row["more"], row["lengths"])]
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
             keys = np.frombuffer(row["keys"], U)
-            yield requests(row["block"], 0, *counted(keys, np.ones(len(keys), bool)), buckets)
+            counts = weigh(*unpacked(row)) if weigh else np.ones(len(keys), bool)
+            yield requests(row["block"], 0, *counted(keys, counts), buckets)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
-            keys = np.frombuffer(row["keys"], U)
+            per, keys, more = unpacked(row)
             total = totals(row["got"] or [], 0)[np.unique(keys, return_inverse=True)[1]]
-            per = unsqueeze(row["per"], len(row["ids"]), np.uint32).astype(np.int64)
-            yield use(row["ids"], row["tags"], per, keys, total, [unsqueeze(m, n, np.uint32).astype(np.int64) for m, n in zip(row["more"], row["lengths"])])
+            yield use(row["ids"], row["tags"], per, keys, total, more)
 
-    made = park(docs.select("doc_id", "tag", "text").mapInArrow(blocks, _KEYED), f"{label}-blocks")
+    made = park(docs.mapInArrow(blocks, _KEYED), f"{label}-blocks", clean=True)
     n, n_blocks = made.agg(F.sum("size"), F.count("*")).first()
     parts, buckets, groups = shape(n or 0, n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     answered = answers(made.mapInArrow(ask, REQUEST), parts, f"{label}-counts", groups)

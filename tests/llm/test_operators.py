@@ -449,6 +449,95 @@ def test_longest_shared_passage(spark):
     assert got[203] > 2500
 
 
+def _passages(rows, n=48):
+    """(id, bytes, words) by tables of all n-word windows: the longest stretch of repeated ones, of ones that another row holds."""
+    found = [list(re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())) for _, t in rows]
+    times, holders = Counter(), {}
+    for i, ws in enumerate(found):
+        for p in range(len(ws) - n + 1):
+            key = tuple(m[0] for m in ws[p : p + n])
+            times[key] += 1
+            holders.setdefault(key, set()).add(i)
+    out = Counter()
+    for (i, _), ws in zip(rows, found):
+        best, begun = [0, 0], [None, None]
+        for p in range(len(ws) - n + 1):
+            key = tuple(m[0] for m in ws[p : p + n])
+            for j, ok in enumerate((times[key] > 1, len(holders[key]) > 1)):
+                begun[j] = (p if begun[j] is None else begun[j]) if ok else None
+                if ok:
+                    best[j] = max(best[j], p + n - begun[j] if j else ws[p + n - 1].end() - ws[begun[j]].start())
+        out[i, *best] += 1
+    return out
+
+
+def _same_passages(df, rows):
+    """A text without such a stretch of words tells the longest removed one."""
+    got = [(r.doc_id, r.longest_shared, r.shared_words, max([0, *[s.b - s.a for s in r.spans]])) for r in df.collect()]
+    want = _passages(rows)
+    assert Counter((i, n) for i, _, n, _ in got) == sum((Counter({(i, n): c}) for (i, _, n), c in want.items()), Counter())
+    stretch = Counter({k: c for k, c in want.items() if k[1]})
+    assert not stretch - Counter(g[:3] for g in got)
+    rest = Counter(g[:3] for g in got) - stretch
+    assert not rest - Counter((i, removed, 0) for i, _, _, removed in got)
+
+
+def test_shared_passages(docs):
+    docs = docs.where("length(text) < 60000 or text is null")
+    _same_passages(repeats.dedup(docs), texts(docs))
+
+
+@pytest.mark.parametrize("letters", ["a", "abcdefghij"])
+def test_passages_of_short_words(spark, letters):
+    """51 words are told however short they are; what only one text repeats, or two halves from two texts, is not."""
+    import random
+
+    r = random.Random(9)
+    prose = lambda n: [f"{i}{''.join(r.choice(letters) for _ in range(r.randint(0, 3)))}" for i in r.sample(range(10_000), n)]
+    rows, want = [], {}
+
+    def add(*parts, words=0):
+        rows.append((len(rows), r.choice([" ", "\n", " \t"]).join(sum(parts, []))))
+        want[len(rows) - 1] = words
+
+    for n in (47, 48, 51, 52, 60, 75, 130):
+        p = prose(n)
+        for k in range(3):
+            add(prose(r.randint(0, 70)), p, prose(r.randint(0, 70)), words=n if n > 47 else 0)
+    p, q = prose(40), prose(40)
+    for parts in ([p, q], [p, prose(40)], [prose(40), q]):
+        add(*parts)
+    p = prose(60)
+    add(prose(9), p, prose(30), p, prose(9))
+    p = prose(100)  # a text holds a passage with two neighbourhoods, another one of them
+    a, b = prose(30), prose(30)
+    add(a, p, prose(20), b, p, prose(20), words=130)
+    add(a, p, words=130)
+    add(p[20:80], words=60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = repeats.dedup(docs)
+    assert {x.doc_id: x.shared_words for x in out.collect()} == want
+    _same_passages(out, rows)
+
+
+def test_passages_of_edited_copies(spark):
+    """Copies with edits, moved parts, repeats within a text and equal rows, against tables of all windows."""
+    import random
+
+    r = random.Random(10)
+    for _ in range(4):
+        base = [r.choice("abcdefghijklmnop") * r.randint(1, 2) for _ in range(500)]
+        rows = []
+        for i in range(40):
+            a = r.randrange(300)
+            w = base[a : a + r.randint(30, 260)]
+            for _ in range(r.choice([0, 0, 1, 4])):
+                w[r.randrange(len(w))] = f"edit{i}"
+            rows.append((i % 37, " ".join(w + r.choice([[], w[:60], base[:90]]))))
+        rows += [(500, "x y " * 60), (501, "same words " * 2), (502, rows[0][1]), (0, rows[0][1])]
+        _same_passages(repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), rows)
+
+
 def test_suffix_dedup_of_edited_copies_and_runs(spark):
     import random
 
