@@ -143,3 +143,21 @@ def test_large_groups_and_blocks_learn_the_same(planted, monkeypatch):
     assert told(0, 16) == pytest.approx(blocks, rel=1e-9)
     largest = planted[0].groupBy("g").count().agg(F.percentile("count", 0.5)).first()[0]
     assert told(int(largest), 16) == pytest.approx(blocks, rel=1e-9)
+
+
+@pytest.mark.parametrize("whole", [1024, 0])
+def test_blocks_and_batches_without_a_pair(spark, tmp_path, monkeypatch, whole):
+    """A block, or a batch of large groups, whose groups are each of one relevance has no pairs; the blocks beside it in the task have."""
+    monkeypatch.setattr(ranker, "MOST_WHOLE", whole)
+    monkeypatch.setattr(ranker, "BLOCK", 20)
+    df = spark.range(0, 800, 1, 1).select((F.col("id") % 40).alias("g"), "id", F.when(F.col("id") % 40 < 36, 0).otherwise((F.col("id") % 3 == 0).cast("int")).alias("label"), (F.col("id") % 7).cast("double").alias("x"))
+    df.write.parquet(str(tmp_path / "t.parquet"))
+    df = spark.read.parquet(str(tmp_path / "t.parquet"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = ranker.fit(df, df, ["g"], "label", ["x"], [], ["id"], rounds=2, depth=2, least_rows=5, stop=2)
+        none = ranker.fit(df.where("g < 36"), df.where("g < 36"), ["g"], "label", ["x"], [], ["id"], rounds=2, depth=2, least_rows=5, stop=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.rounds[0]["loss"] == pytest.approx(math.log(2)) and got.rounds[1]["loss"] < got.rounds[0]["loss"]
+    assert none.rounds[0] == {"loss": None, "valid": 0.0} and {r.s for r in df.select(none.forest.score().alias("s")).collect()} == {0.0}
