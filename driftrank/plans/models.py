@@ -23,12 +23,16 @@ LONG_TAILED = ("inherited_by", "prior_breaks_in_module", "package_rank", "releas
 
 
 def prepared(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Long-tailed numbers as log1p of what is above 0; everything numeric as double."""
-    return df.withColumns({c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) if c in LONG_TAILED else F.col(c).cast("double") for c in numeric})
+    """Long-tailed numbers as log1p of what is above 0; everything numeric as double. What is missing stays so."""
+    above = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c).cast("double"), F.lit(0.0)))
+    return df.withColumns({c: F.log1p(above(c)) if c in LONG_TAILED else F.col(c).cast("double") for c in numeric})
 
 
-def linear(numeric: Sequence[str], categorical: Sequence[str], label: str, steps: int = 50) -> Pipeline:
-    """Medians for missing numbers, unit scale, one column a category (unseen: none), logistic regression with balanced weights in `weight`."""
+def linear(numeric: Sequence[str], categorical: Sequence[str], label: str, steps: int = 5000) -> Pipeline:
+    """Medians for missing numbers, unit scale, one column a category (unseen: none), logistic regression with balanced weights in `weight`.
+
+    The fit goes on until it converges; `steps`, the reference's limit, is only there to end one that doesn't.
+    """
     filled, coded = [f"{c}__f" for c in numeric], [f"{c}__i" for c in categorical]
     return Pipeline(stages=[
         Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),

@@ -165,6 +165,28 @@ def test_learned_scorers(spark):
     assert models.ablations(["a", "b"], {"no a": ["a"]}, ["b"]) == {"no a": ["b"], "control:b": ["a"]}
 
 
+def test_a_missing_number_stays_missing_under_the_logarithm(spark):
+    df = spark.createDataFrame([(None,), (-1.0,), (3.0,)], "package_rank double")
+    assert [r[0] for r in models.prepared(df, ["package_rank"]).collect()] == [None, 0.0, pytest.approx(math.log(4))]
+
+
+@pytest.mark.parametrize("name,features", [("q_linear_baseline", labels.FEATURES), ("q_model_grid", None), ("q_ablation", None), ("q_serving_scores", None)])
+def test_linear_fits_end_by_themselves(name, features, spark, sf, monkeypatch):
+    """Every fit goes on until it converges, and the baseline's has all 17 features."""
+    from pyspark.ml import Pipeline
+
+    from driftrank.plans import catalogue, reports
+    from driftrank.plans.standins import Standins
+
+    fits, real = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: (fits.append(real(self, df)), fits[-1])[1])
+    f = next(getattr(m, name) for m in (catalogue, reports) if hasattr(m, name))
+    assert f(Standins(spark, sf)).count() > 0
+    assert fits and all(m.stages[-1].summary.totalIterations < m.stages[-1].getMaxIter() for m in fits)
+    used = {*fits[0].stages[0].getInputCols(), *fits[0].stages[3].getInputCols()}
+    assert features is None or used == set(features)
+
+
 def test_web_source(spark):
     import http.server
     import threading
